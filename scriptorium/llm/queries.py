@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, secrets, sharding, topk
+from scriptorium.llm import bpe, decontaminate, jaccard, langid, quality, secrets, sharding, surrogates, topk
 from scriptorium.llm.support import shared_folder
 
 
@@ -30,10 +30,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def round_trip(docs: DataFrame, ranks: bpe.Ranks, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of each text and the bytes they decode to, as digests."""
     ids = bpe.encode(docs.select(doc_id, text), ranks, text=text, drop=(text,))
@@ -46,6 +54,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer(spark))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), langid.default_vocabulary())
+
+
+#: Of the registered query; a deployment passes its own secret.
+SURROGATE_KEY = "scriptorium"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,7 +73,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
+    "op8_language": op8_language,
+    "op9_surrogates": op9_surrogates,
     "op10_topk": op10_topk,
 }
