@@ -1 +1,8 @@
 """Spark-native analytics for measuring the quality of machine-transcribed documents."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, which then need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
