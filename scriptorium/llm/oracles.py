@@ -76,3 +76,17 @@ l AS MATERIALIZED (SELECT x, y FROM e JOIN n p ON p.doc_id = x JOIN n q ON q.doc
 r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.x = w.doc_id GROUP BY w.doc_id"""
+
+#: Bytes as hex, two characters each, since DuckDB has no substring of a blob.
+ORACLES["op5_suffix"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS MATERIALIZED (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+s AS MATERIALIZED (SELECT doc_id, p, p + 50 AS e FROM w JOIN f USING (k) WHERE first < doc_id),
+g AS (SELECT *, p > lag(e) OVER (PARTITION BY doc_id ORDER BY p) AS fresh FROM s),
+r AS (SELECT doc_id, min(p) AS a, max(e) AS b FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM r),
+o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, jaccard, langid, quality, secrets, sharding, surrogates, topk
+from scriptorium.llm import bpe, decontaminate, jaccard, langid, quality, secrets, sharding, suffix_dedup, surrogates, topk
 from scriptorium.llm.support import shared_folder
 
 
@@ -38,6 +38,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(read(spark, sf_dir, "documents")))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_suffix": op5_suffix,
     "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
     "op8_language": op8_language,
