@@ -42,7 +42,10 @@ HOT, MAX_HOT = 24, 1 << 18
 SEEN = 3
 #: Ids beyond which a semi-join isn't broadcast.
 MAX_IDS = 500_000
-BITMAP = 1024
+#: Bits of the smallest and largest bitmap; between them, at least two for each shingle.
+BITMAPS = (512, 1 << 16)
+#: Leaders of each list in the second round.
+LEADERS = 3
 
 
 def shingle_hashes(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +61,27 @@ def shingle_hashes(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, n
     coded = words.filter(pa.array(real)).dictionary_encode()
     own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
     h = own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
-    made = np.maximum(np.where(counts >= size, counts - size + 1, np.minimum(counts, 1)), 0)
-    starts = np.repeat(np.cumsum(counts) - counts, made) + np.arange(made.sum()) - np.repeat(np.cumsum(made) - made, made)
-    length = np.repeat(np.minimum(counts, size), made)
-    out = np.zeros(len(starts), np.uint64)
+    made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    ends, made_ends = np.cumsum(counts), np.cumsum(made)
+    starts = np.repeat(ends - counts - (made_ends - made), made) + np.arange(int(made.sum()))
     with np.errstate(over="ignore"):
-        for k in range(size):
-            has = length > k
-            word = np.where(has, h[np.minimum(starts + k, max(len(h) - 1, 0))], np.uint64(0)) if len(h) else out
-            out = np.where(has, _mixed(out * np.uint64(0x9E3779B97F4A7C15) + word), out)
+        rolled, short = _mixed(h), []
+        for k in range(1, size):
+            short.append(rolled)
+            longer = rolled.copy()
+            longer[: max(len(h) - k, 0)] = _mixed(rolled[: max(len(h) - k, 0)] * _ODD + h[k:])
+            rolled = longer
+        out = rolled[starts] if len(h) else np.zeros(0, np.uint64)
+        for words_, table in enumerate(short, 1):  # whole texts of fewer words
+            few = np.flatnonzero(counts == words_)
+            if len(few):
+                out[(made_ends - made)[few]] = table[(ends - counts)[few]]
     return out, made
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -110,12 +122,12 @@ def head(docs: DataFrame, doc_id: str, text: str, hot: np.ndarray, size: int, pe
             n, fp, ph, bitmap, prefix = [], [], [], [], []
             for s in distinct_sets(batch.column(batch.schema.get_field_index(text)), size):
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                late = np.isin(s, known, assume_unique=True) if take else np.zeros(0, bool)
+                late = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if take and len(known) else np.zeros(len(s), bool)
                 order = np.concatenate([s[~late], s[late]])[:take] if late.any() else s[:take]
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 ph.append(xxhash.xxh3_64_intdigest(order.tobytes()))
-                bitmap.append(np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8)).tobytes())
+                bitmap.append(parity_bitmap(s))
                 prefix.append(order)
             joined = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
             made = [pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(np.array(ph, np.uint64).view(np.int64)), pa.array(bitmap, pa.binary()), list_array(joined, np.array([len(p) for p in prefix]), pa.int64())]
@@ -124,10 +136,28 @@ def head(docs: DataFrame, doc_id: str, text: str, hot: np.ndarray, size: int, pe
     return arrow_map(docs.select(doc_id, text), run, f"doc_id {kind}, n int, fp binary, ph long, bitmap binary, prefix array<long>")
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """For each value of the lowest bits of the hashes, whether an odd number has it. Halves of a bitmap XORed give the next smaller one."""
+    bits = min(max(BITMAPS[0], 1 << (2 * len(s) - 1).bit_length()), BITMAPS[1]) if len(s) else BITMAPS[0]
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets holds."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def may_link(n_x: Column, n_y: Column, i: Column, j: Column, percent: int) -> Column:
-    """Size and position filter for a shared shingle at places i and j."""
-    most = F.least(i, j) + 1 + F.least(n_x - i - 1, n_y - j - 1)
-    return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (most * (100 + percent) >= (n_x + n_y) * percent)
+    """Size and position filter for a shared shingle at places i and j.
+
+    Sets that link share ``least`` shingles or more, so their first common one leaves so many in both."""
+    least = F.ceil((n_x + n_y) * percent / (100 + percent) - 1e-9)
+    return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (n_x - i >= least) & (n_y - j >= least)
 
 
 def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -136,9 +166,8 @@ def pruned(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64) for c in ("b_x", "b_y"))
             n = batch.column("n_x").to_numpy().astype(np.int64) + batch.column("n_y").to_numpy()
-            differ = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+            differ = np.array([least_difference(a.as_py(), b.as_py()) for a, b in zip(batch.column("b_x"), batch.column("b_y"), strict=True)], dtype=np.int64)
             keep = (n - differ) * (100 + percent) >= 2 * percent * n
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("x", "y")], names=["x", "y"])
 
@@ -207,7 +236,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     pairs = stars.select(F.col("lead.g").alias("x"), F.col("g").alias("y")).unionByName(within).distinct()
     comps = relabelled(comps, verified(pruned(written(pairs, "pairs"), nodes, percent), source, size, percent))
 
-    # Round two: another leader for each list, for what is still apart.
+    # Round two: other leaders for each list, for what is still apart.
     def apart() -> DataFrame:
         """The members' postings, with components, of shingles that more than one component holds; a group's members share them all."""
         inside = members.join(grown, "g").join(comps, "rep").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g")
@@ -218,7 +247,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         return written(rows.join(mixed, "token", "left_semi"), "apart")
 
     left = apart()
-    lead = left.groupBy("token").agg(F.min_by(F.struct("rep", "comp", "n", "i"), F.xxhash64("token", "rep")).alias("lead"))
+    chosen = [F.min_by(F.struct("rep", "comp", "n", "i"), F.xxhash64("token", "rep", F.lit(seed))) for seed in range(LEADERS)]
+    lead = left.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("leads")).select("token", F.explode("leads").alias("lead"))
     stars = left.join(lead, "token").filter((F.col("comp") != F.col("lead.comp")) & may_link(F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i"), percent))
     pairs = stars.select(F.least("rep", "lead.rep").alias("x"), F.greatest("rep", "lead.rep").alias("y")).distinct()
     comps = relabelled(comps, verified(pruned(written(pairs, "pairs"), nodes, percent), source, size, percent))

@@ -11,8 +11,9 @@ Collision checks: a surrogate that two entities share, or that is itself an enti
 kept only by the smallest entity (none, if it is an entity); the others try the next attempt number,
 until all are distinct. Every occurrence of an entity gets the same surrogate, in its own format.
 
-Only the entities that needed another attempt are joined back to texts; their table is small, and
-Spark joins it as its size demands. Texts meet it by their hash, so ids may repeat or be null.
+Only texts with an entity that needed another attempt take part in a join, by their hash, so ids may
+repeat or be null. They are counted first: up to ``MAX_BROADCAST`` they are broadcast, and beyond it
+all texts with entities are shuffled once.
 
 Cases: null texts stay null; texts without entities are unchanged. No rows give no rows. If
 ``ATTEMPTS`` are used up, the run fails rather than merge two entities. Only the named columns are
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.support import written
 
 ATTEMPTS = 40
+#: Texts with further attempts up to which their table is broadcast.
+MAX_BROADCAST = 100_000
 #: Titles by gender, and surrogate names by script and gender.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Госпожа")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -43,12 +46,14 @@ CYRILLIC_LOWER, CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцч
 
 _TITLE = "|".join((*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES))
 KINDS = ("email", "phone", "ip", "card", "person")
-MAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
-PERSON = rf"\b(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-PATTERN = f"{MAIL}|{IP}|{CARD}|{PHONE}|{PERSON}"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({t[0] for t in (*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES)}))}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+PATTERN = f"{MAIL}|(?=[0-9+(])(?:{IP}|{CARD}|{PHONE})|{PERSON}"
+#: What every entity but a name holds.
+DIGIT_OR_AT = "[0-9@]"
 
 ENTITY = "array<struct<kind:string,norm:string,surface:string>>"
 
@@ -80,7 +85,17 @@ def _name_norm(surface: Column) -> Column:
 def entities(text: Column) -> Column:
     """The entities of a text in order."""
     each = lambda s: F.struct(kind_of(s).alias("kind"), norm_of(kind_of(s), s).alias("norm"), s.alias("surface"))
-    return F.when(text.rlike(PATTERN), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), each)).otherwise(F.array().cast(ENTITY))
+    return F.when(may_hold(text), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), each)).otherwise(F.array().cast(ENTITY))
+
+
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes."""
+    return text.rlike(DIGIT_OR_AT) | text.rlike(PERSON)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -158,12 +173,19 @@ def _mail(norm: Column, stream: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normalised surrogate of an entity."""
-    stream = _stream(key, kind, norm, attempt)
-    return F.when(kind == "email", _mail(norm, stream)).when(kind == "phone", _phone(norm, stream)).when(kind == "card", _card(norm, stream)).when(kind == "ip", _octets(norm, stream)).otherwise(_person(norm, stream))
+
+    def of(stream: Column) -> Column:
+        return F.when(kind == "email", _mail(norm, stream)).when(kind == "phone", _phone(norm, stream)).when(kind == "card", _card(norm, stream)).when(kind == "ip", _octets(norm, stream)).otherwise(_person(norm, stream))
+
+    return let(_stream(key, kind, norm, attempt), of)
 
 
 def formatted(kind: Column, surface: Column, made: Column) -> Column:
     """A normalised surrogate in the format of an occurrence."""
+    return let(made, lambda m: _formatted(kind, surface, m))
+
+
+def _formatted(kind: Column, surface: Column, made: Column) -> Column:
     digits = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(made, F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(surface, i + 1, F.lit(1)) == F.lower(F.substring(surface, i + 1, F.lit(1))), c).otherwise(F.upper(c))), "")
     person = F.concat(F.regexp_extract(surface, r"^(\p{L}+\.? )", 1), F.substring(made, F.lit(3), F.length(made)))
@@ -195,7 +217,7 @@ def further_attempts(found: DataFrame, key: str) -> DataFrame | None:
 def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_email, ...) with every entity replaced."""
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    found = source.filter(F.col("text").rlike(PATTERN)).select(F.explode(entities(F.col("text"))).alias("e")).select("e.kind", "e.norm")
+    found = source.filter(may_hold(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("e")).select("e.kind", "e.norm")
     again = further_attempts(found, key)
     listed = source.withColumn("entities", entities(F.coalesce("text", F.lit(""))))
     if again is None:
@@ -204,7 +226,9 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
         digest = F.sha2(F.col("text").cast("binary"), 256)
         held = listed.filter(F.size("entities") > 0).select(digest.alias("digest"), F.explode("entities").alias("e")).select("digest", "e.kind", "e.norm").distinct()
         maps = held.join(again, ["kind", "norm"]).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("again"))
-        ready = listed.withColumn("digest", F.when(F.size("entities") > 0, digest)).join(maps, "digest", "left")
+        maps = written(maps, "again")
+        few = maps.count() <= MAX_BROADCAST
+        ready = listed.withColumn("digest", F.when(F.size("entities") > 0, digest)).join(F.broadcast(maps) if few else maps, "digest", "left")
     attempt = lambda e: F.coalesce(F.element_at(F.col("again"), F.concat_ws(":", e["kind"], e["norm"])), F.lit(0))
     made = F.transform("entities", lambda e: formatted(e["kind"], e["surface"], surrogate(e["kind"], e["norm"], attempt(e), key)))
     gaps = F.split("text", PATTERN, -1)
