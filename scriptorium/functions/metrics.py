@@ -22,10 +22,13 @@ BANDS = (16, 128, 1024)
 
 def banded_levenshtein(a: Column, b: Column) -> Column:
     """Exact edit distance in code points. Close texts never pay for the whole table: a wider band is only tried when the one before was too narrow."""
-    out = F.levenshtein(a, b)
-    for band in BANDS[::-1]:
-        out = let(F.levenshtein(a, b, band), lambda near, wider=out: F.when(near >= 0, near).otherwise(wider))
-    return out
+
+    def within(bands: tuple[int, ...]) -> Column:
+        if not bands:
+            return F.levenshtein(a, b)
+        return let(F.levenshtein(a, b, bands[0]), lambda near: F.when(near >= 0, near).otherwise(within(bands[1:])))
+
+    return within(BANDS)
 
 
 def cer_of(ref: Column, hyp: Column, distance: Column | None = None) -> Column:
