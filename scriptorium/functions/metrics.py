@@ -23,12 +23,13 @@ BANDS = (16, 128, 1024)
 def banded_levenshtein(a: Column, b: Column) -> Column:
     """Exact edit distance in code points. Close texts never pay for the whole table: a wider band is only tried when the one before was too narrow."""
 
-    def within(bands: tuple[int, ...]) -> Column:
+    def within(x: Column, y: Column, bands: tuple[int, ...]) -> Column:
         if not bands:
-            return F.levenshtein(a, b)
-        return let(F.levenshtein(a, b, bands[0]), lambda near: F.when(near >= 0, near).otherwise(within(bands[1:])))
+            return F.levenshtein(x, y)
+        return let(F.levenshtein(x, y, bands[0]), lambda near: F.when(near >= 0, near).otherwise(within(x, y, bands[1:])))
 
-    return within(BANDS)
+    # The texts are bound first: they may come from a Python function, which a lambda can't hold.
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda pair: within(pair["a"], pair["b"], BANDS))
 
 
 def cer_of(ref: Column, hyp: Column, distance: Column | None = None) -> Column:
