@@ -22,7 +22,8 @@ def index_quantile(x: Column, q: float = 0.9) -> Column:
 def indexed_by_rank(df: DataFrame, keys: list[str], x: str, q: float | None = None) -> DataFrame:
     """``upper_median`` (or ``index_quantile``) without holding a group's values in one row, for groups of any size."""
     w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("value"), F.row_number().over(w.orderBy(x)).alias("r"), F.count("*").over(w).alias("n"))
+    # Nulls sort last and aren't counted; a filter would be pushed below whatever computes the value.
+    ranked = df.select(*keys, F.col(x).alias("value"), F.row_number().over(w.orderBy(F.asc_nulls_last(x))).alias("r"), F.count(x).over(w).alias("n"))
     at = F.floor(F.col("n") / 2) if q is None else F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
     return ranked.filter(F.col("r") == at + 1).select(*keys, "value")
 
@@ -71,11 +72,11 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least
 
 def five_numbers(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """(keys, n, q1, median, q3, whisker_low, whisker_high, n_fliers): interpolated quartiles, whiskers at the last value within 1.5 IQR."""
-    quartiles = df.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartiles = df.groupBy(*keys).agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     quartiles = quartiles.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = df.filter(F.col(x).isNotNull()).join(quartiles, keys)
+    rows = df.join(quartiles, keys)
     return rows.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col(x))).alias("whisker_low"), F.max(F.when(inside, F.col(x))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("n_fliers"))
 
 
