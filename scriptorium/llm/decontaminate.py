@@ -48,8 +48,7 @@ SCHEMA = f"n_words long, hits array<struct<start:int,end:int>>, items array<stri
 
 def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of a column of texts, joined, and the number of words of each text."""
-    column = texts(column).cast(pa.large_string())
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = texts(column)
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)

@@ -50,8 +50,7 @@ LEADERS = 3
 
 def shingle_hashes(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all shingles of a column of texts, joined, and the number of each text's (with repeats)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts(column).cast(pa.large_string())))
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts(column)))
     words = lists.flatten()
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     at = lists.offsets.to_numpy()

@@ -184,9 +184,8 @@ def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], languag
 
 def letters(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of a column of texts, the number of each word's place among them, and each text's word count."""
-    clean = pc.replace_substring_regex(pc.utf8_lower(texts(column).cast(pa.large_string())), r"\P{L}+", " ")
+    clean = pc.replace_substring_regex(pc.utf8_lower(texts(column)), r"\P{L}+", " ")
     lists = pc.ascii_split_whitespace(clean)
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     words = lists.flatten()
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     at = lists.offsets.to_numpy()

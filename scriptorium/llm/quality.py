@@ -59,8 +59,7 @@ def _distinct_share(parts: pa.Array, owner: np.ndarray, n: int) -> tuple[np.ndar
 
 def features(column: pa.Array) -> np.ndarray:
     """A row of ``FEATURES`` for each text."""
-    column = texts(column).cast(pa.large_string())
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = texts(column)
     n = len(column)
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     _, offsets, data = column.buffers()

@@ -94,10 +94,19 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 
 def texts(column: pa.Array) -> pa.Array:
-    """Null texts become empty ones."""
+    """Texts without nulls (which become empty) as a large_string array that starts at its buffers' beginning.
+
+    Some Arrow kernels misread arrays that are a slice of a longer one, such as ascii_lower in pyarrow 23."""
     import pyarrow.compute as pc
 
-    return pc.fill_null(column, "")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    if not len(column):
+        return pa.array([], pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    body = data.slice(int(ends[0]), int(ends[-1] - ends[0])) if data is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(ends - ends[0])), body)
 
 
 def sized(batches: Iterable[pa.RecordBatch], text: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
