@@ -21,21 +21,20 @@ class Cycles:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         """``data`` holds the strings one after the other, without terminators."""
-        cycle = lengths + 1
-        self.starts = np.cumsum(cycle) - cycle
+        cycle = (lengths + 1).astype(np.int32)
+        starts = np.cumsum(cycle, dtype=np.int64).astype(np.int32) - cycle
         self.lengths = lengths
-        text = np.full(int(cycle.sum()), TERMINATOR, dtype=np.uint8)
-        body = np.ones(len(text), bool)
-        body[self.starts + lengths] = False
-        text[body] = data
-        self.text = text
-        self.string = np.repeat(np.arange(len(lengths)), cycle)
-        self.first, self.cycle = self.starts[self.string], cycle[self.string]
-        self.offset = np.arange(len(text)) - self.first
+        self.text = np.full(int(cycle.sum()), TERMINATOR, dtype=np.uint8)
+        body = np.ones(len(self.text), bool)
+        body[starts + lengths] = False
+        self.text[body] = data
+        self.string = np.repeat(np.arange(len(lengths), dtype=np.int32), cycle)
+        self.first, self.cycle = starts[self.string], cycle[self.string]
+        self.offset = np.arange(len(self.text), dtype=np.int32) - self.first
 
     def after(self, k: int) -> np.ndarray:
         """The place ``k`` symbols on, around the cycle."""
-        return self.first + (self.offset + k) % self.cycle
+        return self.first + (self.offset + np.int32(k)) % self.cycle
 
 
 def packed(cycles: Cycles, width: int, back: bool) -> np.ndarray:
@@ -47,7 +46,7 @@ def packed(cycles: Cycles, width: int, back: bool) -> np.ndarray:
 
 
 def build(cycles: Cycles) -> np.ndarray:
-    """The places of a shard in order of their rotations. The strings must be distinct, so no two rotations are equal."""
+    """The places of a shard (fewer than 2**31) in order of their rotations. The strings must be distinct, so no two rotations are equal."""
     n = len(cycles.text)
     key, seen = packed(cycles, 8, False), 8
     while True:
@@ -56,7 +55,7 @@ def build(cycles: Cycles) -> np.ndarray:
         fresh = np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])
         dense = np.cumsum(fresh)
         if n == 0 or dense[-1] == n - 1:
-            return order
+            return order.astype(np.int32)
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = dense
         key = (rank << np.uint64(32)) | rank[cycles.after(seen)]
@@ -66,36 +65,44 @@ def build(cycles: Cycles) -> np.ndarray:
 
 
 def merge(shards: list[tuple[Cycles, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave built shards up to ``depth`` symbols.
-
-    Returns, slot by slot: the shard, the row within the joined shards (shard after shard), the number of its block, and the common prefix with the slot before, known up to the round in which they parted (``depth`` for equal ones)."""
+    """Interleave built shards up to ``depth`` symbols; see ``interleave``."""
     sizes = [len(order) for _, order in shards]
+    width = symbol_width(int(np.sum(sizes)), depth)
+    return interleave(sizes, {w: np.concatenate([packed(c, w, True)[order] for c, order in shards]) for w in {width, depth % width or width}}, depth)
+
+
+def symbol_width(total: int, depth: int) -> int:
+    """Symbols looked at in a round: what is left of 64 bits beside a slot's number."""
+    return min((64 - max(1, (total - 1).bit_length())) // 8, depth) if total else depth
+
+
+def interleave(sizes: list[int], symbols: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Refine the interleave of shards of the given sizes. symbols: by width, the symbols before each row, shard after shard in the shards' order.
+
+    Returns, slot by slot: the shard, the row within the joined shards, the number of its block, and the common prefix with the slot before, known up to the round in which they parted (``depth`` for equal ones)."""
     total = int(np.sum(sizes))
-    bits = max(1, int(total - 1).bit_length()) if total else 1
-    width = min((64 - bits) // 8, depth)
-    interleave = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) < 256 else np.uint16)
-    block = np.zeros(total, dtype=np.int64)
-    common = np.zeros(total, dtype=np.int32)
-    slots, done = np.arange(total, dtype=np.uint64), 0
-    row = np.arange(total)
-    symbols: dict[int, np.ndarray] = {}
+    bits = max(1, (total - 1).bit_length()) if total else 1
+    width = symbol_width(total, depth)
+    shard = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint8 if len(sizes) < 256 else np.uint16)
+    block, common, row = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.uint8 if depth < 256 else np.int32), np.arange(total, dtype=np.int32)
+    done = 0
     while done < depth and total:
         w = min(width, depth - done)
-        if w not in symbols:
-            symbols[w] = np.concatenate([packed(c, w, True)[order] for c, order in shards])
-        before = symbols[w][row]
+        key = symbols[w][row]
+        key <<= np.uint64(bits)
         # The slot number in the low bits makes the sort stable.
-        key = (before << np.uint64(bits)) | slots
+        key |= np.arange(total, dtype=np.uint64)
         key.sort()
-        source = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
-        ahead = key >> np.uint64(bits)
-        parted = np.concatenate([[True], (ahead[1:] != ahead[:-1]) | (block[source[1:]] != block[source[:-1]])])
-        interleave, block, done = interleave[source], np.cumsum(parted) - 1, done + w
-        common = np.where(parted, 0, done).astype(np.int32)
+        source = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+        key >>= np.uint64(bits)
+        block = block[source]
+        parted = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+        shard, block, done = shard[source], np.cumsum(parted, dtype=np.int32) - np.int32(1), done + w
+        common = np.where(parted, 0, done).astype(common.dtype)
         # The k-th slot of a shard holds its k-th row.
-        row = np.empty(total, dtype=np.int64)
-        row[np.argsort(interleave, kind="stable")] = np.arange(total)
-    return interleave, row, block, common
+        row = np.empty(total, dtype=np.int32)
+        row[np.argsort(shard, kind="stable")] = np.arange(total, dtype=np.int32)
+    return shard, row, block, common
 
 
 def interval_minima(data: np.ndarray, lengths: np.ndarray, values: np.ndarray, depth: int, shard_bytes: int = 1 << 18) -> np.ndarray:
@@ -111,14 +118,19 @@ def interval_minima(data: np.ndarray, lengths: np.ndarray, values: np.ndarray, d
     if len(np.unique(shard_of)) > 60_000:
         shard_of = shard_of * 60_000 // (shard_of.max() + 1)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard_of)) + 1, [len(lengths)]])
-    shards, string, place = [], [], []
+    total = int((lengths + 1).sum())
+    width = symbol_width(total, depth)
+    before: dict[int, list] = {w: [] for w in {width, depth % width or width}}
+    sizes, string, place = [], [], []
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         cycles = Cycles(data[ends[lo] - lengths[lo] : ends[hi - 1]], lengths[lo:hi])
         order = build(cycles)
-        shards.append((cycles, order))
-        string.append(cycles.string[order] + lo)
+        sizes.append(len(order))
+        for w, made in before.items():
+            made.append(packed(cycles, w, True)[order])
+        string.append(cycles.string[order] + np.int32(lo))
         place.append(cycles.offset[order])
-    _, row, block, _ = merge(shards, depth)
+    _, row, block, _ = interleave(sizes, {w: np.concatenate(made) for w, made in before.items()}, depth)
     string, place = np.concatenate(string)[row], np.concatenate(place)[row]
     whole = place + depth <= lengths[string]
     worth = np.where(whole, values[string], none)

@@ -209,15 +209,13 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     columns = list(dict.fromkeys([*names, text]))
     source = docs.select(*columns)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    for rows in blocks(benchmark, item_id, item_text, block_bytes) if docs is not None else ():
+    for rows in blocks(benchmark, item_id, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(rows)
-        cache: dict = {}
 
-        def run(batches, sent=sent, cache=cache):
-            if "index" not in cache:
-                cache["index"] = make_index(sent.value)
+        def run(batches, sent=sent):
+            index = make_index(sent.value)
             for batch in sized(batches, text):
-                counts, runs, items, found = match_shard(batch.column(batch.schema.get_field_index(text)), cache["index"])
+                counts, runs, items, found = match_shard(batch.column(batch.schema.get_field_index(text)), index)
                 made = [pa.array(counts), pa.array(runs, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, type=pa.list_(pa.string())), pa.array(found, type=pa.list_(_OUT))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "n_words", "hits", "items", "matches"])
 
@@ -241,9 +239,20 @@ def _merged(frames: list[DataFrame], names: list[str]) -> DataFrame:
     return group.withColumn("hits", joined).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__times", "__copy")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark."""
-    return find(docs, benchmark, keep=tuple(docs.columns), **columns).filter(F.size("hits") == 0).select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a window of the benchmark. Each block filters what the ones before left."""
+    schema = docs.schema
+    for rows in blocks(benchmark, item_id, item_text, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, sent=sent):
+            index = make_index(sent.value)
+            for batch in sized(batches, text):
+                runs = match_shard(batch.column(batch.schema.get_field_index(text)), index)[1]
+                yield batch.filter(pa.array([not r for r in runs], pa.bool_()))
+
+        docs = arrow_map(docs, run, schema)
+    return docs
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

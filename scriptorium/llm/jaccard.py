@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components
-from scriptorium.llm.support import arrow_map, discard, list_array, sized, texts, written
+from scriptorium.llm.support import arrow_map, discard, gathered, list_array, sized, texts, written
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles are hot from so many documents; the hottest so many are kept in mind (their bytes are broadcast).
@@ -99,8 +99,8 @@ def hot_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Sorted hashes of the ``MAX_HOT`` most shared shingles at most. Each batch reports those that ``SEEN`` of its documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in sized(batches, text, 64 << 20):
-            every = np.concatenate([*distinct_sets(batch.column(batch.schema.get_field_index(text)), size), np.zeros(0, np.uint64)])
+        for batch in gathered(batches, text, 16 << 20):
+            every = np.concatenate([*(s for part in sized([batch], text) for s in distinct_sets(part.column(part.schema.get_field_index(text)), size)), np.zeros(0, np.uint64)])
             hashes, n = np.unique(every, return_counts=True)
             often = n >= SEEN
             yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])

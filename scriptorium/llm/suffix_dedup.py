@@ -37,7 +37,7 @@ from scriptorium.llm import bwt
 from scriptorium.llm.support import discard, free_shuffles, list_array, written
 
 LENGTH, ANCHOR = 50, 20
-PART_BYTES, RANGE_BYTES = 24 << 20, 24 << 20
+PART_BYTES, RANGE_BYTES = 12 << 20, 4 << 20
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 

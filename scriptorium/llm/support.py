@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_ROWS = 2000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -66,7 +68,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow``, with a name that reads the same everywhere."""
+    """``mapInArrow`` over batches of ``BATCH_ROWS`` at most, so that neither the JVM nor Python holds many long texts at once."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(function, schema)
 
 
@@ -109,7 +114,7 @@ def texts(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(ends - ends[0])), body)
 
 
-def sized(batches: Iterable[pa.RecordBatch], text: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sized(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text at most, so long documents don't pile up."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -126,6 +131,19 @@ def sized(batches: Iterable[pa.RecordBatch], text: str, limit: int = 16 << 20) -
             start = stop
 
 
+def gathered(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: one is given out when it has ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so only when the driver collects its garbage."""
     import gc
