@@ -69,7 +69,7 @@ def wer_of(ref: Column, hyp: Column, tokenizer: str = "whitespace") -> Column:
 
 
 def wer(ref: Column, hyp: Column, tokenizer: str = "whitespace") -> Column:
-    return wer_of(nfc(ref), nfc(hyp), tokenizer)
+    return let(F.struct(nfc(ref).alias("r"), nfc(hyp).alias("h")), lambda pair: wer_of(pair["r"], pair["h"], tokenizer))
 
 
 def bit_parallel_distance(a: str, b: str) -> int:

@@ -127,7 +127,8 @@ def transcribe(images: DataFrame, chosen: Adapter, keys: tuple[str, ...] = ("boo
     """A manifest row with the text for each image: (keys, model, text, latency_ms, text_length, skipped, error)."""
     asked = images.select(*keys, base64_line(F.col(content)).alias("image"))
     found = _call(asked, ["image"], list(keys), chosen, tasks)
-    text = nfc(model_output(F.col("answer")) if chosen.cleans else F.col("answer"))
+    kept = model_output(F.col("answer")) if chosen.cleans else F.col("answer")
+    text = nfc(F.when(F.col("error").isNull(), kept))
     return found.withColumn("text", text).select(*keys, F.lit(chosen.name).alias("model"), "text", F.round("latency_ms", 1).alias("latency_ms"), F.length("text").alias("text_length"), F.lit(False).alias("skipped"), "error")
 
 

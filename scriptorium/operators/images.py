@@ -106,7 +106,7 @@ def deskew(image: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     if threshold < 0:
         raise ValueError(f"threshold must not be negative, got {threshold}")
     angle = skew_angle(_checked(image))
-    return image if angle is None or abs(angle) < threshold else rotate(image, -angle)
+    return image if angle is None or abs(angle) < threshold else rotate(image, angle)
 
 
 def _opencv():

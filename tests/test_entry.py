@@ -1,0 +1,82 @@
+import random
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as entry
+from scriptorium.functions import metrics
+from scriptorium.plans.queries import ORACLES, QUERIES
+from tests.test_functions import table_distance
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if v is None or v is pd.NA or v != v:
+        return "-"
+    if isinstance(v, bool) or type(v).__name__ == "bool":
+        return str(bool(v))
+    return f"{v:.6g}" if isinstance(v, float) or type(v).__name__.startswith("float") else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, sf_dir, con, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    assert len(got)
+    if name in ORACLES:
+        want = con.sql(ORACLES[name]).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        order = sorted(got.columns)
+        as_rows = lambda df: sorted(tuple(map(plain, r)) for r in df[order].itertuples(index=False, name=None))
+        assert as_rows(got) == as_rows(want)
+
+
+def test_entry_and_registry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_document_cer(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["cer"] for r in QUERIES["document_cer"](spark, sf_dir).collect()}
+    assert set(got) == {d for d, t in docs.items() if t.strip()}
+    for d in random.Random(1).sample([d for d in got if len(docs[d]) < 1200], 12):
+        assert got[d] == pytest.approx(table_distance(docs[d], docs[d].replace("th", "t")) / len(docs[d]), abs=1e-6)
+
+
+def test_error_categories(spark, sf_dir):
+    from scriptorium.plans import inputs
+
+    made = inputs.transcriptions(inputs.benchmark_truth(spark, sf_dir))
+    truth = {(r["book_id"], r["page_id"]): r["ref"] for r in inputs.benchmark_truth(spark, sf_dir).collect()}
+    want: dict = {}
+    for r in made.collect():
+        for c, n in metrics.edit_units(truth[r["book_id"], r["page_id"]], r["text"]).items():
+            key = (r["model"], r["preprocessing"], c)
+            want[key] = want.get(key, 0) + n
+    got = {(r["model"], r["preprocessing"], r["category"]): r["count"] for r in QUERIES["error_categories"](spark, sf_dir).collect()}
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_page_agreement(spark, sf_dir):
+    from itertools import combinations
+
+    from scriptorium.plans import inputs
+
+    pages: dict = {}
+    for r in inputs.transcriptions(inputs.benchmark_truth(spark, sf_dir)).collect():
+        pages.setdefault((r["book_id"], r["page_id"]), []).append((f"{r['model']}_{r['preprocessing']}", r["text"]))
+    got = {(r["book_id"], r["page_id"]): r["agreement"] for r in QUERIES["page_agreement"](spark, sf_dir).collect()}
+    for key, cells in list(pages.items())[:10]:
+        texts = [t for _, t in sorted(cells)]
+        scores = [metrics.gestalt(a, b) for a, b in combinations(texts, 2)]
+        assert got[key] == pytest.approx(sum(scores) / len(scores), abs=1e-6)
