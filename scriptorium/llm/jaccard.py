@@ -37,9 +37,9 @@ from scriptorium.llm.support import arrow_map, discard, gathered, list_array, si
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles are hot from so many documents; the hottest so many are kept in mind (their bytes are broadcast).
-HOT, MAX_HOT = 24, 1 << 18
+HOT, MAX_HOT = 8, 1 << 18
 #: Documents of one batch from which a shingle is reported to the count.
-SEEN = 3
+SEEN = 2
 #: Ids beyond which a semi-join isn't broadcast.
 MAX_IDS = 500_000
 #: Bits of the smallest and largest bitmap; between them, at least two for each shingle.
