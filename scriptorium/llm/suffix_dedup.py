@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bwt
-from scriptorium.llm.support import discard, free_shuffles, list_array, written
+from scriptorium.llm.support import discard, free_shuffles, release_memory, written
 
 LENGTH, ANCHOR = 50, 20
-PART_BYTES, RANGE_BYTES = 12 << 20, 4 << 20
+PART_BYTES, RANGE_BYTES = 8 << 20, 1 << 20
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
@@ -190,6 +190,8 @@ ANSWERS = "part int, range int, runs binary, windows binary, ids binary"
 
 
 def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    """The rows of a group, which is the last thing that its function makes."""
+    release_memory()
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 

@@ -72,7 +72,12 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_mod(key: Column, n: int) -> Column:
@@ -144,6 +149,17 @@ def gathered(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterat
         yield pa.concat_batches(held)
 
 
+def release_memory() -> None:
+    """Hand what Arrow and the C library hold back for later to the system; a Python worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so only when the driver collects its garbage."""
     import gc
