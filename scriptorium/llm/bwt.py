@@ -38,10 +38,22 @@ class Cycles:
 
 
 def packed(cycles: Cycles, width: int, back: bool) -> np.ndarray:
-    """``width`` symbols from each place on (or before it, with ``back``) as one big-endian number."""
-    out = np.zeros(len(cycles.text), dtype=np.uint64)
+    """``width`` symbols from each place on (or before it, with ``back``) as one big-endian number.
+
+    Neighbours in the text are neighbours in the cycle but at its ends, so only those places look around."""
+    n = len(cycles.text)
+    out = np.zeros(n, dtype=np.uint64)
+    edge = np.flatnonzero(cycles.offset < width if back else cycles.offset + width > cycles.cycle)
+    first, offset, cycle = cycles.first[edge], cycles.offset[edge], cycles.cycle[edge]
+    around = np.zeros(len(edge), dtype=np.uint64)
     for k in range(width):
-        out = (out << np.uint64(8)) | cycles.text[cycles.after(k - width if back else k)]
+        shift = k - width if back else k
+        out <<= np.uint64(8)
+        around <<= np.uint64(8)
+        if abs(shift) < n:
+            out[max(0, -shift) : n - max(0, shift)] |= cycles.text[max(0, shift) : n - max(0, -shift)]
+        around |= cycles.text[first + (offset + shift) % cycle]
+    out[edge] = around
     return out
 
 
