@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components
-from scriptorium.llm.support import arrow_map, discard, gathered, list_array, sized, texts, written
+from scriptorium.llm.support import arrow_map, discard, free_shuffles, gathered, list_array, sized, texts, written
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles are hot from so many documents; the hottest so many are kept in mind (their bytes are broadcast).
@@ -195,6 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     x, y = (chosen.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "xy")
     out = written(arrow_map(pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y"), run, "x long, y long").distinct(), "edges")
     discard(needed, chosen)
+    free_shuffles(docs.sparkSession)
     return out
 
 
@@ -219,6 +220,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     groups = filled.join(copies, "fp").filter(F.col("rep").isNotNull()).groupBy("ph", "n").agg(F.min("rep").alias("g"))
     nodes = written(unique.join(groups, ["ph", "n"]).select("rep", "g", "n", "bitmap", "prefix"), "nodes")
     members = nodes.select("rep", "g", "n")
+    free_shuffles(docs.sparkSession)
 
     # Shingles of group prefixes that at least two groups, or two members of one, hold.
     listed = nodes.filter("rep = g").select("g", "n", F.posexplode("prefix").alias("i", "token"))
@@ -227,6 +229,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     shared = weights.filter("lists > 1").select("token")
     postings = written(listed.join(shared, "token").select("token", "g", "n", "i"), "postings")
     comps = members.select("rep", F.col("rep").alias("comp")).distinct()
+    free_shuffles(docs.sparkSession)
 
     # Round one: the smallest group of each list leads it; members of a group follow its own leader.
     lead = postings.groupBy("token").agg(F.min(F.struct("g", "n", "i")).alias("lead"))
