@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ _TABLE[65:91] = np.arange(97, 123)
 _TABLE[128:] = np.arange(128, 256)
 
 MATCHES = "array<struct<item:string,doc_start:int,item_start:int,n_words:int>>"
-SCHEMA = f"n_words long, hits array<struct<start:int,end:int>>, items array<string>, matches {MATCHES}"
+SCHEMA = f"__text long, n_words long, hits array<struct<start:int,end:int>>, items array<string>, matches {MATCHES}"
 
 
 def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -203,7 +204,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> I
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: its id, the columns in ``keep``, n_words, hits (word ranges), items, matches (the longest for each item).
 
-    With more than one block, the rows of a document are matched up by id and text."""
+    With more than one block, the rows of a document are matched up by those columns and a hash of its text."""
     spark, frames = docs.sparkSession, []
     names = list(dict.fromkeys([doc_id, *keep]))
     columns = list(dict.fromkeys([*names, text]))
@@ -216,19 +217,20 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             index = make_index(sent.value)
             for batch in sized(batches, text):
                 counts, runs, items, found = match_shard(batch.column(batch.schema.get_field_index(text)), index)
-                made = [pa.array(counts), pa.array(runs, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, type=pa.list_(pa.string())), pa.array(found, type=pa.list_(_OUT))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "n_words", "hits", "items", "matches"])
+                own = [None if t is None else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                made = [pa.array(own, pa.int64()), pa.array(counts), pa.array(runs, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, type=pa.list_(pa.string())), pa.array(found, type=pa.list_(_OUT))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "__text", "n_words", "hits", "items", "matches"])
 
         frames.append(arrow_map(source, run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + SCHEMA))
     if not frames:
         return find(docs, spark.createDataFrame([("", "")], f"`{item_id}` string, `{item_text}` string"), doc_id, text, item_id, item_text, keep)
     if len(frames) == 1:
-        return frames[0]
-    return _merged(frames, names)
+        return frames[0].drop("__text")
+    return _merged(frames, [*names, "__text"]).drop("__text")
 
 
 def _merged(frames: list[DataFrame], names: list[str]) -> DataFrame:
-    """One row from each document's rows, one for each block. Rows that agree in ``names`` and word count are the same document (repeated rows give as many rows as one block has)."""
+    """One row from each document's rows, one for each block. Rows that agree in ``names`` are the same document (repeated rows give as many rows as one block has)."""
     tagged = [f.withColumn("__block", F.lit(i)) for i, f in enumerate(frames)]
     every = tagged[0]
     for f in tagged[1:]:

@@ -245,6 +245,18 @@ def fit(train: DataFrame, names: list[str], text: str = "text", lang: str = "lan
     return Model(names, languages, table)
 
 
+def posteriors(model: Model, pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the number of the likeliest language (-1 without letters or languages) and its posterior."""
+    words, index, counts = letters(column)
+    n = len(counts)
+    if not model.languages or not n:
+        return np.full(n, -1), np.zeros(n)
+    each, owner = word_scores(pieces, model.table, words), np.repeat(np.arange(n), counts)
+    total = np.stack([np.bincount(owner, weights=each[index, k], minlength=n) for k in range(len(model.languages))], axis=1)
+    top = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return np.where(counts > 0, total.argmax(axis=1), -1), np.where(counts > 0, top, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model.parts())
@@ -254,14 +266,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         m = Model(*sent.value)
         pieces = Pieces(m.names)
         for batch in sized(batches, text):
-            words, index, counts = letters(batch.column(batch.schema.get_field_index(text)))
-            n, best, score = len(counts), np.full(len(counts), -1), np.zeros(len(counts))
-            if m.languages:
-                each, owner = word_scores(pieces, m.table, words), np.repeat(np.arange(n), counts)
-                total = np.stack([np.bincount(owner, weights=each[index, k], minlength=n) for k in range(len(m.languages))], axis=1)
-                share = np.exp(total - total.max(axis=1, keepdims=True))
-                share /= share.sum(axis=1, keepdims=True)
-                best, score = np.where(counts > 0, total.argmax(axis=1), -1), np.where(counts > 0, share.max(axis=1), 0.0)
+            best, score = posteriors(m, pieces, batch.column(batch.schema.get_field_index(text)))
             named = pa.array([m.languages[i] if i >= 0 else "und" for i in best], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(doc_id)), named, pa.array(score)], names=[doc_id, "lang_pred", "score"])
 
@@ -287,15 +292,8 @@ def kept(docs: DataFrame, names: list[str], least: float = 0.5, doc_id: str = "d
         m = Model(*sent.value)
         pieces = Pieces(m.names)
         for batch in sized(batches, text):
-            words, index, counts = letters(batch.column(batch.schema.get_field_index(text)))
-            n = len(counts)
-            if m.languages:
-                each, owner = word_scores(pieces, m.table, words), np.repeat(np.arange(n), counts)
-                total = np.stack([np.bincount(owner, weights=each[index, k], minlength=n) for k in range(len(m.languages))], axis=1)
-                top = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            else:
-                top = np.zeros(n)
-            yield batch.filter(pa.array((counts > 0) & (top >= least)))
+            best, score = posteriors(m, pieces, batch.column(batch.schema.get_field_index(text)))
+            yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
     return arrow_map(docs, run, schema)
 
