@@ -214,12 +214,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     heads = written(head(source, "doc_id", "text", hot_shingles(source, "text", size), size, percent), "heads")
-    filled = heads.filter("n > 0")
-    copies = written(filled.groupBy("fp").agg(F.min("doc_id").alias("rep")), "copies")
-    unique = filled.join(copies, (filled["fp"] == copies["fp"]) & (filled["doc_id"] == copies["rep"])).select("rep", "n", "ph", "bitmap", "prefix").dropDuplicates(["rep", "n", "ph"])
-    groups = filled.join(copies, "fp").filter(F.col("rep").isNotNull()).groupBy("ph", "n").agg(F.min("rep").alias("g"))
-    nodes = written(unique.join(groups, ["ph", "n"]).select("rep", "g", "n", "bitmap", "prefix"), "nodes")
+    slim = written(heads.select("doc_id", "n", "fp", "ph"), "slim")
+    # Copies and groups are found without prefixes and bitmaps, which are shuffled once.
+    filled = slim.filter("n > 0")
+    copies = written(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ph").alias("ph")), "copies")
+    groups = copies.filter(F.col("rep").isNotNull()).groupBy("ph", "n").agg(F.min("rep").alias("g"))
+    placed = copies.join(groups, ["ph", "n"]).select(F.col("fp").alias("own"), "rep", "g")
+    unique = heads.join(placed, (F.col("fp") == F.col("own")) & (F.col("doc_id") == F.col("rep"))).select("fp", "rep", "g", "n", "bitmap", "prefix")
+    if filled.groupBy("fp", "doc_id").count().filter("count > 1").limit(1).count():
+        unique = unique.dropDuplicates(["fp", "rep"])
+    nodes = written(unique.drop("fp"), "nodes")
     members = nodes.select("rep", "g", "n")
+    discard(heads)
     free_shuffles(docs.sparkSession)
 
     # Shingles of group prefixes that at least two groups, or two members of one, hold.
@@ -262,8 +268,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     pairs = met.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
     comps = relabelled(comps, verified(pruned(written(pairs, "pairs"), nodes, percent), source, size, percent))
 
-    labelled = copies.join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
-    found = heads.select("doc_id", "n", "fp").join(labelled, "fp", "left")
+    labelled = copies.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
+    found = slim.select("doc_id", "n", "fp").join(labelled, "fp", "left")
     return found.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
