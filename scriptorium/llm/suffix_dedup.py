@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bwt
-from scriptorium.llm.support import discard, free_shuffles, release_memory, written
+from scriptorium.llm.support import arrow_map, discard, free_shuffles, release_memory, written
 
 LENGTH, ANCHOR = 50, 20
 PART_BYTES, RANGE_BYTES = 8 << 20, 1 << 20
@@ -216,8 +216,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     buckets = max(parts, shuffles)
     part = F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("int")
     name = f"scriptorium_parts_{uuid.uuid4().hex[:12]}"
-    unique = source.join(firsts.select("sha", "id"), ["sha", "id"], "left_semi").dropDuplicates(["sha"]) if _repeats(slim) else source.join(firsts.select("sha", "id"), ["sha", "id"], "left_semi")
-    unique.select("id", "sha", F.col("text").cast("binary").alias("text"), part.alias("part")).repartition(buckets, "part").write.option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
+    usable = source.filter((F.octet_length("text") >= length) & F.col("id").isNotNull()).select("id", "sha", F.col("text").cast("binary").alias("text"), part.alias("part"))
+    # Copies share a part. A task sends one of those it sees, and a part keeps the one with the smallest id, so no join has to move the texts.
+    arrow_map(usable, _one_of_each, usable.schema).repartition(buckets, "part").write.option("compression", "zstd").bucketBy(buckets, "part").saveAsTable(name)
     free_shuffles(spark)
     try:
         result = _resolved(spark, name, ranges, length)
@@ -239,9 +240,27 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     return out
 
 
-def _repeats(slim: DataFrame) -> bool:
-    """Whether any row repeats an id and a text."""
-    return slim.groupBy("id", "sha").count().filter("count > 1").limit(1).count() > 0
+def _smallest(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Of each text, the place of the row with the smallest id."""
+    ids, sha = rows["id"].to_numpy(), np.array(rows["sha"].to_pylist(), dtype="S64")
+    order = np.lexsort((ids, sha))
+    return np.sort(order[np.concatenate([np.ones(min(1, len(order)), bool), sha[order][1:] != sha[order][:-1]])])
+
+
+def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows whose text the task has sent before under the same or a smaller id."""
+    sent: dict[bytes, int] = {}
+    for batch in batches:
+        batch = batch.take(pa.array(_smallest(batch)))
+        keep = [sent.get(s, i + 1) > i for s, i in zip(batch["sha"].to_pylist(), batch["id"].to_pylist(), strict=True)]
+        sent.update(x for x, k in zip(zip(batch["sha"].to_pylist(), batch["id"].to_pylist(), strict=True), keep, strict=True) if k)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _firsts(group: pa.Table) -> pa.Table:
+    """A part with one row for each text."""
+    at = _smallest(group)
+    return group if len(at) == len(group) else group.take(pa.array(at))
 
 
 def _resolved(spark, name: str, ranges: int, length: int) -> DataFrame:
@@ -250,7 +269,7 @@ def _resolved(spark, name: str, ranges: int, length: int) -> DataFrame:
 
     def name_rows(key: tuple, group: pa.Table) -> pa.Table:
         """Of one part: its distinct names by range. The lowest bit tells whether two documents of the part hold the name."""
-        names, docs_, _, _ = segments(*joined(group["text"]), length)
+        names, docs_, _, _ = segments(*joined(_firsts(group)["text"]), length)
         order = np.lexsort((docs_, names))
         names, docs_ = names[order], docs_[order]
         new = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.zeros(0, bool)
@@ -305,6 +324,7 @@ def _resolved(spark, name: str, ranges: int, length: int) -> DataFrame:
         columns = ["range", "part", "names", "sizes", "ids", "data"]
         if not len(text):
             return _table([], columns, kinds)
+        text = _firsts(text)
         raw, _, names, doc, starts, sizes, k, n = of_part(text, known)
         ids = text["id"].to_numpy()
         least = np.full(n, _NONE)
@@ -336,6 +356,7 @@ def _resolved(spark, name: str, ranges: int, length: int) -> DataFrame:
         columns = ["sha", "n_removed", "kept_sha256", "start", "end"]
         out: list[tuple] = []
         if len(text) and len(known):
+            text = _firsts(text)
             raw, ends, names, doc, starts, sizes, k, n = of_part(text, known.filter(known["names"].is_valid()))
             first = firsts_of(k, n)
             told = {row["range"]: row for row in known.filter(known["runs"].is_valid()).to_pylist()}
