@@ -115,7 +115,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.cumsum(lengths) - lengths
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        for part in np.array_split(at, max(1, len(at) * int(length) // 2_000_000)):
+        for part in np.array_split(at, max(1, len(at) * int(length) // 400_000)):
             block = codes[starts[part][:, None] + np.arange(length)]
             yield part, np.concatenate([np.full((len(part), 1), ord(BEGIN), np.uint64), block], axis=1)
 

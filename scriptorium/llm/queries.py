@@ -48,8 +48,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: bpe.Ranks, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of each text and the bytes they decode to, as digests."""
-    ids = bpe.encode(docs.select(doc_id, text), ranks, text=text, drop=(text,))
-    back = bpe.decode(ids, ranks)
+    back = bpe.encode(docs.select(doc_id, text), ranks, text=text, drop=(text,), decoded="decoded")
     numbers = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return back.select(doc_id, F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
