@@ -274,9 +274,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the row whose id is the component's. Documents without words stay, as do null ids without copies."""
-    kept = join(docs, doc_id, text).filter((F.col(doc_id) == F.col("component_id")) | F.col("component_id").isNull())
-    names = kept.select(F.col(doc_id).alias("__id"), (F.col("n_shingles") > 0).alias("__filled"))
-    once = names.groupBy("__id", "__filled").count().filter("count > 1 and __filled").select("__id").limit(1).count() == 0
-    stay = docs.join(names.select("__id").distinct(), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    return stay if once else stay.dropDuplicates([doc_id])
+    """``docs`` with one row of each component: one with its smallest id, null ids last. All rows without words stay.
+
+    Ids only name rows where each is one row's; else rows are numbered and linked by their number, so neither null nor repeated ids tie texts together."""
+    if not docs.groupBy(doc_id).count().filter((F.col("count") > 1) | F.col(doc_id).isNull()).limit(1).count():
+        kept = join(docs, doc_id, text).filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id"))
+        return docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = join(rows.select("__row", text), "__row", text)
+    # Rows of one id and different texts go by the text, so the choice doesn't hang on how rows lie.
+    rank = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col("__row"))
+    ranked = rows.select("__row", rank.alias("rank")).join(found, "__row").filter("n_shingles > 0")
+    first = ranked.groupBy("component_id").agg(F.min_by("__row", "rank").alias("__first")).select("__first")
+    stay = first.unionByName(found.filter("n_shingles = 0").select(F.col("__row").alias("__first")))
+    return rows.join(stay, F.col("__row") == F.col("__first"), "left_semi").drop("__row")

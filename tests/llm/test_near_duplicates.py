@@ -83,6 +83,18 @@ def test_repeated_and_null_ids(make_docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_one_of_each_goes_by_text_not_by_id(make_docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, a), (None, near(a)), (None, b), (5, c), (5, d), (5, ""), (5, ""), (None, None), (3, near(d)), (7, near(b)), (7, near(b))]
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    kept = jaccard.one_of_each(docs)
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in kept.collect()), key=repr)
+    first = [t for i, t in got if t in (a, near(a))]  # null ids alone: either text may stay
+    assert kept.columns == docs.columns and len(first) == 1
+    assert got == sorted([("None", first[0]), ("5", c), ("5", ""), ("5", ""), ("None", None), ("3", near(d)), ("7", near(b))], key=repr)
+
+
 def test_hashes_of_slices():
     texts = corpus(random.Random(5)) + [None, "", "Ünï çødé A B C"] * 20
     whole = jaccard.distinct_sets(pa.array(texts))
