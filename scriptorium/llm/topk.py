@@ -7,7 +7,7 @@ evaluated by falling bound, and the search ends when the next bound is below the
 nothing that is left can enter, not even by a tie.
 
 Pivots are chosen farthest-first from a sample of ``PIVOT_SAMPLE`` vectors at most; they change how
-much is evaluated, never the result. Queries and candidates meet in a grid of cells of bounded
+much is evaluated, never the result. All vectors of a length that the sample misses are evaluated. Queries and candidates meet in a grid of cells of bounded
 size, so no task holds more than a block of each.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part. Vectors of
@@ -137,10 +137,11 @@ def top_k(df: DataFrame, is_query: Column, id_column: str = "vec_id", vector: st
         if len(left) and len(right):
             dim = left["dim"][0].as_py()
             x, ids = matrix(right["v"], dim), right["vec_id"].to_numpy()
-            n_pivots = len(right["to_pivots"][0])
-            x_table, x_norm = matrix(right["to_pivots"], n_pivots), (x.astype(np.float64) ** 2).sum(axis=1)
+            n_pivots = len(right["to_pivots"][0])  # none for a length that the sample missed
+            table_of = lambda side: matrix(side["to_pivots"], n_pivots) if n_pivots else np.zeros((len(side), 0))
+            x_table, x_norm = table_of(right), (x.astype(np.float64) ** 2).sum(axis=1)
             x, ids, x_table, x_norm = _collapsed(x, ids, x_table, x_norm, k)
-            q, q_ids, q_table = matrix(left["v"], dim), left["vec_id"].to_numpy(), matrix(left["to_pivots"], n_pivots)
+            q, q_ids, q_table = matrix(left["v"], dim), left["vec_id"].to_numpy(), table_of(left)
             for i in range(len(q)):
                 found, scores = search(q[i], q_ids[i], q_table[i], x, ids, x_table, x_norm, k)
                 out[0].append(np.full(len(found), q_ids[i]))

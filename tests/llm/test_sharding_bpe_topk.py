@@ -112,6 +112,14 @@ def test_top_k(spark, monkeypatch):
     assert search(spark, [(*r, 0, 0, 0) for r in rows]) == brute_top(rows)
 
 
+def test_top_k_of_lengths_that_the_sample_misses(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(400)]
+    rows += [(1000 + i, [float(np.float32(x)) for x in rng.normal(size=n)]) for n in range(2, 8) for i in range(n * 50, n * 50 + 3)]
+    assert search(spark, [(*r, 0, 0, 0) for r in rows]) == brute_top(rows)
+
+
 def test_top_k_small_and_large_values(spark):
     assert search(spark, []) == []
     assert search(spark, [(0, [1.0], 0, 0, 0)]) == []
