@@ -26,9 +26,11 @@ def stratified(df: DataFrame, stratum: str, keys: list[str], per_stratum: int, s
     # Strata are few; rows are cut before the window by the share that their stratum needs.
     share = F.least(F.lit(1.0), F.lit(float(8 * per_stratum + 200)) / F.col("__n"))
     value = F.conv(F.substring("__order", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cut = df.withColumn("__order", order).join(sizes, stratum).filter(value <= share)
+    placed = df.withColumn("__order", order).join(sizes, stratum)
+    left = placed.filter(value <= share).groupBy(stratum).agg(F.count("*").alias("__left"))
+    cut = placed.join(left, stratum, "left").filter((value <= share) | (F.coalesce("__left", F.lit(0)) < per_stratum))
     ranked = cut.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__order", *keys))).filter(F.col("__r") <= per_stratum)
-    out = ranked.drop("__order", "__n", "__r")
+    out = ranked.drop("__order", "__n", "__left", "__r")
     if strict:
         failed = F.when(F.size("s") > 0, F.raise_error(F.concat(F.lit(f"fewer than {per_stratum} rows: "), F.array_join("s", ", "))).cast("boolean")).otherwise(True)
         out = out.join(short.filter(failed).select(F.lit(1).alias("__ok")), F.lit(True), "inner").drop("__ok")

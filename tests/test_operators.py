@@ -86,6 +86,13 @@ def test_stratified(spark):
     assert sampling.stratified(df.filter("s <> 'c'"), "s", ["id"], 6).count() == 12
 
 
+def test_stratified_with_few_distinct_keys(spark):
+    df = spark.createDataFrame([(ord(s), s) for s in "abcdef" for _ in range(2000)], "id long, s string")
+    for strict in (True, False):
+        got = sampling.stratified(df, "s", ["id"], 6, strict=strict).groupBy("s").agg(F.count("*").alias("n")).collect()
+        assert {r["s"]: r["n"] for r in got} == dict.fromkeys("abcdef", 6)
+
+
 def test_stratified_exact(spark):
     data = [(i, "ab"[i % 2]) for i in range(40)]
     df = spark.createDataFrame(data, "id long, s string").coalesce(1)
