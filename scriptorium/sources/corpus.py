@@ -15,6 +15,8 @@ from scriptorium.operators.pairing import pair
 from scriptorium.operators.sampling import spot_check
 
 IMAGE_EXTENSIONS, TEXT_EXTENSION = (".jpg", ".jpeg", ".png"), ".txt"
+#: Bytes that are looked at first for an image's size.
+HEAD_BYTES = 1 << 16
 
 
 def image_size(head: bytes | None) -> tuple[int, int] | None:
@@ -63,8 +65,11 @@ def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
 def inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Pages with both files (``PAGE_INVENTORY``), and what doesn't pair or can't be read (``MISMATCH``). Of several images of a page the first by path counts."""
     found = files(spark, root, content=True)
-    # The whole content is only read to its header; a column of it goes no further than the sizes.
-    images = found.filter(F.col("extension").isin(*IMAGE_EXTENSIONS)).select("book_id", "page_id", F.col("relative").alias("image_path"), F.col("length").alias("image_bytes"), dimensions(F.substring("content", 1, 1 << 16)).alias("size"))
+    # Most headers are in the first bytes; a JPEG whose segments before the size go on beyond them is walked whole.
+    size = dimensions(F.substring("content", 1, HEAD_BYTES))
+    late = F.col("head.width").isNull() & (F.col("length") > HEAD_BYTES) & (F.substring("content", 1, 2) == F.lit(b"\xff\xd8"))
+    found_sizes = found.filter(F.col("extension").isin(*IMAGE_EXTENSIONS)).withColumn("head", size).withColumn("whole", dimensions(F.when(late, F.col("content"))))
+    images = found_sizes.select("book_id", "page_id", F.col("relative").alias("image_path"), F.col("length").alias("image_bytes"), F.when(late, F.col("whole")).otherwise(F.col("head")).alias("size"))
     first = images.groupBy("book_id", "page_id").agg(F.min(F.struct("image_path", "image_bytes", "size")).alias("i")).select("book_id", "page_id", "i.*")
     texts = found.filter(F.col("extension") == TEXT_EXTENSION).select("book_id", "page_id", F.col("relative").alias("text_path"), F.col("length").alias("text_bytes"))
     every = pair(first, texts).withColumn("reason", F.when(F.col("reason").isNull() & F.col("size.width").isNull(), "image_unreadable: no PNG or JPEG header").otherwise(F.col("reason")))

@@ -44,6 +44,19 @@ def test_inventory(spark, tree):
         corpus.inventory(spark, tree + "/nowhere")[0].collect()
 
 
+def test_inventory_of_late_headers(spark, tmp_path):
+    (tmp_path / "book").mkdir()
+    plain = jpeg(7, 9)
+    (tmp_path / "book" / "p1.jpg").write_bytes(plain[:2] + (b"\xff\xe2\xff\xff" + b"x" * 65533) * 3 + plain[2:])
+    (tmp_path / "book" / "p2.jpg").write_bytes(plain)
+    (tmp_path / "book" / "p3.jpg").write_bytes(b"\xff\xd8" + b"x" * 100_000)
+    for page in ("p1", "p2", "p3"):
+        (tmp_path / "book" / f"{page}.txt").write_text("t")
+    found, bad = corpus.inventory(spark, str(tmp_path))
+    assert sorted((r["page_id"], r["image_width"], r["image_height"]) for r in found.collect()) == [("p1", 7, 9), ("p2", 7, 9)]
+    assert [r["page_id"] for r in bad.collect()] == ["p3"]
+
+
 def test_books_and_encoding(spark, tree):
     books = {r["book_id"]: r["paths"] for r in corpus.discover_books(spark, tree).collect()}
     assert books["."] == ["root.jpg"] and books["book_beta"] == ["book_beta/deep/p9.JPG", "book_beta/p1.jpg", "book_beta/p2.jpg", "book_beta/p4.jpg"]
