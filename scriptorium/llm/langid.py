@@ -30,7 +30,8 @@ from scriptorium.llm.support import arrow_map, bounded_sample, crc_mod, sized, t
 #: Training rows at most, rounds of expectation-maximisation, added to each expected count.
 SAMPLE, ROUNDS, SMOOTHING = 30_000, 2, 0.05
 MAX_LANGUAGES = 1000
-LONGEST_PIECE, LONG_WORD = 10, 40
+#: The longest usable piece of piece_bpe_32k; beyond LONG_WORD characters the forward pass is scaled.
+LONGEST_PIECE, LONG_WORD = 16, 40
 BEGIN = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,7 +43,10 @@ def vocabulary(path: str) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     body = lambda p: p.removeprefix(BEGIN)
-    return list(dict.fromkeys(p for p in every if len(p) <= LONGEST_PIECE and p == p.lower() and (p == BEGIN or body(p).isalpha()) and BEGIN not in body(p)))
+    names = list(dict.fromkeys(p for p in every if p == p.lower() and (p == BEGIN or body(p).isalpha()) and BEGIN not in body(p)))
+    if max(map(len, names), default=0) > LONGEST_PIECE:
+        raise ValueError(f"the model has pieces of more than {LONGEST_PIECE} characters")
+    return names
 
 
 class Pieces:

@@ -87,6 +87,14 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((counts[:, 0] * lengths).sum(), 3 * 5)
 
 
+def test_long_pieces_count(names):
+    assert {"translation", "▁information", "▁understand", "▁government"} <= set(names)
+    pieces = langid.Pieces(names)
+    codes = np.array([[ord(c) for c in "▁information"]], dtype=np.uint64)
+    assert (0, names.index("▁information")) in [(start, ids[0]) for start, ids in pieces.spans(codes)[-1]]
+    assert max(map(len, names)) == langid.LONGEST_PIECE
+
+
 def test_long_words_agree_with_logarithms(names):
     pieces = langid.Pieces(names)
     table = langid._table(np.random.default_rng(2).random((len(names) + 1, 3)))
