@@ -1,16 +1,25 @@
 """Burrows-Wheeler transforms of small string collections and their merge (the core of operator 5).
 
 A shard holds distinct strings, each a cycle closed by one terminator (0xFF, which UTF-8 never
-holds). ``build`` sorts a shard's rotations by prefix doubling. ``merge`` takes any number of built
-shards and finds how their rows interleave, without sorting rotations again: starting from the rows
-shard after shard, it repeatedly sorts the slots, stably, by the few symbols that precede each row.
-After a round that looks at w more symbols, the slots are in order of w more leading symbols. Two
-neighbours are parted as soon as they differ, so after ``depth`` symbols the blocks that are left
-are exactly the intervals of rotations with a common prefix of ``depth`` or more.
+holds). ``build`` sorts a shard's rotations. ``merge`` takes any number of built shards and finds how
+their rows interleave: it starts from the rows in order of their first two symbols and refines the
+interleave. Slots that agree in ``h`` symbols form a block; in a round, the slots of a block are put
+in order of the blocks that hold their rotations ``h`` symbols on, which looks at twice as many symbols.
+Only blocks of several slots are open; settled ones take no part, and no rotation is compared
+with another. Rows of one shard never change their order.
+
+The ranks of all rounds give the common prefix of every slot with the one before it. Repeated
+intervals are the maximal runs of slots whose common prefixes reach the wanted depth.
+
+Cases: no strings give empty results; a string shorter than the depth is in no interval of it,
+because its terminator makes its rotations differ from those of other strings or repeats the
+string's own end. Equal strings in a shard are an error.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 TERMINATOR = 0xFF
@@ -32,89 +41,104 @@ class Cycles:
         self.first, self.cycle = starts[self.string], cycle[self.string]
         self.offset = np.arange(len(self.text), dtype=np.int32) - self.first
 
-    def after(self, k: int) -> np.ndarray:
+    def after(self, k: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
         """The place ``k`` symbols on, around the cycle."""
-        return self.first + (self.offset + np.int32(k)) % self.cycle
-
-
-def packed(cycles: Cycles, width: int, back: bool) -> np.ndarray:
-    """``width`` symbols from each place on (or before it, with ``back``) as one big-endian number.
-
-    Neighbours in the text are neighbours in the cycle but at its ends, so only those places look around."""
-    n = len(cycles.text)
-    out = np.zeros(n, dtype=np.uint64)
-    edge = np.flatnonzero(cycles.offset < width if back else cycles.offset + width > cycles.cycle)
-    first, offset, cycle = cycles.first[edge], cycles.offset[edge], cycles.cycle[edge]
-    around = np.zeros(len(edge), dtype=np.uint64)
-    for k in range(width):
-        shift = k - width if back else k
-        out <<= np.uint64(8)
-        around <<= np.uint64(8)
-        if abs(shift) < n:
-            out[max(0, -shift) : n - max(0, shift)] |= cycles.text[max(0, shift) : n - max(0, -shift)]
-        around |= cycles.text[first + (offset + shift) % cycle]
-    out[edge] = around
-    return out
+        offset, cycle = self.offset[places] + np.int32(k), self.cycle[places]
+        over = np.flatnonzero(offset >= cycle)
+        offset[over] %= cycle[over]
+        return self.first[places] + offset
+
+    def packed(self, width: int) -> np.ndarray:
+        """``width`` symbols from each place on as one big-endian number."""
+        out = np.zeros(len(self.text), dtype=np.uint64)
+        for k in range(width):
+            out <<= np.uint64(8)
+            out |= self.text[self.after(k)]
+        return out
+
+
+def refined(cycles: Cycles, order: np.ndarray, fresh: np.ndarray, depth: int, levels: list | None = None, seen: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Refine an order of places whose blocks (``fresh`` marks their first slots) agree in ``seen`` symbols, until they agree in ``depth`` or are single.
+
+    Returns the order and the marks. Equal ones keep their order. ``levels`` gathers (symbols, rank of each place) of every round."""
+    n = len(order)
+    rank = np.empty(n, dtype=np.int32)
+    slot = np.arange(n, dtype=np.int32)
+    head = np.maximum.accumulate(np.where(fresh, slot, 0)) if n else slot
+    rank[order] = head
+    if levels is not None:
+        levels.append((seen, rank.copy()))
+    open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True))) if n else slot
+    while seen < depth and len(open_):
+        step = min(seen, depth - seen)
+        places = order[open_]
+        key = (rank[places].astype(np.int64) << 32) | rank[cycles.after(step, places)]
+        by = np.argsort(key, kind="stable")
+        places, key = places[by], key[by]
+        order[open_] = places
+        parted = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[open_] = parted
+        rank[places] = np.maximum.accumulate(np.where(parted, open_, 0)).astype(np.int32)
+        seen += step
+        if levels is not None:
+            levels.append((seen, rank.copy()))
+        # A block's members lie next to each other among the open slots.
+        open_ = open_[~(parted & np.append(parted[1:], True))]
+    return order, fresh
 
 
 def build(cycles: Cycles) -> np.ndarray:
     """The places of a shard (fewer than 2**31) in order of their rotations. The strings must be distinct, so no two rotations are equal."""
-    n = len(cycles.text)
-    key, seen = packed(cycles, 8, False), 8
-    while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        fresh = np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]])
-        dense = np.cumsum(fresh)
-        if n == 0 or dense[-1] == n - 1:
-            return order.astype(np.int32)
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = dense
-        key = (rank << np.uint64(32)) | rank[cycles.after(seen)]
-        seen *= 2
-        if seen > 4 * int(cycles.cycle.max()) + 16:
-            raise ValueError("the strings of a shard must be distinct")
-
-
-def merge(shards: list[tuple[Cycles, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave built shards up to ``depth`` symbols; see ``interleave``."""
-    sizes = [len(order) for _, order in shards]
-    width = symbol_width(int(np.sum(sizes)), depth)
-    return interleave(sizes, {w: np.concatenate([packed(c, w, True)[order] for c, order in shards]) for w in {width, depth % width or width}}, depth)
-
-
-def symbol_width(total: int, depth: int) -> int:
-    """Symbols looked at in a round: what is left of 64 bits beside a slot's number."""
-    return min((64 - max(1, (total - 1).bit_length())) // 8, depth) if total else depth
-
-
-def interleave(sizes: list[int], symbols: dict[int, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Refine the interleave of shards of the given sizes. symbols: by width, the symbols before each row, shard after shard in the shards' order.
-
-    Returns, slot by slot: the shard, the row within the joined shards, the number of its block, and the common prefix with the slot before, known up to the round in which they parted (``depth`` for equal ones)."""
-    total = int(np.sum(sizes))
-    bits = max(1, (total - 1).bit_length()) if total else 1
-    width = symbol_width(total, depth)
-    shard = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint8 if len(sizes) < 256 else np.uint16)
-    block, common, row = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.uint8 if depth < 256 else np.int32), np.arange(total, dtype=np.int32)
-    done = 0
-    while done < depth and total:
-        w = min(width, depth - done)
-        key = symbols[w][row]
-        key <<= np.uint64(bits)
-        # The slot number in the low bits makes the sort stable.
-        key |= np.arange(total, dtype=np.uint64)
-        key.sort()
-        source = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
-        key >>= np.uint64(bits)
-        block = block[source]
-        parted = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        shard, block, done = shard[source], np.cumsum(parted, dtype=np.int32) - np.int32(1), done + w
-        common = np.where(parted, 0, done).astype(common.dtype)
-        # The k-th slot of a shard holds its k-th row.
-        row = np.empty(total, dtype=np.int32)
-        row[np.argsort(shard, kind="stable")] = np.arange(total, dtype=np.int32)
-    return shard, row, block, common
+    key = cycles.packed(8)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    fresh = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    order, fresh = refined(cycles, order, fresh, 4 * int(cycles.cycle.max(initial=1)) + 16, seen=8)
+    if not fresh.all():
+        raise ValueError("the strings of a shard must be distinct")
+    return order
+
+
+@dataclass
+class Merged:
+    """Slot by slot: the place in the joined shards, its shard, and the common prefix with the slot before, ``depth`` at most."""
+
+    place: np.ndarray
+    shard: np.ndarray
+    common: np.ndarray
+
+
+def merge(every: Cycles, orders: list[np.ndarray], depth: int) -> Merged:
+    """Interleave the rows of built shards up to ``depth`` symbols. every: the strings of all shards, one after the other; orders: each shard's own rows."""
+    bases = np.concatenate([[0], np.cumsum([len(o) for o in orders])]).astype(np.int32)
+    rows = np.concatenate([*(o + b for o, b in zip(orders, bases[:-1], strict=True)), np.zeros(0, np.int32)]).astype(np.int32)
+    if not len(rows):
+        return Merged(rows, rows, rows)
+    start = min(2, depth)
+    # A counting pass: sixteen-bit keys are sorted by radix, and rows of a shard stay in order.
+    key = every.packed(start).astype(np.uint16)[rows]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    levels: list[tuple[int, np.ndarray]] = [(1, every.text.astype(np.int32))]
+    place, fresh = refined(every, rows[order], fresh, depth, levels, start)
+    return Merged(place, np.searchsorted(bases, place, side="right") - 1, common_prefixes(every, place, fresh, levels, depth))
+
+
+def common_prefixes(every: Cycles, place: np.ndarray, fresh: np.ndarray, levels: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
+    """Of each slot, the number of symbols that it shares with the slot before: what the ranks of each round, the farthest-seeing first, add up to."""
+    out = np.full(len(place), depth, dtype=np.int32)
+    out[:1] = 0
+    at = np.flatnonzero(fresh)[1:]
+    a, b = place[at - 1], place[at]
+    shared = np.zeros(len(at), dtype=np.int32)
+    left = np.arange(len(at))
+    for seen, rank in levels[::-1]:
+        same = left[rank[a[left]] == rank[b[left]]] if len(left) else left
+        shared[same] += seen
+        a[same], b[same] = every.after(seen, a[same]), every.after(seen, b[same])
+    out[at] = np.minimum(shared, depth)
+    return out
 
 
 def interval_minima(data: np.ndarray, lengths: np.ndarray, values: np.ndarray, depth: int, shard_bytes: int = 1 << 18) -> np.ndarray:
@@ -127,27 +151,14 @@ def interval_minima(data: np.ndarray, lengths: np.ndarray, values: np.ndarray, d
         return out
     ends = np.cumsum(lengths)
     shard_of = (ends - 1) // shard_bytes
-    if len(np.unique(shard_of)) > 60_000:
-        shard_of = shard_of * 60_000 // (shard_of.max() + 1)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard_of)) + 1, [len(lengths)]])
-    total = int((lengths + 1).sum())
-    width = symbol_width(total, depth)
-    before: dict[int, list] = {w: [] for w in {width, depth % width or width}}
-    sizes, string, place = [], [], []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        cycles = Cycles(data[ends[lo] - lengths[lo] : ends[hi - 1]], lengths[lo:hi])
-        order = build(cycles)
-        sizes.append(len(order))
-        for w, made in before.items():
-            made.append(packed(cycles, w, True)[order])
-        string.append(cycles.string[order] + np.int32(lo))
-        place.append(cycles.offset[order])
-    _, row, block, _ = interleave(sizes, {w: np.concatenate(made) for w, made in before.items()}, depth)
-    string, place = np.concatenate(string)[row], np.concatenate(place)[row]
-    whole = place + depth <= lengths[string]
+    orders = [build(Cycles(data[ends[lo] - lengths[lo] : ends[hi - 1]], lengths[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    every = Cycles(data, lengths)
+    merged = merge(every, orders, depth)
+    string, offset = every.string[merged.place], every.offset[merged.place]
+    whole = offset + depth <= lengths[string]
     worth = np.where(whole, values[string], none)
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    least = np.minimum.reduceat(worth, first)[block]
-    at = (ends - lengths)[string] + place
-    out[at[whole]] = least[whole]
+    fresh = merged.common < depth
+    least = np.minimum.reduceat(worth, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    out[((ends - lengths)[string] + offset)[whole]] = least[whole]
     return out

@@ -46,6 +46,16 @@ def _clean() -> None:
         _delete(*_made.pop())
 
 
+def deleted_at_exit(spark: SparkSession, path: str, now: bool = False) -> str:
+    """``path``, which goes when the driver ends, or at once."""
+    if (spark, path) not in _made:
+        _made.append((spark, path))
+    if now:
+        _delete(spark, path)
+        _made.remove((spark, path))
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` cut from its lineage: written as Parquet to the shared folder and read again.
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -134,18 +135,21 @@ def test_merge_finds_repeated_intervals():
 
 
 def test_merge_keeps_shards_in_order():
+    """Rows of a shard stay in order, and neighbours' common prefixes are those of their rotations."""
     parts = [[b"banana", b"bandana"], [b"ananas"], [b"cabana", b"nab"]]
-    built = []
-    for p in parts:
-        c = bwt.Cycles(np.frombuffer(b"".join(p), np.uint8), np.array([len(s) for s in p]))
-        built.append((c, bwt.build(c)))
-    shard, row, block, common = bwt.merge(built, 8)
-    rotations = [bytes(c.text[c.after(k)[i]] for k in range(8)) for c, order in built for i in order]
-    merged = [rotations[r] for r in row]
-    assert merged == sorted(merged)
-    assert all((a == b) == (x == y) for a, b, x, y in zip(merged, merged[1:], block, block[1:]))
-    for s in range(3):
-        assert (np.diff(row[shard == s]) > 0).all()
+    cycles = lambda p: bwt.Cycles(np.frombuffer(b"".join(p), np.uint8), np.array([len(s) for s in p]))
+    orders, every = [bwt.build(cycles(p)) for p in parts], cycles([s for p in parts for s in p])
+    for depth in (1, 2, 3, 8):
+        merged = bwt.merge(every, orders, depth)
+        rotations = [bytes(every.text[every.after(k)][i] for k in range(depth)) for i in merged.place]
+        assert rotations == sorted(rotations)
+        assert merged.common.tolist() == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(rotations, rotations[1:]))]
+        base = 0
+        for s, order in enumerate(orders):
+            row = np.empty(len(order), int)
+            row[order] = np.arange(len(order))
+            assert (np.diff(row[merged.place[merged.shard == s] - base]) > 0).all()
+            base += len(order)
 
 
 def brute_removed(ids, texts, length=50):
@@ -181,6 +185,38 @@ def test_dedup_against_brute_force(make_docs, nasty, monkeypatch):
     assert got == brute_removed(ids, texts)
 
 
+def test_dedup_of_crowded_names(make_docs, monkeypatch):
+    """One 20-byte string with thousands of contexts, more than a name may have segments, and texts in pieces."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 30)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijk") for _ in range(n))
+    tails = [word(60) for _ in range(5)]
+    texts = [word(rng.randint(0, 80)) + "-" * rng.randint(15, 70) + rng.choice([*tails, word(40)]) for _ in range(400)]
+    texts += ["ab" * 300, "ba" * 400, "-" * 500, *texts[:30]]
+    ids = rng.sample(range(10_000), len(texts))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(suffix_dedup.dedup(make_docs(texts, ids))).collect())
+    assert got == brute_removed(ids, texts)
+
+
+@pytest.mark.parametrize("piece", [64, 100, 1 << 17])
+def test_segments_hold_every_window_once(monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 49, 50, 51, 120, 300]))) for _ in range(60)]
+    ends = np.cumsum([len(t) for t in texts])
+    found = suffix_dedup.segments(np.frombuffer(b"".join(texts), np.uint8), ends, hashed=True)
+    windows, names = [], {}
+    for name, d, s, z, h in zip(found.names.tolist(), found.texts, found.starts, found.sizes, map(tuple, found.hashes.tolist()), strict=True):
+        own = texts[d][s - ends[d] + len(texts[d]) :][:z]
+        assert len(own) == z and names.setdefault(own, h) == h
+        for k in range(z - 49):
+            windows.append((d, s + k))
+            assert names.setdefault((own[k : k + 50],), name) == name
+    assert sorted(windows) == [(d, ends[d] - len(t) + i) for d, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
 def test_dedup_of_repeated_rows(make_docs):
     long = "".join(random.Random(6).choice("abcdefgh") for _ in range(120))
     texts, ids = [long, long, "x" + long, long + "y", "", None, long[:49]], [5, 5, 5, 9, 1, 2, 8]
