@@ -15,9 +15,11 @@ so no link between components is lost, while groups of near copies are not expan
 
 Cases: a document without words (null and empty texts too) has an empty set and is linked with
 nothing. Fewer words than a shingle make one shingle. Equal texts are linked, whatever their number.
-A doc_id that repeats gives a row each time, with the component of its own text. A row with a null
-id takes part through its copies only, and has a null component without any. Only the named columns
-are read.
+A doc_id that repeats gives a row each time, with the component of its own text, so two texts under
+one id are not tied together. Rows with a null id take full part; a component without any other id
+has a null one. For such ids, and for ids that aren't integers, rows are written once with a number
+of their own, which takes the id's place. Sets are of 64-bit shingle hashes throughout. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ MAX_IDS = 500_000
 BITMAPS = (512, 1 << 16)
 #: Leaders of each list in the second round.
 LEADERS = 3
+#: Components that hold a share of one in so many rows are at most so many.
+HEAVY = 1000
+#: Names of helping columns; they begin like no column of a table should.
+ROW, KEPT = "__jaccard_row", "__jaccard_kept"
 
 
 def shingle_hashes(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -210,23 +216,43 @@ def relabelled(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return written(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps")
 
 
+def names_rows(docs: DataFrame, doc_id: str) -> bool:
+    """Whether every row has an integer id of its own."""
+    if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return not docs.groupBy(doc_id).count().filter((F.col("count") > 1) | F.col(doc_id).isNull()).limit(1).count()
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    if names_rows(source, "id"):
+        found = linked(source.select(F.col("id").cast("long").alias("doc_id"), "text"), size, percent)
+        return found.select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id")
+    rows = written(source.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    found = linked(rows.select("doc_id", "text"), size, percent).join(rows.select("doc_id", "id"), "doc_id")
+    found = written(found, "numbered")
+    least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+    # A component of very many rows is one key here, so its name is sent to all if the rows of larger ones bound their number.
+    heavy = found.groupBy("component_id").count().filter(F.col("count") * HEAVY >= found.count()).select("component_id")
+    warm = found.join(F.broadcast(least.join(heavy, "component_id")), "component_id")
+    cold = found.join(F.broadcast(heavy), "component_id", "left_anti").join(least, "component_id")
+    return warm.unionByName(cold).select(F.col("id").alias(doc_id), "n_shingles", F.col("least").alias("component_id"))
+
+
+def linked(source: DataFrame, size: int, percent: int) -> DataFrame:
+    """:func:`join` for (doc_id, text) whose ids are longs, distinct and never null."""
     heads = written(head(source, "doc_id", "text", hot_shingles(source, "text", size), size, percent), "heads")
     slim = written(heads.select("doc_id", "n", "fp", "ph"), "slim")
     # Copies and groups are found without prefixes and bitmaps, which are shuffled once.
     filled = slim.filter("n > 0")
     copies = written(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ph").alias("ph")), "copies")
-    groups = copies.filter(F.col("rep").isNotNull()).groupBy("ph", "n").agg(F.min("rep").alias("g"))
+    groups = copies.groupBy("ph", "n").agg(F.min("rep").alias("g"))
     placed = copies.join(groups, ["ph", "n"]).select(F.col("fp").alias("own"), "rep", "g")
-    unique = heads.join(placed, (F.col("fp") == F.col("own")) & (F.col("doc_id") == F.col("rep"))).select("fp", "rep", "g", "n", "bitmap", "prefix")
-    if filled.groupBy("fp", "doc_id").count().filter("count > 1").limit(1).count():
-        unique = unique.dropDuplicates(["fp", "rep"])
-    nodes = written(unique.drop("fp"), "nodes")
+    nodes = written(heads.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "g", "n", "bitmap", "prefix"), "nodes")
     members = nodes.select("rep", "g", "n")
     discard(heads)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(source.sparkSession)
 
     # Shingles of group prefixes that at least two groups, or two members of one, hold.
     listed = nodes.filter("rep = g").select("g", "n", F.posexplode("prefix").alias("i", "token"))
@@ -235,7 +261,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     shared = weights.filter("lists > 1").select("token")
     postings = written(listed.join(shared, "token").select("token", "g", "n", "i"), "postings")
     comps = members.select("rep", F.col("rep").alias("comp")).distinct()
-    free_shuffles(docs.sparkSession)
+    free_shuffles(source.sparkSession)
 
     # Round one: the smallest group of each list leads it; members of a group follow its own leader.
     lead = postings.groupBy("token").agg(F.min(F.struct("g", "n", "i")).alias("lead"))
@@ -270,21 +296,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
     labelled = copies.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
     found = slim.select("doc_id", "n", "fp").join(labelled, "fp", "left")
-    return found.select(F.col("doc_id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: one with its smallest id, null ids last. All rows without words stay.
 
     Ids only name rows where each is one row's; else rows are numbered and linked by their number, so neither null nor repeated ids tie texts together."""
-    if not docs.groupBy(doc_id).count().filter((F.col("count") > 1) | F.col(doc_id).isNull()).limit(1).count():
-        kept = join(docs, doc_id, text).filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__id"))
-        return docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = join(rows.select("__row", text), "__row", text)
-    # Rows of one id and different texts go by the text, so the choice doesn't hang on how rows lie.
-    rank = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col("__row"))
-    ranked = rows.select("__row", rank.alias("rank")).join(found, "__row").filter("n_shingles > 0")
-    first = ranked.groupBy("component_id").agg(F.min_by("__row", "rank").alias("__first")).select("__first")
-    stay = first.unionByName(found.filter("n_shingles = 0").select(F.col("__row").alias("__first")))
-    return rows.join(stay, F.col("__row") == F.col("__first"), "left_semi").drop("__row")
+    if names_rows(docs, doc_id):
+        kept = join(docs, doc_id, text).filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias(KEPT))
+        return docs.join(kept, F.col(doc_id) == F.col(KEPT), "left_semi")
+    # The choice among rows of one id goes by their texts, so it doesn't hang on how rows lie.
+    rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("of"), F.col(ROW).alias("row"))
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = join(rows.select(F.col(ROW).alias("row"), F.col(text).alias("text")), "row", "text")
+    ranked = rows.select(F.col(ROW).alias("row"), rank.alias("rank")).join(found, "row").filter("n_shingles > 0")
+    first = ranked.groupBy("component_id").agg(F.min_by("row", "rank").alias(KEPT)).select(KEPT)
+    stay = first.unionByName(found.filter("n_shingles = 0").select(F.col("row").alias(KEPT)))
+    return rows.join(stay, F.col(ROW) == F.col(KEPT), "left_semi").drop(ROW)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), langid.default_vocabulary())
 
 
-#: Of the registered query; a deployment passes its own secret.
-SURROGATE_KEY = "scriptorium"
-
-
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    """With the session's own key; without one, with a key that is forgotten after the run."""
+    key = spark.conf.get("spark.scriptorium.surrogates.key", None) or token_hex(32)
+    return surrogates.replace(read(spark, sf_dir, "documents"), key)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

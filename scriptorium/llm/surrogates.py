@@ -1,33 +1,44 @@
 """PII surrogates (operator 9), in DataFrame operations only.
 
 Entities are found by one pattern, so matches don't overlap: mail addresses, phone numbers, IPv4
-addresses, card numbers, and names after a title. Each distinct entity (its kind and normalised
-form, so spellings of one entity are one) gets a surrogate from a keyed SHA-256, character by
-character within the class of each character: digits stay digits, letters keep case and script,
-everything else stays. Octets stay within a byte and keep their number of digits, cards that pass
-the Luhn check still do, and names are drawn from lists of the title's gender and the name's script.
+addresses, card numbers, and names after a title. In a text with titled names, their further mentions
+without a title (the whole name or a word of it) are entities, too. Each distinct entity (its kind and
+normalised form, so spellings of one entity are one) gets a surrogate from a keyed SHA-256, character
+by character within the class of each character: digits stay digits, letters keep case and script,
+everything else stays. Octets stay within a byte and keep their number of digits, cards that pass the
+Luhn check still do.
+
+A name consists of words, and each is an entity of its own: the given name, with its gender, and the
+last word. So "Mr Smith" and "John Smith" share the last word's surrogate, and persons who share
+neither name share no surrogate. The gender is that of the mention's own title, else of a title that
+the same name bears elsewhere in the text, else of a common given name; without any it's drawn. Given
+names come from lists of that gender and script as long as they last, then from letters with an
+ending of the gender.
 
 Collision checks: a surrogate that two entities share, or that is itself an entity of the corpus, is
 kept only by the smallest entity (none, if it is an entity); the others try the next attempt number,
-until all are distinct. Every occurrence of an entity gets the same surrogate, in its own format.
+until all are distinct. From attempt ``LOOSE`` on, forms get longer (octets: any byte), so there is
+always room. Every occurrence of an entity gets the same surrogate, in its own format.
 
 Only texts with an entity that needed another attempt take part in a join, by their hash, so ids may
 repeat or be null. They are counted first: up to ``MAX_BROADCAST`` they are broadcast, and beyond it
 all texts with entities are shuffled once.
 
-Cases: null texts stay null; texts without entities are unchanged. No rows give no rows. If
-``ATTEMPTS`` are used up, the run fails rather than merge two entities. Only the named columns are
-read; the result has the id, the text and a count for each kind.
+Cases: null texts stay null; texts without entities are unchanged. No rows give no rows. Only the
+named columns are read; the result has the id, the text and a count for each kind.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.support import written
 
-ATTEMPTS = 40
+#: The attempt from which surrogates may be longer than their entity.
+LOOSE = 3
 #: Texts with further attempts up to which their table is broadcast.
 MAX_BROADCAST = 100_000
 #: Titles by gender, and surrogate names by script and gender.
@@ -40,9 +51,12 @@ NAMES = {
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Раиса", "София", "Тамара", "Ульяна", "Юлия", "Яна"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Пётр", "Роман", "Степан", "Юрий"),
 }
+#: Endings of further given names by script and gender.
+ENDINGS = {("latin", "f"): ("a", "ina", "ella"), ("latin", "m"): ("o", "us", "ard"), ("cyrillic", "f"): ("а", "ина", "ия"), ("cyrillic", "m"): ("ан", "ор", "ий")}
 LATIN_LOWER, LATIN_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ACCENTED_LOWER, ACCENTED_UPPER = "àáâäçèéêëíîïñóôöùúûü", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 CYRILLIC_LOWER, CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+GREEK_LOWER, GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
 _TITLE = "|".join((*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES))
 KINDS = ("email", "phone", "ip", "card", "person")
@@ -55,13 +69,15 @@ PATTERN = f"{MAIL}|(?=[0-9+(])(?:{IP}|{CARD}|{PHONE})|{PERSON}"
 #: What every entity but a name holds.
 DIGIT_OR_AT = "[0-9@]"
 
-ENTITY = "array<struct<kind:string,norm:string,surface:string>>"
+PART = "struct<kind:string,norm:string>"
+ENTITY = f"array<struct<kind:string,surface:string,parts:array<{PART}>>>"
+PEOPLE = "array<struct<gender:string,given:string,last:string>>"
 
 
 def kind_of(surface: Column) -> Column:
     return (
         F.when(F.contains(surface, F.lit("@")), "email")
-        .when(surface.rlike(f"^(?:{_TITLE})\\.? "), "person")
+        .when(~surface.rlike(r"\d"), "person")
         .when(surface.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(surface.rlike(r"^\+|^\("), "phone")
         .otherwise("card")
@@ -69,8 +85,17 @@ def kind_of(surface: Column) -> Column:
 
 
 def norm_of(kind: Column, surface: Column) -> Column:
-    """What spellings of one entity share: digits of numbers, lower case of addresses, a name with its title's gender."""
-    return F.when(kind.isin("phone", "card"), F.regexp_replace(surface, r"\D", "")).when(kind == "person", _name_norm(surface)).otherwise(F.lower(surface))
+    """What spellings of one entity share: digits of numbers, lower case of addresses."""
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(surface, r"\D", "")).otherwise(F.lower(surface))
+
+
+def _title(surface: Column) -> Column:
+    """The title with what follows it up to the name; empty without one."""
+    return F.regexp_extract(surface, rf"^((?:{_TITLE})\.? )\p{{Lu}}", 1)
+
+
+def _words(surface: Column) -> Column:
+    return F.split(F.substring(surface, F.length(_title(surface)) + 1, F.length(surface)), " ")
 
 
 def _gender(surface: Column) -> Column:
@@ -78,19 +103,56 @@ def _gender(surface: Column) -> Column:
     return F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
 
 
-def _name_norm(surface: Column) -> Column:
-    return F.concat_ws(" ", _gender(surface), F.regexp_replace(surface, r"^\p{L}+\.? ", ""))
+def people(text: Column) -> Column:
+    """The titled names of a text: gender of the title, given name (null for a single word), last word."""
+
+    def one(surface: Column) -> Column:
+        return let(_words(surface), lambda w: F.struct(_gender(surface).alias("gender"), F.when(F.size(w) > 1, w[0]).alias("given"), F.element_at(w, -1).alias("last")))
+
+    return F.when(text.rlike(PERSON), F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), one)).otherwise(F.array().cast(PEOPLE))
+
+
+def pattern_of(persons: Column) -> Column:
+    """The pattern of a text's entities, with the further mentions of ``persons``; null without any. Names hold letters and blanks only."""
+    whole = F.transform(F.filter(persons, lambda p: p["given"].isNotNull()), lambda p: F.concat_ws(" ", p["given"], p["last"]))
+    each = F.flatten(F.transform(persons, lambda p: F.array_compact(F.array(p["given"], p["last"]))))
+    named = F.array_join(F.array_distinct(F.concat(whole, each)), "|")
+    return F.when(F.size(persons) > 0, F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{N}}])(?:"), named, F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def _person_parts(surface: Column, persons: Column) -> Column:
+    """The words of a mention as entities: the given name after its gender, and the last word."""
+    listed = lambda sex: [n for (_, s), names in NAMES.items() if s == sex for n in names]
 
+    def gender(given: Column, last: Column) -> Column:
+        told = F.filter(persons, lambda p: (p["gender"] != "n") & (p["given"] == given))
+        same = F.filter(told, lambda p: p["last"] == last)
+        own = F.when(_title(surface) != "", F.nullif(_gender(surface), F.lit("n")))
+        common = F.when(given.isin(listed("f")), "f").when(given.isin(listed("m")), "m")
+        return F.coalesce(own, F.get(same, F.lit(0))["gender"], F.get(told, F.lit(0))["gender"], common, F.lit("n"))
 
-def entities(text: Column) -> Column:
-    """The entities of a text in order."""
-    each = lambda s: F.struct(kind_of(s).alias("kind"), norm_of(kind_of(s), s).alias("norm"), s.alias("surface"))
-    return F.when(may_hold(text), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), each)).otherwise(F.array().cast(ENTITY))
+    def parts(words: Column) -> Column:
+        first, last = words[0], F.element_at(words, -1)
+        named = lambda kind, norm: F.struct(F.lit(kind).alias("kind"), norm.alias("norm"))
+        given = lambda of: named("given", F.concat_ws(" ", gender(first, of), first))
+        only_given = F.exists(persons, lambda p: F.coalesce(p["given"] == first, F.lit(False))) & ~F.exists(persons, lambda p: (p["last"] == first) & p["given"].isNotNull())
+        return F.when(F.size(words) > 1, F.array(given(last), named("surname", last))).when(only_given, F.array(given(F.lit(None).cast("string")))).otherwise(F.array(named("surname", last)))
 
+    return let(_words(surface), parts)
 
-def may_hold(text: Column) -> Column:
-    """A cheap test that every text with an entity passes."""
-    return text.rlike(DIGIT_OR_AT) | text.rlike(PERSON)
+
+def entities(text: Column, persons: Column, pattern: Column) -> Column:
+    """The entities of a text in order. persons, pattern: from :func:`people` and :func:`pattern_of`."""
+
+    def each(surface: Column) -> Column:
+        def of(kind: Column) -> Column:
+            one = F.array(F.struct(kind.alias("kind"), norm_of(kind, surface).alias("norm")))
+            return F.struct(kind.alias("kind"), surface.alias("surface"), F.when(kind == "person", _person_parts(surface, persons)).otherwise(one).alias("parts"))
+
+        return let(kind_of(surface), of)
+
+    found = F.when(pattern.isNotNull(), F.regexp_extract_all(text, pattern, F.lit(0))).when(text.rlike(DIGIT_OR_AT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.coalesce(F.transform(found, each), F.array().cast(ENTITY))
 
 
 def let(value: Column, use) -> Column:
@@ -114,8 +176,8 @@ def _pick(chars: str, n: Column) -> Column:
 
 
 def _like(char: Column, n: Column) -> Column:
-    """A character of the same class."""
-    sets = ((r"^[0-9]$", "0123456789"), (r"^[a-z]$", LATIN_LOWER), (r"^[A-Z]$", LATIN_UPPER), (r"^[ß-öø-ÿ]$", ACCENTED_LOWER), (r"^[À-ÖØ-Þ]$", ACCENTED_UPPER), (r"^[а-яё]$", CYRILLIC_LOWER), (r"^[А-ЯЁ]$", CYRILLIC_UPPER))
+    """A character of the same class; letters and digits of other scripts become Latin ones."""
+    sets = ((r"^[0-9]$", "0123456789"), (r"^[a-z]$", LATIN_LOWER), (r"^[A-Z]$", LATIN_UPPER), (r"^[ß-öø-ÿ]$", ACCENTED_LOWER), (r"^[À-ÖØ-Þ]$", ACCENTED_UPPER), (r"^[а-яё]$", CYRILLIC_LOWER), (r"^[А-ЯЁ]$", CYRILLIC_UPPER), (r"^[ά-ώ]$", GREEK_LOWER), (r"^[Ά-Ϋ]$", GREEK_UPPER), (r"^\p{Lu}$", LATIN_UPPER), (r"^\p{L}$", LATIN_LOWER), (r"^\p{N}$", "0123456789"))
     out = char
     for pattern, chars in sets[::-1]:
         out = F.when(char.rlike(pattern), _pick(chars, n)).otherwise(out)
@@ -126,10 +188,18 @@ def _characters(norm: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(norm, ""), lambda c, i: _like(c, _byte(stream, i))), "")
 
 
-def _octets(norm: Column, stream: Column) -> Column:
+def _longer(attempt: Column, stream: Column, like: Column) -> Column:
+    """From attempt LOOSE on, a character more for each attempt, of the class of ``like``."""
+    more = F.greatest(attempt - (LOOSE - 1), F.lit(0))
+    return F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: _like(like, _byte(stream, i + 40))), "")).otherwise(F.lit(""))
+
+
+def _octets(norm: Column, stream: Column, attempt: Column) -> Column:
     low = lambda o: F.when(F.length(o) == 1, 1).when(F.length(o) == 2, 10).otherwise(100)
     size = lambda o: F.when(F.length(o) == 1, 9).when(F.length(o) == 2, 90).otherwise(156)
-    return F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: (low(o) + F.pmod(_byte(stream, i * 2), size(o))).cast("string")), ".")
+    kept = F.transform(F.split(norm, r"\."), lambda o, i: (low(o) + F.pmod(_byte(stream, i * 2), size(o))).cast("string"))
+    any_ = F.transform(F.split(norm, r"\."), lambda o, i: F.pmod(_byte(stream, i * 2), F.lit(256)).cast("string"))
+    return F.array_join(F.when(attempt < LOOSE, kept).otherwise(any_), ".")
 
 
 def luhn(digits: Column) -> Column:
@@ -152,34 +222,44 @@ def _phone(norm: Column, stream: Column) -> Column:
     return F.concat(F.substring(norm, F.lit(1), extra), F.substring(plain, extra + 1, F.length(norm)))
 
 
-def _person(norm: Column, stream: Column) -> Column:
-    """Given name by gender and script; a second word is made letter by letter."""
-    gender = F.substring(norm, 1, 1)
-    words = F.split(F.substring(norm, F.lit(3), F.length(norm)), " ")
-    drawn = F.when(gender == "n", F.when(_byte(stream, F.lit(0)) % 2 == 0, "f").otherwise("m")).otherwise(gender)
-    first = F.lit(None).cast("string")
+def _given(norm: Column, stream: Column, attempt: Column) -> Column:
+    """A listed name of the gender and script, first; then letters like the name's with an ending of the gender."""
+    word = F.substring(norm, F.lit(3), F.length(norm))
+    gender = F.when(F.substring(norm, 1, 1) == "n", F.when(_byte(stream, F.lit(0)) % 2 == 0, "f").otherwise("m")).otherwise(F.substring(norm, 1, 1))
+    cyrillic = word.rlike(r"^\p{IsCyrillic}")
+    out = F.lit(None).cast("string")
     for (script, sex), names in NAMES.items():
-        fits = (words[0].rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else ~words[0].rlike(r"^\p{IsCyrillic}")) & (drawn == sex)
-        first = F.when(fits, F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(stream, F.lit(2)), F.lit(len(names))) + 1)).otherwise(first)
-    rest = F.transform(F.slice(words, 2, 9), lambda w: _characters(w, F.substring(stream, F.lit(9), F.lit(120))))
-    return F.rtrim(F.concat_ws(" ", gender, first, F.array_join(rest, " ")))
+        drawn = lambda values: F.element_at(F.array(*map(F.lit, values)), F.pmod(_byte(stream, F.lit(2)), F.lit(len(values))) + 1)
+        made = F.when(attempt == 0, drawn(names)).otherwise(F.concat(_characters(word, F.substring(stream, F.lit(9), F.lit(120))), _longer(attempt, stream, F.lit("я" if script == "cyrillic" else "z")), drawn(ENDINGS[script, sex])))
+        out = F.when((cyrillic if script == "cyrillic" else ~cyrillic) & (gender == sex), made).otherwise(out)
+    return out
+
+
+def _surname(norm: Column, stream: Column, attempt: Column) -> Column:
+    return F.concat(_characters(norm, stream), _longer(attempt, stream, F.substring(norm, F.length(norm), F.lit(1))))
 
 
-def _mail(norm: Column, stream: Column) -> Column:
+def _mail(norm: Column, stream: Column, attempt: Column) -> Column:
     """The top-level domain stays."""
     body = F.regexp_replace(norm, r"\.[a-z]+$", "")
-    return F.concat(_characters(body, stream), F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
+    return F.concat(_longer(attempt, stream, F.lit("z")), _characters(body, stream), F.regexp_extract(norm, r"(\.[a-z]+)$", 1))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normalised surrogate of an entity."""
 
     def of(stream: Column) -> Column:
-        return F.when(kind == "email", _mail(norm, stream)).when(kind == "phone", _phone(norm, stream)).when(kind == "card", _card(norm, stream)).when(kind == "ip", _octets(norm, stream)).otherwise(_person(norm, stream))
+        made = F.when(kind == "email", _mail(norm, stream, attempt)).when(kind == "phone", _phone(norm, stream)).when(kind == "card", _card(norm, stream))
+        return made.when(kind == "ip", _octets(norm, stream, attempt)).when(kind == "given", _given(norm, stream, attempt)).otherwise(_surname(norm, stream, attempt))
 
     return let(_stream(key, kind, norm, attempt), of)
 
 
+def shown(kind: Column, norm: Column) -> Column:
+    """An entity as its surrogate would look: a given name without its gender."""
+    return F.when(kind == "given", F.substring(norm, F.lit(3), F.length(norm))).otherwise(norm)
+
+
 def formatted(kind: Column, surface: Column, made: Column) -> Column:
     """A normalised surrogate in the format of an occurrence."""
     return let(made, lambda m: _formatted(kind, surface, m))
@@ -188,50 +268,48 @@ def formatted(kind: Column, surface: Column, made: Column) -> Column:
 def _formatted(kind: Column, surface: Column, made: Column) -> Column:
     digits = F.array_join(F.transform(F.split(surface, ""), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(made, F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(surface, i + 1, F.lit(1)) == F.lower(F.substring(surface, i + 1, F.lit(1))), c).otherwise(F.upper(c))), "")
-    person = F.concat(F.regexp_extract(surface, r"^(\p{L}+\.? )", 1), F.substring(made, F.lit(3), F.length(made)))
-    return F.when(kind.isin("phone", "card"), digits).when(kind == "person", person).when(kind == "email", cased).otherwise(made)
+    return F.when(kind.isin("phone", "card"), digits).when(kind == "person", F.concat(_title(surface), made)).when(kind == "email", cased).otherwise(made)
 
 
 def further_attempts(found: DataFrame, key: str) -> DataFrame | None:
     """(kind, norm, attempt) of the distinct entities ``found`` (kind, norm) whose first surrogate collides; None if none does."""
+    made = lambda df, attempt: written(df.select("kind", "norm", F.lit(attempt).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("made")), "tried")
     found = written(found.distinct(), "entities")
-    tried = written(found.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(0), key).alias("made")), "tried")
-    settled: DataFrame | None = None
-    taken = None
-    for attempt in range(1, ATTEMPTS + 2):
-        first = tried.groupBy("kind", "made").agg(F.min("norm").alias("first"))
-        free = first.join(found.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_anti")
-        if taken is not None:
-            free = free.join(taken, ["kind", "made"], "left_anti")
-        judged = written(tried.join(free.select("kind", "made", F.col("first").alias("norm"), F.lit(True).alias("won")), ["kind", "made", "norm"], "left"), "judged")
-        won, lost = judged.filter("won"), judged.filter("won is null")
-        taken = won.select("kind", "made") if taken is None else taken.unionByName(won.select("kind", "made"))
-        if attempt > 1:
-            settled = won.select("kind", "norm", "attempt") if settled is None else settled.unionByName(won.select("kind", "norm", "attempt"))
+    real = found.select("kind", shown(F.col("kind"), F.col("norm")).alias("made")).distinct()
+    tried, won = made(found, 0), []
+    while True:
+        free = tried.groupBy("kind", "made").agg(F.min("norm").alias("norm")).join(real, ["kind", "made"], "left_anti")
+        for earlier in won:
+            free = free.join(earlier.select("kind", "made"), ["kind", "made"], "left_anti")
+        judged = written(tried.join(free.withColumn("won", F.lit(True)), ["kind", "made", "norm"], "left"), "judged")
+        lost = judged.filter("won is null")
+        won.append(judged.filter("won"))
         if not lost.limit(1).count():
-            return settled
-        tried = written(lost.select("kind", "norm", F.lit(attempt).alias("attempt"), surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("made")), "tried")
-    raise RuntimeError(f"entities still collide after {ATTEMPTS} attempts; use a longer format or another key")
+            break
+        tried = made(lost, len(won))
+    return reduce(DataFrame.unionByName, [x.select("kind", "norm", "attempt") for x in won[1:]]) if len(won) > 1 else None
 
 
 def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_email, ...) with every entity replaced."""
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    found = source.filter(may_hold(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("e")).select("e.kind", "e.norm")
-    again = further_attempts(found, key)
-    listed = source.withColumn("entities", entities(F.coalesce("text", F.lit(""))))
+    listed = source.withColumn("people", people(F.coalesce("text", F.lit("")))).withColumn("pattern", pattern_of(F.col("people")))
+    listed = listed.withColumn("entities", entities(F.coalesce("text", F.lit("")), F.col("people"), F.col("pattern")))
+    parts = listed.filter((F.size("entities") > 0) & F.col("text").isNotNull()).select("text", F.explode("entities").alias("e")).select("text", F.explode("e.parts").alias("p"))
+    again = further_attempts(parts.select("p.kind", "p.norm"), key)
     if again is None:
         ready = listed.withColumn("again", F.lit(None).cast("map<string,int>"))
     else:
         digest = F.sha2(F.col("text").cast("binary"), 256)
-        held = listed.filter(F.size("entities") > 0).select(digest.alias("digest"), F.explode("entities").alias("e")).select("digest", "e.kind", "e.norm").distinct()
+        held = parts.select(digest.alias("digest"), "p.kind", "p.norm").distinct()
         maps = held.join(again, ["kind", "norm"]).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("again"))
         maps = written(maps, "again")
         few = maps.count() <= MAX_BROADCAST
         ready = listed.withColumn("digest", F.when(F.size("entities") > 0, digest)).join(F.broadcast(maps) if few else maps, "digest", "left")
-    attempt = lambda e: F.coalesce(F.element_at(F.col("again"), F.concat_ws(":", e["kind"], e["norm"])), F.lit(0))
-    made = F.transform("entities", lambda e: formatted(e["kind"], e["surface"], surrogate(e["kind"], e["norm"], attempt(e), key)))
-    gaps = F.split("text", PATTERN, -1)
+    attempt = lambda p: F.coalesce(F.element_at(F.col("again"), F.concat_ws(":", p["kind"], p["norm"])), F.lit(0))
+    whole_name = lambda e: F.array_join(F.transform(e["parts"], lambda p: surrogate(p["kind"], p["norm"], attempt(p), key)), " ")
+    made = F.transform("entities", lambda e: formatted(e["kind"], e["surface"], whole_name(e)))
+    gaps = F.when(F.col("pattern").isNotNull(), F.split("text", F.col("pattern"), -1)).otherwise(F.split("text", PATTERN, -1))
     whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), made.alias("made")), lambda z: F.concat(z["gap"], F.coalesce(z["made"], F.lit("")))), "")
     count = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return ready.select(F.col("id").alias(doc_id), F.when(F.size("entities") > 0, whole).otherwise(F.col("text")).alias("text"), *(count(k) for k in KINDS))

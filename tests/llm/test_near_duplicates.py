@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import bwt, jaccard, suffix_dedup
 from scriptorium.llm.components import components
@@ -84,6 +85,32 @@ def test_repeated_and_null_ids(make_docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
 
 
+def test_ids_that_repeat_over_texts(make_docs):
+    """Ids on several texts, and null ids, against brute force; ids that aren't numbers, too."""
+    rng = random.Random(3)
+    texts = corpus(rng, 6) + [None, "", "a b"]
+    ids = [rng.choice([None, *range(len(texts) // 3)]) for _ in texts]
+    docs = make_docs(texts, ids)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(docs).collect())
+    assert got == brute_components(ids, texts)
+    named = docs.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+    got = sorted((r["n_shingles"], str(r["component_id"])) for r in jaccard.join(named.filter("doc_id is not null")).collect())
+    some = [(i, t) for i, t in zip(ids, texts) if i is not None]
+    assert got == sorted((n, f"{int(c):05d}") for _, n, c in brute_components([i for i, _ in some], [t for _, t in some]))
+
+
+def test_one_of_each_keeps_one_text_of_each_component(make_docs):
+    """The rows (2,B) (5,A) (5,B+) (7,A+) (9,C) (9,A+): one of A, one of B, and C."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, b), (5, a), (5, b + " tail"), (7, a + " tail"), (9, c), (9, a + " tail")]
+    docs = make_docs([t for _, t in rows], [i for i, _ in rows])
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()) == [(2, b), (5, a), (9, c)]
+    joined = sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(docs).collect())
+    assert joined == [(2, 2), (5, 2), (5, 5), (7, 5), (9, 5), (9, 9)]
+    clashing = docs.withColumns({x: F.lit(1) for x in ("__id", "__row", "rank", "row", "kept", "id", "count")})
+    assert jaccard.one_of_each(clashing).columns == clashing.columns and jaccard.join(clashing).count() == 6
+
+
 def test_one_of_each_goes_by_text_not_by_id(make_docs):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     near = lambda t: t + " tail"

@@ -1,9 +1,10 @@
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from scriptorium.llm import surrogates
+from scriptorium.llm import queries, surrogates
 from scriptorium.llm.surrogates import replace
 
 KEY = "k"
@@ -29,14 +30,84 @@ def test_formats_stay(make_docs):
 
 
 def test_names_match_gender_and_script(make_docs):
-    made = one(make_docs, "Mrs Anna Petrov met Mr. Smith.", "Госпожа Ольга и Господин Иван", "no titles Anna here")
+    made = one(make_docs, "Mrs Anna Petrov met Mr. Smith.", "Госпожа Ольга Иванова и Господин Иван Петров", "no titles Anna here")
     first = re.fullmatch(r"Mrs (\S+) (\S+) met Mr\. (\S+)\.", made[0])
-    assert first[1] in surrogates.NAMES["latin", "f"] and first[3] in surrogates.NAMES["latin", "m"] and first[2][0].isupper()
-    second = re.fullmatch(r"Госпожа (\S+) и Господин (\S+)", made[1])
-    assert second[1] in surrogates.NAMES["cyrillic", "f"] and second[2] in surrogates.NAMES["cyrillic", "m"]
+    assert first[1] in surrogates.NAMES["latin", "f"] and len(first[2]) == 6 and first[2][0].isupper() and re.fullmatch("[A-Z][a-z]{4}", first[3]) and first[3] != "Smith"
+    second = re.fullmatch(r"Госпожа (\S+) ([А-Я][а-я]{6}) и Господин (\S+) ([А-Я][а-я]{5})", made[1])
+    assert second[1] in surrogates.NAMES["cyrillic", "f"] and second[3] in surrogates.NAMES["cyrillic", "m"]
     assert made[2] == "no titles Anna here"
 
 
+def test_a_person_is_one_over_titles_and_mentions(make_docs):
+    (made,) = one(make_docs, "Dr Anna Weber came. Anna Weber left. Frau Anna Weber stayed, and Weber knew Mr Weber; Annas Webers.")
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) (\w+) left\. Frau (\w+) (\w+) stayed, and (\w+) knew Mr (\w+); Annas Webers\.", made)
+    assert m[1] == m[3] == m[5] and m[1] in surrogates.NAMES["latin", "f"]
+    assert len({m[2], m[4], m[6], m[7], m[8]}) == 1 and m[2] != "Weber"
+    a, b = one(make_docs, "Mr John Smith and John", "Prof John Smith or Smith")
+    assert a.split()[2] == b.split()[2] == b.split()[4] and a.split()[1] == a.split()[4]
+
+
+def test_ten_thousand_one_word_names(make_docs):
+    """More names than any list holds, and short ones that fill their space."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"A{x}{y}{z}" for x in letters for y in letters for z in letters][:9_300] + [f"{x.upper()}{y}" for x in letters for y in letters] + ["Ωμέγα", "Ж" + "ё" * 3]
+    rows = replace(make_docs([f"Mr {n} came" for n in names]), KEY).collect()
+    made = [re.fullmatch(r"Mr (\w+) came", r["text"])[1] for r in rows]
+    assert len(set(made)) == len(names) and not set(made) & set(names)
+
+
+TITLES = {"f": surrogates.FEMALE_TITLES, "m": surrogates.MALE_TITLES, "n": surrogates.NEUTRAL_TITLES}
+
+
+def mentions(text):
+    """(start, end, what each part is) of all mentions of a text, in plain Python."""
+    titles = "|".join(t for group in TITLES.values() for t in group)
+    titled = regex.compile(rf"(?<![\p{{L}}\p{{N}}])({titles})\.? (\p{{Lu}}\p{{Ll}}+)(?: (\p{{Lu}}\p{{Ll}}+))?")
+    people = [m.groups() for m in titled.finditer(text)]
+    names = [f"{a} {b}" for _, a, b in people if b] + [w for _, a, b in people for w in (a, b) if w]
+    further = rf"|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(names)})(?![\p{{L}}\p{{N}}])" if names else ""
+    numbers = f"{surrogates.MAIL}|(?=[0-9+(])(?:{surrogates.IP}|{surrogates.CARD}|{surrogates.PHONE})"
+    out = []
+    for m in regex.finditer(f"{numbers}|{titled.pattern}{further}", text):
+        surface = m[0]
+        if "@" in surface or regex.search(r"\d", surface):
+            out.append((m.start(), m.end(), [surface.lower() if "@" in surface or surface.count(".") == 3 else regex.sub(r"\D", "", surface)]))
+        else:
+            start = m.end() - len(regex.sub(rf"^(?:{titles})\.? (?=\p{{Lu}})", "", surface))
+            out.append((start, m.end(), text[start : m.end()].split(" ")))
+    return out
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """The registered query changes exactly the mentions that plain Python finds, one to one for each entity's words."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = {r["doc_id"]: r["text"] for r in queries.read(spark, sf_dir, "documents").collect()}
+    rows = queries.QUERIES["op9_surrogates"](spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(docs)
+    last_words, numbers, found = {}, {}, 0
+    for r in rows:
+        text = docs[r["doc_id"]]
+        places = mentions(text or "")
+        assert sum(r[f"n_{k}"] for k in surrogates.KINDS) == len(places)
+        pattern, at = "", 0
+        for start, end, parts in places:
+            pattern += re.escape(text[at:start]) + "(" + (" ".join([r"\w+"] * len(parts)) if parts[0].isalpha() else r".{%d,}?" % (end - start)) + ")"
+            at = end
+        m = re.fullmatch(pattern + re.escape((text or "")[at:]), r["text"] or "", re.DOTALL)
+        assert m, (text, r["text"])
+        for (start, end, parts), made in zip(places, m.groups()):
+            found += 1
+            assert made != text[start:end]
+            if len(parts) == 2:
+                assert last_words.setdefault(parts[1], made.split(" ")[1]) == made.split(" ")[1]
+            elif not parts[0].isalpha():
+                same = made.lower() if "@" in made or made.count(".") == 3 else re.sub(r"\D", "", made)
+                assert numbers.setdefault(parts[0], same) == same
+    assert found > 50
+    for table in (last_words, numbers):
+        assert len(set(table.values())) == len(table) and not set(table.values()) & set(table)
+
+
 def test_coreference_across_spellings_and_texts(make_docs):
     a, b, c = one(make_docs, "call +1 (017) 555-7713 x", "+10175557713 or A.B@Mail.Example.com", "a.b@mail.example.com and A.B@MAIL.EXAMPLE.COM!!")
     digits = lambda s: re.sub(r"\D", "", s)
