@@ -1,18 +1,21 @@
 """Language identification by segmentation-marginalised unigrams (operator 8).
 
-Each language has a probability for every piece of a fixed public vocabulary. A word's probability
-is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product
-over its words. The prediction is the language with the highest, the score its posterior under equal
+Each language has a probability for every piece of a fixed public vocabulary, byte pieces included.
+A word's probability is the sum over all its segmentations into pieces, by the forward algorithm; a
+text's is the product over its words. A character outside the vocabulary is spelled in byte pieces.
+The prediction is the language with the highest probability, the score its posterior under equal
 priors. The piece probabilities come from expectation-maximisation: expected piece counts over all
-segmentations (forward and backward), summed by Spark, on ``SAMPLE`` training rows at most.
+segmentations (forward and backward), summed by Spark, on ``SAMPLE`` distinct training texts at most.
 
-Words are runs of letters, lower-cased, with a word-begin mark. A character outside the vocabulary
-is a piece of its own class. Whole texts count, whatever their length; long words use a scaled
-forward pass.
+Words are runs of letters, lower-cased, with a word-begin mark. Whole texts and words of any length
+count, in training and prediction alike; products that could leave the range of a double are kept
+relative to the last place, with their logarithms beside them.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; so is every text if no row
-can be learnt from. Ties go to the first language by name. Rows may repeat, ids may be null (the
-remainder of a null id is 0). Only the named columns are read, so other columns cannot clash.
+can be learnt from. Ties go to the first language by name. Rows may repeat (a repeated training text
+counts as often as it occurs), ids may be null (the remainder of a null id is 0). More than
+``MAX_LANGUAGES`` distinct labels are an error: the model is sent to every task, and its size is
+pieces times languages. Only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,41 +28,46 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.support import arrow_map, bounded_sample, crc_mod, sized, texts
+from scriptorium.llm.support import arrow_map, crc_mod, hash_share, sized, texts, written
 
-#: Training rows at most, rounds of expectation-maximisation, added to each expected count.
+#: Training texts at most, rounds of expectation-maximisation, added to each expected count.
 SAMPLE, ROUNDS, SMOOTHING = 30_000, 2, 0.05
 MAX_LANGUAGES = 1000
-#: The longest usable piece of piece_bpe_32k; beyond LONG_WORD characters the forward pass is scaled.
-LONGEST_PIECE, LONG_WORD = 16, 40
+#: Words up to this length are gathered by length; longer ones are padded to the longest of a group.
+SHORT = 40
+#: Cells (characters, or characters times a quarter of the languages) that are worked on at a time.
+CELLS = 400_000
+#: The logarithm of the smallest double that is safe to multiply into.
+LEAST_LOG = -650.0
 BEGIN = "▁"
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[str]:
-    """The lower-case letter pieces of a sentencepiece model, in its order."""
+    """All pieces of a sentencepiece model but its control symbols, in its order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    every = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    body = lambda p: p.removeprefix(BEGIN)
-    names = list(dict.fromkeys(p for p in every if p == p.lower() and (p == BEGIN or body(p).isalpha()) and BEGIN not in body(p)))
-    if max(map(len, names), default=0) > LONGEST_PIECE:
-        raise ValueError(f"the model has pieces of more than {LONGEST_PIECE} characters")
-    return names
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
 
 
 class Pieces:
-    """The vocabulary as a hash table over arrays; piece ``n`` is a character outside it, ``n + 1`` no piece at all."""
+    """The vocabulary as a hash table over arrays; piece ``n`` is a character outside it if there are no byte pieces, ``n + 1`` no piece at all."""
 
     SLOT_BITS = 17
 
     def __init__(self, names: list[str]):
         self.n = len(names)
-        keys = np.array([self._hash(np.array([[ord(c) for c in p]], dtype=np.uint64))[0] for p in names], dtype=np.uint64)
+        number = {x: i for i, x in enumerate(names)}
+        self.bytes = np.array([number.get(f"<0x{b:02X}>", -1) for b in range(256)])
+        self.spelt = bool((self.bytes >= 0).all())
+        spelled = set(self.bytes.tolist())
+        own = [(i, p) for i, p in enumerate(names) if i not in spelled]
+        self.longest = max((len(p) for _, p in own), default=1)
         self.keys, self.ids = np.zeros(1 << self.SLOT_BITS, np.uint64), np.full(1 << self.SLOT_BITS, -1, np.int32)
         self.probes = 1
-        for i, key in enumerate(keys):
+        for i, piece in own:
+            key = self._hash(np.array([[ord(c) for c in piece]], dtype=np.uint64))[0]
             at, tried = int(key >> np.uint64(64 - self.SLOT_BITS)), 1
             while self.ids[at] >= 0:
                 at, tried = (at + 1) % len(self.ids), tried + 1
@@ -85,8 +93,9 @@ class Pieces:
     def find(self, h: np.ndarray) -> np.ndarray:
         key = self._slot_hash(h)
         at = (key >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
-        out = np.where(self.keys[at] == key, self.ids[at], np.int32(self.n + 1))
-        open_ = np.flatnonzero((self.keys[at] != key) & (self.ids[at] >= 0))
+        held = self.keys[at]
+        out = np.where(held == key, self.ids[at], np.int32(self.n + 1))
+        open_ = np.flatnonzero((held != key) & (self.ids[at] >= 0))
         for step in range(1, self.probes):
             if not len(open_):
                 break
@@ -96,93 +105,156 @@ class Pieces:
             open_ = open_[~same & (self.ids[there] >= 0)]
         return out
 
-    def spans(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end, the (start, piece of each word) of spans that end there. codes: words by characters, all of one length."""
-        words, length = codes.shape
-        ends: list[list] = [[] for _ in range(length + 1)]
-        for start in range(length):
-            h = np.full(words, 7, dtype=np.uint64)
-            for k in range(min(LONGEST_PIECE, length - start)):
-                h = self._step(h, codes[:, start + k])
-                ids = self.find(h)
-                if k == 0:
-                    ids = np.minimum(ids, self.n)
-                if k == 0 or (ids <= self.n).any():
-                    ends[start + k + 1].append((start, ids))
-        return ends
-
-
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of the words, their characters) for each length; a word-begin mark comes first."""
+    def spans(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each size from 1 on, the piece of that size from each place on (places by words). codes: words by characters, 0 beyond a word's end."""
+        places = np.ascontiguousarray(codes.T)
+        length, words = places.shape
+        h = np.full((length, words), 7, dtype=np.uint64)
+        out = []
+        for k in range(min(self.longest, length)):
+            h = self._step(h[: length - k], places[k:])
+            ids = self.find(h.ravel()).reshape(h.shape)
+            out.append(np.where(places == 0, np.int32(self.n + 1), np.minimum(ids, self.n)) if k == 0 else ids)
+        return out
+
+
+class Block:
+    """Some words with the pieces in them, and a piece table with a row for each character that is spelled in bytes."""
+
+    def __init__(self, pieces: Pieces, table: np.ndarray, codes: np.ndarray):
+        self.pieces, self.spans, self.table = pieces, pieces.spans(codes), table
+        self.length, self.words = codes.shape[1], codes.shape[0]
+        self.ends = (codes > 0).sum(axis=1)
+        self.rows = table.shape[0]
+        self.spelling: list[np.ndarray] = []
+        unknown = self.spans[0] == pieces.n
+        if pieces.spelt and unknown.any():
+            chars, inverse = np.unique(codes.T[unknown], return_inverse=True)
+            self.spelling = [pieces.bytes[list(chr(int(c)).encode("utf-8", "surrogatepass"))] for c in chars]
+            self.spans[0][unknown] = self.rows + inverse
+            self.table = np.concatenate([table, np.array([table[b].prod(axis=0) for b in self.spelling])])
+        #: Whether any word has a piece there.
+        self.some = [(ids != pieces.n + 1).any(axis=1) for ids in self.spans]
+        used = self.table[: pieces.n].min(initial=1.0), self.table[self.rows :].min(initial=1.0)
+        self.plain = self.length * np.log(min(used)) > LEAST_LOG
+
+    def to(self, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, pieces) of all spans that end there."""
+        for k, ids in enumerate(self.spans[:end]):
+            if self.some[k][end - k - 1]:
+                yield end - k - 1, ids[end - k - 1]
+
+    def fold(self, counts: np.ndarray) -> np.ndarray:
+        """Counts by piece, with those of spelled characters given to their bytes."""
+        out = counts[: self.rows].copy()
+        for row, own in zip(counts[self.rows :], self.spelling, strict=True):
+            np.add.at(out, own, row)
+        return out
+
+
+def by_length(words: list[str], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, their characters) for words of one length, or of similar ones beyond ``SHORT``; a word-begin mark comes first."""
     lengths = np.array([len(w) for w in words])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     starts = np.cumsum(lengths) - lengths
-    for length in np.unique(lengths):
-        at = np.flatnonzero(lengths == length)
-        for part in np.array_split(at, max(1, len(at) * int(length) // 400_000)):
-            block = codes[starts[part][:, None] + np.arange(length)]
-            yield part, np.concatenate([np.full((len(part), 1), ord(BEGIN), np.uint64), block], axis=1)
-
-
-def forward(pieces: Pieces, table: np.ndarray, codes: np.ndarray, spans=None) -> tuple[list[np.ndarray], np.ndarray, list]:
-    """alpha at each place (words by languages, scaled), the log of what scaling took out, the spans."""
-    spans = pieces.spans(codes) if spans is None else spans
-    words, length = codes.shape
-    alpha, logs = [np.ones((words, table.shape[1]))], np.zeros((words, table.shape[1]))
-    long = length > LONG_WORD
-    for end in range(1, length + 1):
-        total = np.zeros((words, table.shape[1]))
-        for start, ids in spans[end]:
-            total += alpha[start] * table[ids]
+    near = np.where(lengths <= SHORT, lengths, SHORT + np.ceil(8 * np.log2(np.maximum(lengths, 1) / SHORT)).astype(int))
+    for size in np.unique(near):
+        at = np.flatnonzero(near == size)
+        longest = int(lengths[at].max())
+        for part in np.array_split(at, min(len(at), max(1, len(at) * longest // cells))):
+            block = np.zeros((len(part), int(lengths[part].max()) + 1), np.uint64)
+            block[:, 0] = ord(BEGIN)
+            own = lengths[part]
+            row, column = np.repeat(np.arange(len(part)), own), np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            block[row, column + 1] = codes[starts[part][row] + column]
+            yield part, block
+
+
+def forward_plain(block: Block) -> np.ndarray:
+    """The log-probability of each word, all of one length, in each language."""
+    languages = block.table.shape[1]
+    alpha = [np.ones((block.words, languages))]
+    for end in range(1, block.length + 1):
+        total = np.zeros((block.words, languages))
+        for start, ids in block.to(end):
+            total += alpha[start] * block.table[ids]
         alpha.append(total)
-        if long:
-            # Places further back than the longest piece are never read again, so only the others are scaled.
-            top = total.max(axis=0, keepdims=True) if words == 1 else np.maximum(total, 1e-300)
-            if words == 1 and top.min() < 1e-100:
-                factor = np.maximum(top, 1e-300)
-                for back in range(max(0, end - LONGEST_PIECE), end + 1):
-                    alpha[back] = alpha[back] / factor
-                logs += np.log(factor)
-    return alpha, logs, spans
+    return np.log(alpha[-1])
+
+
+def forward_scaled(block: Block) -> np.ndarray:
+    """The same for words of any lengths: what is kept of the last places is relative to the place before."""
+    languages = block.table.shape[1]
+    near, logs = {0: np.ones((block.words, languages))}, np.zeros((block.words, languages))
+    for end in range(1, block.length + 1):
+        total = np.zeros((block.words, languages))
+        for start, ids in block.to(end):
+            total += near[start] * block.table[ids]
+        total[block.ends < end] = 1
+        logs += np.log(total)
+        near.pop(end - block.pieces.longest, None)
+        for start in near:
+            # Beyond a spelled character nothing is read any more, so what would overflow there is cut.
+            near[start] = np.minimum(near[start] / total, 1e290)
+        near[end] = np.ones((block.words, languages))
+    return logs
 
 
 def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each word in each language."""
     out = np.zeros((len(words), table.shape[1]))
-    if not words:
-        return out
-    for at, codes in by_length(words):
-        if codes.shape[1] > LONG_WORD:
-            for i, row in zip(at, codes, strict=True):
-                alpha, logs, _ = forward(pieces, table, row[None, :])
-                out[i] = np.log(np.maximum(alpha[-1][0], 1e-300)) + logs[0]
-        else:
-            out[at] = np.log(np.maximum(forward(pieces, table, codes)[0][-1], 1e-300))
+    for at, codes in by_length(words, CELLS * 4 // max(4, table.shape[1])) if words else ():
+        block = Block(pieces, table, codes)
+        out[at] = forward_plain(block) if block.plain and (block.ends == block.length).all() else forward_scaled(block)
     return out
 
 
+def _logs(block: Block, given: list[np.ndarray], back: bool) -> np.ndarray:
+    """Logarithms of the forward (or, from behind, backward) sums at each place. given: the probability of each span, as in ``Block.spans``."""
+    logs = np.zeros((block.length + 1, block.words))
+    near = {block.length if back else 0: np.ones(block.words)}
+    for place in range(block.length - 1, -1, -1) if back else range(1, block.length + 1):
+        total = np.zeros(block.words)
+        for k, p in enumerate(given):
+            start = place if back else place - k - 1
+            other = place + k + 1 if back else start
+            if 0 <= start < len(p) and block.some[k][start]:
+                total += near[other] * p[start]
+        total[block.ends <= place if back else block.ends < place] = 1
+        logs[place] = logs[place + 1 if back else place - 1] + np.log(total)
+        near.pop(place + block.pieces.longest if back else place - block.pieces.longest, None)
+        for other in near:
+            near[other] = np.minimum(near[other] / total, 1e290)
+        near[place] = np.ones(block.words)
+    return logs
+
+
 def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], language: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Expected counts (pieces by languages) over all segmentations of the words, each in its own language. Longer words than ``LONG_WORD`` don't teach."""
-    out = np.zeros((pieces.n + 1, table.shape[1]))
-    for at, codes in by_length(words) if words else ():
-        if codes.shape[1] > LONG_WORD:
-            continue
-        lang, n = language[at], times[at]
-        spans = pieces.spans(codes)
-        length = codes.shape[1]
-        prob = [[(start, ids, table[ids, lang]) for start, ids in spans[end]] for end in range(length + 1)]
-        alpha, beta = [np.ones(len(at))], [np.zeros(len(at)) for _ in range(length)] + [np.ones(len(at))]
-        for end in range(1, length + 1):
-            alpha.append(sum((alpha[start] * p for start, _, p in prob[end]), np.zeros(len(at))))
-        for end in range(length, 0, -1):
-            for start, _, p in prob[end]:
-                beta[start] += beta[end] * p
-        whole = np.maximum(alpha[length], 1e-300)
+    """Expected counts (pieces by languages) over all segmentations of the words, each in its own language."""
+    languages = table.shape[1]
+    out = np.zeros((pieces.n + 1, languages))
+    for at, codes in by_length(words, CELLS // 2) if words else ():
+        block = Block(pieces, table, codes)
+        lang, n, length = language[at], times[at], block.length
+        given = [block.table[ids, lang] for ids in block.spans]
+        found = np.zeros(len(block.table) * languages)
+        if block.plain and (block.ends == length).all():
+            alpha, beta = [np.ones(len(at))], [np.zeros(len(at)) for _ in range(length)] + [np.ones(len(at))]
+            for end in range(1, length + 1):
+                alpha.append(sum((alpha[start] * given[end - start - 1][start] for start, _ in block.to(end)), np.zeros(len(at))))
+            for end in range(length, 0, -1):
+                for start, _ in block.to(end):
+                    beta[start] += beta[end] * given[end - start - 1][start]
+            weight = lambda start, end: alpha[start] * given[end - start - 1][start] * beta[end] / alpha[length] * n
+        else:
+            fore, back = _logs(block, given, False), _logs(block, given, True)
+            weight = lambda start, end: given[end - start - 1][start] * np.exp(np.minimum(fore[start] + back[end] - fore[-1], 690)) * n
         for end in range(1, length + 1):
-            for start, ids, p in prob[end]:
-                weight = alpha[start] * p * beta[end] / whole * n
-                some = weight > 0
-                np.add.at(out, (ids[some], lang[some]), weight[some])
+            for start, ids in block.to(end):
+                found += np.bincount(ids * languages + lang, weights=weight(start, end), minlength=len(found)) if block.words > 500 else 0
+                if block.words <= 500:
+                    np.add.at(found, ids * languages + lang, weight(start, end))
+        out += block.fold(found.reshape(-1, languages))[: pieces.n + 1]
     return out
 
 
@@ -215,15 +287,17 @@ def _table(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, names: list[str], text: str = "text", lang: str = "lang", rows: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Learn from (text, lang) of ``train``; rows without either don't count."""
+    """Learn from (text, lang) of ``train``; rows without either don't count. rows: the bound on the sample."""
     usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = [r["lang"] for r in usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    found = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(found)
+    languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model(names, [], np.zeros((len(names) + 2, 0)))
-    sample = bounded_sample(usable, F.col("text"), rows)
+    # The hash of the text chooses, so copies are in or out together; they are one row each, with their number.
+    chosen = usable.filter(hash_share(F.col("text"), rows, sum(r["count"] for r in found)))
+    sample = written(chosen.groupBy(F.xxhash64("text").alias("of"), "lang").agg(F.first("text").alias("text"), F.count("*").alias("n")).drop("of"), "sample")
     spark = train.sparkSession
     table = _table(np.ones((len(names) + 1, len(languages))))
     number = {x: i for i, x in enumerate(languages)}
@@ -236,7 +310,8 @@ def fit(train: DataFrame, names: list[str], text: str = "text", lang: str = "lan
             for batch in sized(batches, "text"):
                 words, index, counts = letters(batch.column("text"))
                 of = np.repeat(np.array([number[x] for x in batch.column("lang").to_pylist()]), counts)
-                pairs, times = np.unique(index.astype(np.int64) * len(languages) + of, return_counts=True)
+                pairs, pair = np.unique(index.astype(np.int64) * len(languages) + of, return_inverse=True)
+                times = np.bincount(pair, weights=np.repeat(batch.column("n").to_numpy(), counts), minlength=len(pairs))
                 total += expected_counts(pieces, table_, [words[i] for i in pairs // len(languages)], pairs % len(languages), times)
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], names=["piece", "lang", "n"])

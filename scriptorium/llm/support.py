@@ -95,15 +95,17 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(n), F.lit(0)).cast("int")
 
 
+def hash_share(key: Column, rows: int, total: int) -> Column:
+    """Whether the hash of ``key`` is among the lowest share that leaves about ``rows`` of ``total``; always, if there are no more."""
+    scale = 1 << 30
+    return F.lit(True) if total <= rows else F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < int(scale * rows / total)
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df`` at most, the same ones every time; all of them if there are fewer.
 
     Rows whose hashed key falls below the needed share are kept, so nothing is sorted or shuffled."""
-    total = df.count()
-    if total <= rows:
-        return df
-    scale = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < int(scale * rows / total))
+    return df.filter(hash_share(key, rows, df.count()))
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -59,53 +59,110 @@ def test_language_on_held_out_rows(spark, sf_dir, names):
     assert rows["score"].between(0, 1).all()
 
 
-def test_forward_sums_all_segmentations():
-    names = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"]
+SMALL = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"]
+BYTES = [f"<0x{b:02X}>" for b in range(256)]
+
+
+def brute(names, table, word, wanted=None):
+    """The probability of a word in each language by all its segmentations; and the expected count of each piece in language 0."""
+    column = {n: i for i, n in enumerate(names)}
+    total, counts = np.zeros(table.shape[1]), np.zeros(len(names) + 1)
+
+    def walk(at, p, used):
+        nonlocal total, counts
+        if at == len(word):
+            total = total + p
+            for i in used:
+                counts[i] += p[0]
+            return
+        for k in range(1, len(word) - at + 1):
+            part = word[at : at + k]
+            if part in column:
+                own = [column[part]]
+            elif k == 1:
+                own = [column[f"<0x{b:02X}>"] for b in part.encode()] if "<0x00>" in column else [len(names)]
+            else:
+                continue
+            walk(at + k, p * table[own].prod(axis=0), used + own)
+
+    walk(0, np.ones(table.shape[1]), [])
+    return np.log(total), counts / total[0]
+
+
+@pytest.mark.parametrize("spelled", [False, True])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_forward_and_backward_sum_all_segmentations(monkeypatch, spelled, scaled):
+    if scaled:  # as for long words, padded
+        monkeypatch.setattr(langid, "LEAST_LOG", 0.0)
+        monkeypatch.setattr(langid, "SHORT", 2)
+    names = SMALL + (BYTES if spelled else [])
     pieces = langid.Pieces(names)
-    rng = np.random.default_rng(1)
-    table = langid._table(rng.random((len(names) + 1, 2)))
-
-    def brute(word):
-        out = np.zeros(2)
-        def walk(at, p):
-            nonlocal out
-            if at == len(word):
-                out = out + p
-                return
-            for k in range(1, langid.LONGEST_PIECE + 1):
-                part = word[at : at + k]
-                if at + k <= len(word) and (part in names or k == 1):
-                    walk(at + k, p * table[names.index(part) if part in names else len(names)])
-        walk(0, np.ones(2))
-        return np.log(out)
-
-    words = ["a", "ab", "abab", "babx", "bbaab", "éab"]
-    assert np.allclose(langid.word_scores(pieces, table, words), [brute("▁" + w) for w in words])
-    # Expected counts of a word sum, over its pieces, to its length.
-    counts = langid.expected_counts(pieces, table, ["abab"], np.array([0]), np.array([3]))
-    lengths = np.array([len(n) for n in names] + [1])
-    assert np.isclose((counts[:, 0] * lengths).sum(), 3 * 5)
-
-
-def test_long_pieces_count(names):
-    assert {"translation", "▁information", "▁understand", "▁government"} <= set(names)
+    table = langid._table(np.random.default_rng(1).random((len(names) + 1, 2)))
+    words = ["a", "ab", "abab", "babx", "bbaab", "éab", "aaéb漢a"]
+    want = [brute(names, table, "▁" + w) for w in words]
+    assert np.allclose(langid.word_scores(pieces, table, words), [x for x, _ in want])
+    times = np.arange(1, len(words) + 1)
+    counts = langid.expected_counts(pieces, table, words, np.zeros(len(words), int), times)
+    assert np.allclose(counts[:, 0], sum(n * c for n, (_, c) in zip(times, want))) and not counts[:, 1].any()
+
+
+def test_the_whole_vocabulary_counts(names):
+    assert {"translation", "▁information", "▁understand", "▁government", "<0x00>", "の", "▁The"} <= set(names) and len(names) > 31_000
     pieces = langid.Pieces(names)
     codes = np.array([[ord(c) for c in "▁information"]], dtype=np.uint64)
-    assert (0, names.index("▁information")) in [(start, ids[0]) for start, ids in pieces.spans(codes)[-1]]
-    assert max(map(len, names)) == langid.LONGEST_PIECE
+    assert pieces.spans(codes)[-1][0, 0] == names.index("▁information")
 
 
-def test_long_words_agree_with_logarithms(names):
+def test_words_of_any_length(names):
     pieces = langid.Pieces(names)
     table = langid._table(np.random.default_rng(2).random((len(names) + 1, 3)))
-    word = "anther" * 7  # 42 letters: just beyond the plain pass
-    scaled = langid.word_scores(pieces, table, [word])[0]
-    codes = np.array([[ord(c) for c in langid.BEGIN + word]], dtype=np.uint64)
-    spans, alpha = pieces.spans(codes), [np.zeros(3)]
-    for end in range(1, codes.shape[1] + 1):
-        alpha.append(np.logaddexp.reduce([alpha[s] + np.log(table[i[0]] + 1e-320) for s, i in spans[end]], axis=0))
-    assert np.allclose(scaled, alpha[-1])
-    assert np.isfinite(langid.word_scores(pieces, table, ["x" * 20_000])).all()
+    words = ["anther" * 7, "漢字かな" * 300, "x" * 20_000, "ab"]
+    scores = langid.word_scores(pieces, table, words)
+    assert np.isfinite(scores).all() and scores[2].max() < -1000
+    for word, score in zip(words[:2], scores):
+        codes = np.array([[ord(c) for c in langid.BEGIN + word]], dtype=np.uint64)
+        block, alpha = langid.Block(pieces, table, codes), [np.zeros(3)]
+        for end in range(1, codes.shape[1] + 1):
+            alpha.append(np.logaddexp.reduce([alpha[s] + np.log(block.table[i[0]]) for s, i in block.to(end) if i[0] != pieces.n + 1], axis=0))
+        assert np.allclose(score, alpha[-1])
+    counts = langid.expected_counts(pieces, table, words, np.zeros(4, int), np.ones(4))
+    lengths = np.array([0 if n in BYTES else len(n) for n in names] + [0])
+    spelled = counts[[names.index(b) for b in BYTES], 0].sum() / 3  # characters of three bytes
+    assert np.isclose((counts[:, 0] * lengths).sum() + spelled, sum(len(w) + 1 for w in words))
+
+
+def test_texts_without_spaces(make_docs, names):
+    """Chinese and Japanese are learnt from runs of letters of any length, and told apart."""
+    rng = random.Random(4)
+    han = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生自会那后能对着事其里所去行过家十用发天如然作方成者多日都三小军二无同么经法当起与好看学进种将还分此心前面又定见只主没公从"
+    kana = "のはをにがでとたるしてれさいうえおかきくけこまみむめもやゆよらりろわんアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホ人日本語大学中国時間今年"
+    make = lambda chars: "。".join("".join(rng.choice(chars) for _ in range(rng.randint(30, 90))) for _ in range(6))
+    texts = [make(han) if i % 2 else make(kana) for i in range(80)]
+    docs = make_docs(texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "zh").otherwise("ja"))
+    rows = langid.identify(docs, names).collect()
+    assert all(r["lang_pred"] == ("zh" if r["doc_id"] % 2 else "ja") and r["score"] > 0.99 for r in rows)
+
+
+def test_query_against_brute_force(make_docs, names):
+    """Learning and prediction of whole texts by sums over all segmentations."""
+    rng = random.Random(6)
+    few = SMALL + BYTES
+    texts = [" ".join("".join(rng.choice("aab" if i % 2 else "abbc") for _ in range(rng.randint(1, 6))) for _ in range(4)) for i in range(30)]
+    texts += texts[:4]
+    docs = make_docs(texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "x").otherwise("y"))
+    rows = {r["doc_id"]: r for r in langid.identify(docs, few).collect()}
+    table = langid._table(np.ones((len(few) + 1, 2)))
+    for _ in range(langid.ROUNDS):
+        counts = np.zeros((len(few) + 1, 2))
+        for i, t in enumerate(texts):
+            if zlib.crc32(str(i).encode()) % 3 != 1:
+                for w in t.split():
+                    counts[:, 1 - i % 2] += brute(few, table[:, [1 - i % 2]], "▁" + w)[1]
+        table = langid._table(counts)
+    for i, t in enumerate(texts):
+        total = sum(brute(few, table, "▁" + w)[0] for w in t.split())
+        assert rows[i]["lang_pred"] == "xy"[int(total.argmax())]
+        assert np.isclose(rows[i]["score"], 1 / np.exp(total - total.max()).sum())
 
 
 def test_language_cases(make_docs, nasty, names):
