@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from scriptorium.llm.secrets import RULES
-from scriptorium.llm.sharding import BITS, SHARD_BYTES
-
 ORACLES: dict[str, str] = {}
 
+#: Fixed values of the contract: kind, pattern, group and least length of its text.
+RULES = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+)
+#: Bits of the key that are used, and bytes of a shard.
+BITS, SHARD_BYTES = 60, 16777216
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _spans(rank: int, rule) -> str:
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
     """Matches of one rule: a text split by the pattern gives the gaps, and the running length of gaps and matches gives the places."""
-    p = _quoted(rule.pattern)
+    p = _quoted(pattern)
     return f"""
-    SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, stop - len(m) AS start, stop FROM (
+    SELECT doc_id, '{kind}' AS kind, {rank} AS rank, stop - len(m) AS start, stop FROM (
       SELECT doc_id, m, sum(len(gap) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
         SELECT doc_id, unnest(string_split_regex(t, {p})) AS gap, unnest(regexp_extract_all(t, {p})) AS m, unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS i FROM d))
-    WHERE m IS NOT NULL AND len(regexp_extract(m, {p}, {rule.group})) >= {rule.least}"""
+    WHERE m IS NOT NULL AND len(regexp_extract(m, {p}, {group})) >= {least}"""
 
 
 ORACLES["op1_secrets"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({' UNION ALL '.join(_spans(i, r) for i, r in enumerate(RULES))}),
+s AS ({' UNION ALL '.join(_spans(i, *r) for i, r in enumerate(RULES))}),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, decontaminate, jaccard, langid, quality, secrets, sharding, suffix_dedup, surrogates, topk
-from scriptorium.llm.support import shared_folder
+from scriptorium.llm.support import deleted_at_exit, shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,14 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> bpe.R
     return bpe.Ranks(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def ledger(spark: SparkSession) -> str:
+    """The session's lasting ledger of secret scans; without one, a new one that goes when the driver ends."""
+    new = lambda: deleted_at_exit(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-ledger-{uuid.uuid4().hex[:12]}")
+    return spark.conf.get("spark.scriptorium.secrets.ledger", None) or new()
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-ledger-{uuid.uuid4().hex[:12]}"
-    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), ledger, path="doc_id"))
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"), ledger(spark), path="doc_id"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

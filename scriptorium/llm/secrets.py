@@ -21,6 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.llm.support import written
+
+#: Matches whose positions are found together; blobs with something to do up to which their table is broadcast.
+BLOCK, MAX_BROADCAST = 256, 250_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,19 +54,28 @@ LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rul
 
 def spans(text: Column, rule: Rule) -> Column:
     """Of each match of ``rule`` that counts, its start and end."""
-    pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
+    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("match"))
+    size = lambda part: F.length(part["gap"]) + F.coalesce(F.length(part["match"]), F.lit(0))
+    none = F.array().cast(SPAN)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["match"]), F.lit(0))
-        counts = F.coalesce(rule.keep(part["match"]), F.lit(False))
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(counts, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+    def walked(block: Column, begin: Column) -> Column:
+        def step(state: Column, part: Column) -> Column:
+            end = state["at"] + size(part)
+            start = end - F.coalesce(F.length(part["match"]), F.lit(0))
+            one = F.array(F.struct(start.alias("start"), end.alias("end")))
+            counts = F.coalesce(rule.keep(part["match"]), F.lit(False))
+            return F.struct(end.alias("at"), F.when(counts, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    none = F.array().cast(SPAN)
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
-    return F.when(text.rlike(rule.pattern), walked).otherwise(none)
+        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("found")), step)["found"]
+
+    def located(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, part: n + size(part)))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(begins) - 1), walked))
+
+    # A transform of one element computes the parts once.
+    return F.when(text.rlike(rule.pattern), F.get(F.transform(F.array(parts), located), F.lit(0))).otherwise(none)
 
 
 def blob_of(text: Column) -> Column:
@@ -76,17 +90,24 @@ def read_ledger(spark, path: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def pending(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """``blobs`` and in ``todo`` the names of the rules whose present version hasn't seen the blob; without blobs that all have."""
+def pending(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blobs`` with, in ``todo``, the names of the rules whose present version hasn't seen the blob; without blobs that all have."""
     names = F.array(*(F.lit(r.kind) for r in rules))
-    if ledger is None:
-        return blobs.withColumn("todo", names)
     now = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     done = ledger.filter(F.array_contains(now, F.struct("rule", "version"))).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     todo = F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))
     return blobs.join(done, "blob", "left").withColumn("todo", todo).drop("done").filter(F.size("todo") > 0)
 
 
+def unseen(known: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, text, todo): a row for each distinct blob of ``known`` (blob, text) with something to scan."""
+    if ledger is None:
+        return known.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", F.array(*(F.lit(r.kind) for r in rules)))
+    todo = written(pending(known.select("blob").distinct(), ledger, rules), "todo")
+    few = todo.count() <= MAX_BROADCAST
+    return known.join(F.broadcast(todo) if few else todo, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+
+
 def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger lacks, append it, and return a row (path, blob, findings) for each row of ``versions``.
 
@@ -94,9 +115,8 @@ def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str =
     spark = versions.sparkSession
     ledger = read_ledger(spark, ledger_path)
     known = versions.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blobs = known.groupBy("blob").agg(F.first("text").alias("text"))
     found = F.filter(F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.kind), spans(F.col("text"), r)).alias("spans")) for r in rules)), lambda x: x["spans"].isNotNull())
-    pending(blobs, ledger, rules).select("blob", F.inline(found)).write.mode("append").parquet(ledger_path)
+    unseen(known.select("blob", "text"), ledger, rules).select("blob", F.inline(found)).write.mode("append").parquet(ledger_path)
     return joined(known.select("path", "blob"), read_ledger(spark, ledger_path), rules)
 
 

@@ -46,3 +46,21 @@ def test_empty_table_and_repeated_paths(make_docs, tmp_path):
     assert scan(make_docs([]), str(tmp_path / "a"), path="doc_id").count() == 0
     rows = digest(scan(make_docs(["token=abcdefgh1"] * 3, [7, 7, None]), str(tmp_path / "b"), path="doc_id")).collect()
     assert len(rows) == 3 and {r["spans"] for r in rows} == {"assign:0:15"}
+
+
+def test_many_matches_in_one_text(make_docs, tmp_path):
+    text = "é " + "\n".join(f"token = abcdefgh{i:06d}" for i in range(100_000))
+    (row,) = digest(scan(make_docs([text]), str(tmp_path / "c"), path="doc_id")).collect()
+    assert row["n_assign"] == 100_000 and row["spans"] == brute(text)
+
+
+def test_known_texts_are_not_shuffled(spark, make_docs, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    scan(make_docs(["known one", "known two", None]), ledger, path="doc_id").collect()
+    docs = make_docs(["known one", "known two", "new", "new", ""])
+    known = docs.select(secrets.blob_of(docs["text"]).alias("blob"), "text")
+    found = secrets.unseen(known, secrets.read_ledger(spark, ledger), secrets.RULES)
+    assert [r["text"] for r in found.collect()] == ["new"]
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    text_side = plan[plan.index("first(text") :]
+    assert text_side.index("Exchange hashpartitioning(blob") < text_side.index("BroadcastHashJoin")
