@@ -12,37 +12,42 @@ again as the next one's ``docs``. All but the last return the columns of ``docs`
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, jaccard, langid, queries, secrets
-from scriptorium.llm.support import shared_folder, written
+from scriptorium.llm.support import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts go, as they have no letter; very long ones are scored whole. Rows may repeat, and all stay or go. No rows give none."""
     return langid.kept(docs, langid.default_vocabulary())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated rows are copies, so one stays; texts without words, null ones too, all stay. Ids may repeat or be null."""
     return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row goes by its own text, so ids and other columns don't matter; null and empty texts stay."""
     return decontaminate.clean(docs, queries.read(spark, sf_dir, "benchmark"))
 
 
+#: A helping column; it begins like no column of a table should.
+HIT = "__blob_with_secret"
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts meet their findings by content, so ids may repeat or be null."""
-    ledger = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-ledger-{uuid.uuid4().hex[:12]}"
-    blob = secrets.blob_of(F.col("text"))
+    ledger, blob = queries.ledger(spark), secrets.blob_of(F.col("text"))
     secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
-    hit = secrets.read_ledger(spark, ledger).filter(F.size("spans") > 0).select(F.col("blob").alias("__blob")).distinct()
-    return docs.join(hit, blob == F.col("__blob"), "left_anti")
+    hit = secrets.read_ledger(spark, ledger).filter(F.size("spans") > 0).select(F.col("blob").alias(HIT)).distinct()
+    return docs.join(hit, blob == F.col(HIT), "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row, with its id as it is; a null text has no ids."""
     return queries.round_trip(docs, queries.tokenizer(spark))
 
 
