@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +72,43 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least
     return found.filter(F.col("n") >= least)
 
 
+def weighted(x: Column, n: Column) -> Column:
+    """The mean of values that occur so often."""
+    return F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))
+
+
+def placed(counts: DataFrame, keys: list[str], x: str, n: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, name ...) from rows that stand for ``n`` equal ones: the value at each place (from 0) of a group's values in order. Nulls aren't counted.
+
+    Values are counted first and only run through in order, so no row holds a group."""
+    tallied = counts.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(n).alias("__n"))
+    group = Window.partitionBy(*keys)
+    upto, size = F.sum("__n").over(group.orderBy(x)), F.sum("__n").over(group)
+    run = tallied.select(*keys, x, "__n", upto.alias("__upto"), size.alias("__size"))
+    here = lambda at: F.max(F.when((F.col("__upto") - F.col("__n") <= at(F.col("__size"))) & (at(F.col("__size")) < F.col("__upto")), F.col(x)))
+    return run.groupBy(*keys).agg(*(here(at).alias(name) for name, at in places.items()))
+
+
+def upper_middle(n: Column) -> Column:
+    return F.floor(n / 2)
+
+
+def nine_tenths(n: Column) -> Column:
+    return F.least(F.floor(n * F.lit(0.9)), n - 1)
+
+
 def five_numbers(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(keys, n, q1, median, q3, whisker_low, whisker_high, n_fliers): interpolated quartiles, whiskers at the last value within 1.5 IQR."""
-    quartiles = df.groupBy(*keys).agg(F.count(x).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """(keys, n, q1, median, q3, whisker_low, whisker_high, n_fliers): interpolated quartiles, whiskers at the last value within 1.5 IQR.
+
+    Values are counted once; the quartiles and the whiskers both read those counts."""
+    counts = df.groupBy(*keys, x).agg(F.count("*").alias("__c"))
+    quartiles = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.col("__c"))), F.lit(0)).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__c")).alias("q"))
     quartiles = quartiles.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = df.join(quartiles, keys)
-    return rows.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col(x))).alias("whisker_low"), F.max(F.when(inside, F.col(x))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("n_fliers"))
+    rows = counts.join(quartiles, keys)
+    fliers = F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0))
+    return rows.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col(x))).alias("whisker_low"), F.max(F.when(inside, F.col(x))).alias("whisker_high"), fliers.alias("n_fliers"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

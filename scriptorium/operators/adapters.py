@@ -84,7 +84,56 @@ def command_client(command: list[str], timeout: float = 60.0) -> Callable[[], Cl
     return make
 
 
-_registry: dict[str, Callable[..., Adapter]] = {"fake": lambda **o: Adapter("fake", fake_client, **o), "command": lambda command, **o: Adapter("command", command_client(command), cleans=False, **o)}
+class Blocked(Exception):
+    """The service answered without a text, as for content that its filter holds back."""
+
+
+class ServiceError(Exception):
+    """An answer with an HTTP status; None if the connection was lost."""
+
+    def __init__(self, status: int | None, detail: str = ""):
+        super().__init__(f"{'connection lost' if status is None else f'status {status}'}: {detail}".rstrip(": "))
+        self.status = status
+
+
+def guarded(make_client: Callable[[], Client], retried: Callable[[int | None], bool]) -> Callable[[], Client]:
+    """A client whose service errors are transient where ``retried`` says so, and whose blocked answers are empty."""
+
+    def make() -> Client:
+        client = make_client()
+
+        def call(request: dict) -> str:
+            try:
+                return client(request)
+            except Blocked:
+                return ""
+            except ServiceError as e:
+                if retried(e.status):
+                    raise TransientError(str(e)) from e
+                raise
+
+        return call
+
+    return make
+
+
+#: Attempts of each service, and which statuses are tried again (None: a lost connection).
+CONTRACTS: dict[str, tuple[int, Callable[[int | None], bool]]] = {
+    "gemini": (7, lambda status: status in (429, 503)),
+    "claude": (5, lambda status: status is None or retryable_status(status)),
+}
+
+
+def _service(name: str) -> Callable[..., Adapter]:
+    attempts, retried = CONTRACTS[name]
+    return lambda make_client, **o: Adapter(name, guarded(make_client, retried), **({"attempts": attempts} | o))
+
+
+def _tesseract(language: str = "tel", mode: int = 6, **options) -> Adapter:
+    return Adapter("tesseract", command_client(["tesseract", "stdin", "stdout", "-l", language, "--psm", str(mode)]), **({"attempts": 1, "cleans": False} | options))
+
+
+_registry: dict[str, Callable[..., Adapter]] = {"fake": lambda **o: Adapter("fake", fake_client, **o), "command": lambda command, **o: Adapter("command", command_client(command), cleans=False, **o), "tesseract": _tesseract, **{name: _service(name) for name in CONTRACTS}}
 
 
 def register(name: str, make: Callable[..., Adapter]) -> None:

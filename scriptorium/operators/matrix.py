@@ -42,7 +42,13 @@ def score(transcriptions: DataFrame, truth: DataFrame, ref: str = "ref", hyp: st
 
 def summarize(scores: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> DataFrame:
     """n, mean, upper median and indexed 90th percentile of CER, mean and upper median of WER."""
-    return scores.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("cer").alias("mean_cer"), stats.upper_median(F.col("cer")).alias("median_cer"), stats.index_quantile(F.col("cer")).alias("p90_cer"), F.avg("wer").alias("mean_wer"), stats.upper_median(F.col("wer")).alias("median_wer"))
+    # The scores are computed for these counts; all that follows reads them again.
+    counts = scores.groupBy(*keys, "cer", "wer").agg(F.count("*").alias("times"))
+    means = counts.groupBy(*keys).agg(F.sum("times").alias("n"), stats.weighted(F.col("cer"), F.col("times")).alias("mean_cer"), stats.weighted(F.col("wer"), F.col("times")).alias("mean_wer"))
+    cer = stats.placed(counts, list(keys), "cer", "times", {"median_cer": stats.upper_middle, "p90_cer": stats.nine_tenths})
+    wer = stats.placed(counts, list(keys), "wer", "times", {"median_wer": stats.upper_middle})
+    found = means.join(cer, list(keys), "left").join(wer, list(keys), "left")
+    return found.select(*keys, "n", "mean_cer", "median_cer", "p90_cer", "mean_wer", "median_wer")
 
 
 def mean_median(scores: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> DataFrame:

@@ -76,7 +76,8 @@ SELECT model, preprocessing, round(max(cer) FILTER (r = n // 2 + 1), 6) AS upper
 def ranked_quantiles(spark, sf_dir):
     scores = cer_scores(spark, sf_dir)
     keys = ["model", "preprocessing"]
-    return stats.indexed_by_rank(scores, keys, "cer").withColumnRenamed("value", "upper_median").join(stats.indexed_by_rank(scores, keys, "cer", 0.9).withColumnRenamed("value", "p90"), keys)
+    counts = scores.groupBy(*keys, "cer").agg(F.count("*").alias("times"))
+    return stats.placed(counts, keys, "cer", "times", {"upper_median": stats.upper_middle, "p90": stats.nine_tenths})
 
 
 _VARIANTS = ", ".join(f"({i}, '{v}')" for i, v in enumerate(matrix.VARIANT_ORDER))

@@ -11,6 +11,10 @@ from scriptorium.operators.pairing import output_collisions, pending, subset
 from scriptorium.schemas import PAGE_KEYS, SCORE_KEYS
 
 
+#: Tasks (and files) of one book at most.
+BOOK_TASKS = 8
+
+
 def sorted_csv(df: DataFrame, path: str, order: tuple[str, ...], columns: tuple[str, ...] | None = None, one_file: bool = False, mode: str = "errorifexists") -> None:
     """CSV with a header, in total order over its part files; ``one_file`` for small tables."""
     out = df.select(*columns) if columns else df
@@ -26,8 +30,9 @@ def inventory_csv(rows: DataFrame, path: str, root: str, **options) -> None:
 
 def mismatch_report(bad: DataFrame, path: str, mode: str = "errorifexists") -> int:
     """JSON lines and their number. An empty report is a file without lines, which tells a clean run from none."""
-    bad.coalesce(1).write.mode(mode).json(path) if not bad.isEmpty() else bad.sparkSession.createDataFrame([], "value string").coalesce(1).write.mode(mode).text(path)
-    return bad.count()
+    # Lines and their number come from one run of the plan: the number is that of the lines written.
+    bad.select(F.to_json(F.struct(*bad.columns)).alias("value")).coalesce(1).write.mode(mode).text(path)
+    return bad.sparkSession.read.text(path).count()
 
 
 def score_csv(scores: DataFrame, path: str, **options) -> None:
@@ -49,8 +54,8 @@ def manifest(rows: DataFrame, path: str) -> None:
 
 
 def page_texts(transcriptions: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder for each book."""
-    transcriptions.repartition("book_id").write.mode(mode).partitionBy("book_id").parquet(path)
+    """One folder for each book; a book of many pages is dealt to several tasks."""
+    transcriptions.repartition(F.col("book_id"), F.pmod(F.xxhash64("page_id"), F.lit(BOOK_TASKS))).write.mode(mode).partitionBy("book_id").parquet(path)
 
 
 def images(rows: DataFrame, path: str, output: str = "output_path", source: str = "input_path") -> DataFrame:

@@ -174,16 +174,48 @@ def test_log_columns(spark):
     assert [tuple(r) for r in got] == [(True, "a=1"), (False, "a=1 b=2")]
 
 
-def test_log_formatters():
-    record = logging.LogRecord("n", logging.INFO, "f", 1, "hi %s", ("x",), None)
-    record.page = "p1"
-    line = json.loads(logs.JsonLines().format(record))
-    assert (line["level"], line["logger"], line["message"], line["page"]) == ("INFO", "n", "hi x", "p1") and line["timestamp"].endswith("Z")
-    assert logs.Lines().format(record).endswith("n: hi x page=p1")
-    record.level = "oops"
-    with pytest.raises(ValueError, match="level"):
-        logs.JsonLines().format(record)
-    assert len(logs.configure().handlers) == len(logs.configure().handlers) == 1
+def logger_of(monkeypatch, **options):
+    import io
+
+    out = io.StringIO()
+    monkeypatch.setattr("sys.stderr", out)
+    return logs.configure(name="test.logs", **options), out
+
+
+def test_log_lines(monkeypatch):
+    logger, out = logger_of(monkeypatch)
+    logger.info("hi %s", "é", extra={"page": "p1"})
+    line = json.loads(out.getvalue())
+    assert list(line) == ["ts", "level", "logger", "msg", "page"] and line["ts"].endswith("Z")
+    assert (line["level"], line["logger"], line["msg"], line["page"]) == ("INFO", "test.logs", "hi é", "p1") and "é" in out.getvalue()
+    logger, out = logger_of(monkeypatch, as_json=False)
+    logger.warning("hi", extra={"b": 2, "a": 1})
+    assert out.getvalue().endswith("WARNING  test.logs: hi a=1 b=2\n")
+
+
+@pytest.mark.parametrize("as_json", [True, False])
+def test_log_of_exceptions_and_reserved_keys(monkeypatch, as_json):
+    logger, out = logger_of(monkeypatch, as_json=as_json)
+    try:
+        raise KeyError("lost")
+    except KeyError:
+        logger.exception("failed", extra={"page": "p2"})
+    assert "Traceback" in out.getvalue() and "KeyError: 'lost'" in out.getvalue() and "p2" in out.getvalue()
+    for key in ("ts", "level", "logger"):
+        with pytest.raises(ValueError, match=key):
+            logger.info("x", extra={key: 1})
+    with pytest.raises(KeyError):  # the library's own check
+        logger.info("x", extra={"msg": 1})
+    assert len(out.getvalue().strip().splitlines()) >= 1 and set(logs.RESERVED) == {"ts", "level", "logger", "msg"}
+
+
+def test_log_handlers_of_others_stay():
+    other = logging.NullHandler()
+    logging.getLogger("test.others").addHandler(other)
+    for _ in range(3):
+        logger = logs.configure(name="test.others")
+    assert len(logger.handlers) == 2 and other in logger.handlers
+    logger.removeHandler(other)
 
 
 def bars(h=400, w=400):
@@ -209,7 +241,7 @@ def test_binarize():
 def test_deskew():
     straight = bars()
     assert images.deskew(straight) is straight and images.deskew(np.full((20, 20), 255, np.uint8)).shape == (20, 20)
-    for angle in (5.0, -3.0):
+    for angle in (5.0, -3.0, 25.0):
         tilted = images.rotate(straight, angle)
         fixed = images.deskew(tilted)
         assert fixed.shape == tilted.shape and abs(images.skew_angle(fixed)) < 0.5 < abs(images.skew_angle(tilted))
@@ -231,13 +263,77 @@ def test_pipeline_of_stages(spark):
     good, bad = sorted(images.apply(df, pipe).collect(), key=lambda r: r["page_id"])
     assert (good["height"], good["width"], good["channels"], good["error"]) == (80, 90, 1, None)
     assert bytes(good["pixels"]) == pipe.run(image).tobytes() and bad["error"].startswith("ValueError")
-    try:
-        import cv2  # noqa: F401
-    except ImportError:
-        with pytest.raises(images.StageUnavailable):
-            images.denoise(image)
-        with pytest.raises(images.StageUnavailable):
-            images.contrast(image)
+
+
+def test_denoise():
+    rng = np.random.default_rng(1)
+    clean = np.clip(bars(60, 60), 60, 190)  # no noise is cut off
+    noisy = np.clip(clean.astype(int) + rng.normal(0, 5, clean.shape), 0, 255).astype(np.uint8)
+    for image, truth in ((noisy[..., 0], clean[..., 0]), (noisy, clean)):
+        made = images.denoise(image)
+        assert made.shape == image.shape and made.dtype == np.uint8
+        assert np.abs(made.astype(int) - truth).mean() < 0.7 * np.abs(image.astype(int) - truth).mean()
+    assert (images.denoise(np.full((9, 9), 77, np.uint8)) == 77).all() and images.denoise(np.zeros((1, 3), np.uint8)).shape == (1, 3)
+    small = rng.integers(0, 30, (6, 5)).astype(np.uint8)
+    wide = np.pad(small.astype(float), 8, mode="reflect")
+    want = np.empty_like(small)
+    for y in range(6):  # the definition, pixel by pixel
+        for x in range(5):
+            box = lambda v, u: np.pad(wide, 3, mode="reflect")[v : v + 7, u : u + 7]
+            found = [(np.exp(-((images._box((small - wide[8 + dy : 14 + dy, 8 + dx : 13 + dx]) ** 2, 7)[y, x]) / 49 / 49)), wide[8 + y + dy, 8 + x + dx]) for dy in range(-4, 5) for dx in range(-4, 5)]
+            found = [(w, v) for w, v in found if w >= 1e-3]
+            want[y, x] = np.rint(sum(w * v for w, v in found) / sum(w for w, _ in found))
+    assert (images.non_local_means(small[..., None])[..., 0] == want).all()
+
+
+def test_contrast():
+    ramp = np.tile(np.linspace(100, 140, 64).astype(np.uint8), (64, 1))
+    made = images.contrast(ramp)
+    assert made.shape == ramp.shape and np.ptp(made) > np.ptp(ramp)
+    colour = np.stack([ramp, ramp, ramp], axis=-1)
+    assert images.contrast(colour).shape == colour.shape and np.ptp(images.contrast(colour)) > np.ptp(ramp)
+    assert images.contrast(np.full((5, 7), 9, np.uint8)).shape == (5, 7)
+    flat = images.equalized(np.full((64, 64), 9, np.uint8))
+    assert flat.min() == flat.max()
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (500, 3)).astype(np.uint8)
+    back = images.from_lab(images.to_lab(pixels)).astype(int)
+    assert np.abs(back - pixels).mean() < 1  # bytes hold a and b of dark colours coarsely
+    assert images.to_lab(np.array([[255, 255, 255], [0, 0, 255]], np.uint8)).tolist() == [[255, 128, 128], [136, 208, 195]]
+    for variant, enable in images.VARIANTS.items():
+        assert images.default_pipeline().run(bars(90, 80), enable).shape[:2] == (90, 80), variant
+
+
+def test_service_contracts():
+    """Attempts, which failures are tried again, and blocked answers of each registered service."""
+
+    def outcomes(name, *answers):
+        left = list(answers)
+
+        def client(request):
+            answer = left.pop(0)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        chosen = adapters.adapter(name, make_client=lambda: client)
+        call = chosen.make_client()
+        try:
+            return adapters.with_retries(lambda: call({}), chosen.attempts, sleep=lambda s: None), len(answers) - len(left)
+        except Exception as e:
+            return type(e), len(answers) - len(left)
+
+    error = adapters.ServiceError
+    assert outcomes("gemini", error(429), error(503), "text") == ("text", 3)
+    assert outcomes("gemini", *[error(429)] * 9) == (adapters.TransientError, 7)
+    assert outcomes("gemini", error(500), "text") == (error, 1) and outcomes("gemini", error(None), "text") == (error, 1)
+    assert outcomes("gemini", adapters.Blocked()) == ("", 1)
+    assert outcomes("claude", error(429), error(529), error(500), error(None), "text") == ("text", 5)
+    assert outcomes("claude", *[error(500)] * 9) == (adapters.TransientError, 5)
+    assert outcomes("claude", error(400), "text") == (error, 1) and outcomes("claude", error(404), "text") == (error, 1)
+    assert adapters.adapter("tesseract").cleans is False
+    with pytest.raises(ValueError, match="tesseract"):
+        adapters.adapter("other")
 
 
 def test_retries():

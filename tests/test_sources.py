@@ -120,9 +120,9 @@ def test_other_sinks(spark, tmp_path, tree):
 
 
 def test_log_lines(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"timestamp": "t", "level": "INFO", "logger": "l", "message": "m", "page": "p", "ms": 3}\nbroken\n')
+    (tmp_path / "log.jsonl").write_text('{"ts": "t", "level": "INFO", "logger": "l", "msg": "m", "page": "p", "ms": 3}\nbroken\n')
     (row,) = corpus.log_lines(spark, str(tmp_path / "log.jsonl")).filter("level is not null").collect()
-    assert row["message"] == "m" and row["extras"] == {"page": "p", "ms": "3"}
+    assert row["msg"] == "m" and row["extras"] == {"page": "p", "ms": "3"}
 
 
 def test_streams_take_each_key_once(spark, tmp_path):
