@@ -4,17 +4,21 @@ Documents form shards (an Arrow batch each). Every shard gets a word-level suffi
 positions of its words, sorted by the ``WINDOW`` words that follow. Only positions at which some
 test suffix can match are indexed; a position whose first words don't occur in any item can't be in
 a match, so leaving it out changes nothing. Each test suffix of the benchmark is binary-searched in
-each shard; hits on the same diagonal are joined into the longest verbatim matches with their
-locations. Documents never leave their task: only matches and counts do.
+each shard; hits on the same diagonal are joined into verbatim matches, and the longest is kept at
+each location, that is, in each stretch of the document that an item's windows cover. The order of
+the array beyond ``WINDOW`` words is not needed: what follows a match is found along its diagonal.
+Documents never leave their task: only matches and counts do.
 
 Words: A-Z is lower-cased, then runs of digits, letters a-z and non-ASCII characters. A window is
 ``WINDOW`` consecutive words of an item, or a whole item of fewer (but some) words.
 
-The benchmark is collected in blocks of ``BLOCK_BYTES`` at most (a single larger item is a block of
-its own), so what is broadcast doesn't grow with it; the blocks' matches are merged by document.
+The benchmark's distinct items are collected in blocks of about ``BLOCK_BYTES`` (an item is never cut,
+so a block with a larger one is larger), so what is broadcast doesn't grow with their number; the
+blocks' matches are merged by document.
 
 Cases: null or empty texts have no words and no matches; items without words match nothing.
-Repeated items or documents are each reported. Ids may be null. Only the named columns are read.
+Repeated documents are each reported, repeated items once; items that share an id count as one item.
+Ids may be null. Only the named columns are read; ``keep`` may hold any names but the result's own.
 """
 
 from __future__ import annotations
@@ -132,17 +136,23 @@ def merge_runs(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
 
 
 def longest(items: np.ndarray, starts: np.ndarray, places: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
-    """Of hits (item, start in the item, place in the document) of windows of one length, each item's longest match: (item, place, start, words)."""
+    """Of hits (item, start in the item, place in the document) of windows of one length, each item's longest match in each stretch that its hits cover: (item, place, start, words)."""
     diagonal = places - starts
     order = np.lexsort((starts, diagonal, items))
     items, starts, places, diagonal = items[order], starts[order], places[order], diagonal[order]
     fresh = np.concatenate([[True], (items[1:] != items[:-1]) | (diagonal[1:] != diagonal[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(fresh)
     words = np.diff(np.append(first, len(items))) - 1 + length
-    best = np.lexsort((starts[first], places[first], -words, items[first]))
-    first, words = first[best], words[best]
-    top = np.concatenate([[True], items[first][1:] != items[first][:-1]])
-    return [(int(items[f]), int(places[f]), int(starts[f]), int(w)) for f, w in zip(first[top], words[top], strict=True)]
+    by_place = np.lexsort((places[first], items[first]))
+    first, words = first[by_place], words[by_place]
+    item, begin = items[first], places[first]
+    # Ends are raised item by item, so that one item's reach doesn't touch the next one's.
+    room = int((begin + words).max()) + 1
+    reach = np.maximum.accumulate(begin + words + item * room)
+    stretch = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (begin[1:] + item[1:] * room > reach[:-1])]))
+    best = np.lexsort((starts[first], begin, -words, stretch))
+    top = best[np.concatenate([[True], stretch[best][1:] != stretch[best][:-1]])]
+    return [(int(item[k]), int(begin[k]), int(starts[first[k]]), int(words[k])) for k in top]
 
 
 def match_shard(column: pa.Array, index: Index) -> tuple[np.ndarray, list, list, list]:
@@ -153,7 +163,7 @@ def match_shard(column: pa.Array, index: Index) -> tuple[np.ndarray, list, list,
     room = np.repeat(ends, counts) - np.arange(len(ids))
     begins = ends - counts
     hits: list[list] = [[] for _ in counts]
-    matches: list[dict] = [{} for _ in counts]
+    matches: list[list] = [[] for _ in counts]
     for length, (distinct, where, first, anchors) in index.windows.items():
         at, keys = suffix_array(ids, room, length, anchors)
         if not len(at):
@@ -174,12 +184,10 @@ def match_shard(column: pa.Array, index: Index) -> tuple[np.ndarray, list, list,
             hits[d].append((local, local + length))
             times = first[mine + 1] - first[mine]
             spot = np.repeat(first[mine], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            for item, start, offset, words_ in longest(where[spot, 0], where[spot, 1], np.repeat(local, times), length):
-                if words_ > matches[d].get(item, (0, 0, 0))[2]:
-                    matches[d][item] = (start, offset, words_)
+            matches[d] += longest(where[spot, 0], where[spot, 1], np.repeat(local, times), length)
     runs = [merge_runs(np.concatenate([s for s, _ in h]), np.concatenate([e for _, e in h])) if h else [] for h in hits]
-    names = [[index.names[i] for i in sorted(m)] for m in matches]
-    return counts, runs, names, [[{"item": index.names[i], "doc_start": s, "item_start": o, "n_words": w} for i, (s, o, w) in sorted(m.items())] for m in matches]
+    names = [list(dict.fromkeys(index.names[i] for i, *_ in sorted(m))) for m in matches]
+    return counts, runs, names, [[{"item": index.names[i], "doc_start": s, "item_start": o, "n_words": w} for i, s, o, w in sorted(m)] for m in matches]
 
 
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +200,7 @@ _OUT = pa.struct([("item", pa.string()), ("doc_start", pa.int32()), ("item_start
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
     """The benchmark's items in blocks of about ``block_bytes`` at most."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(2 * total / block_bytes))
     for g in range(n):
@@ -202,11 +210,13 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> I
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document: its id, the columns in ``keep``, n_words, hits (word ranges), items, matches (the longest for each item).
+    """A row for each document: its id, the columns in ``keep``, n_words, hits (word ranges), items, matches (the longest of each item at each of its locations).
 
     With more than one block, the rows of a document are matched up by those columns and a hash of its text."""
     spark, frames = docs.sparkSession, []
     names = list(dict.fromkeys([doc_id, *keep]))
+    if clash := {"__text", "n_words", "hits", "items", "matches"} & set(names):
+        raise ValueError(f"columns to keep are called like those of the result: {', '.join(sorted(clash))}")
     columns = list(dict.fromkeys([*names, text]))
     source = docs.select(*columns)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.support import arrow_map, bounded_sample, crc_mod, sized, texts
+from scriptorium.llm.support import arrow_map, bounded_sample, crc_mod, sized, texts, written
 
 SAMPLE = 30_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -198,9 +198,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE) -> Model:
-    """Fit to the labelled documents that aren't held out. The chosen labels are bounded by ``rows``, so they can be broadcast."""
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(doc_id, F.col(label).cast("int").alias("label"))
-    chosen = bounded_sample(usable, F.col(doc_id), rows).limit(2 * rows)
+    """Fit to the labelled documents that aren't held out: distinct pairs of text and label, about ``rows`` at most.
+
+    Ids are chosen by their hash, then, if they stand for many texts, texts by theirs; so what is broadcast or collected is bounded by ``rows``, however often ids repeat."""
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    chosen = bounded_sample(usable, F.col("id"), rows)
+    taught = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    taught = written(taught.groupBy(F.xxhash64("text").alias("of"), "label").agg(F.first("text").alias("text")), "taught")
+    taught = bounded_sample(taught, F.col("of"), rows).select("text", "label")
     names = ", ".join(f"f{k} double" for k in range(len(FEATURES)))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -208,7 +213,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["label", *(f"f{k}" for k in range(x.shape[1]))])
 
-    taught = docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "label")
     found = arrow_map(taught, run, f"label int, {names}").toPandas().sort_values(by=["label", *(f"f{k}" for k in range(len(FEATURES)))])
     return fit(found.iloc[:, 1:].to_numpy(dtype=np.float64), found["label"].to_numpy(dtype=np.float64))
 

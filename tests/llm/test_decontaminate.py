@@ -2,6 +2,8 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate
 from scriptorium.llm.support import sized
@@ -65,6 +67,20 @@ def test_longest_matches(spark, make_docs):
         assert m["n_words"] == longest(docs[r["doc_id"]], item) and (m["doc_start"], m["item_start"]) == (r["doc_id"], 1)
 
 
+def test_every_location_has_its_longest_match(spark, make_docs):
+    item = " ".join(f"w{i}" for i in range(30))
+    part = lambda a, b: " ".join(item.split()[a:b])
+    text = f"{part(0, 12)} x {part(5, 30)} y {part(3, 12)} z {item} {item}"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, part(2, 14))], "item_id long, text string")
+    (row,) = decontaminate.find(make_docs([text]), bench).collect()
+    assert row["items"] == ["1", "2"]
+    got = {(m["item"], m["doc_start"], m["item_start"], m["n_words"]) for m in row["matches"]}
+    assert {m for m in got if m[0] == "1"} == {("1", 0, 0, 12), ("1", 13, 5, 25), ("1", 49, 0, 30)}  # copies that touch are one stretch
+    assert {m for m in got if m[0] == "2"} == {("2", 2, 0, 10), ("2", 51, 0, 12), ("2", 81, 0, 12)}
+    with pytest.raises(ValueError, match="items"):
+        decontaminate.find(make_docs([text]).withColumn("items", F.lit(1)), bench, keep=("items",))
+
+
 def test_blocks_give_the_same(spark, make_docs):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
