@@ -61,8 +61,18 @@ def with_ranks(df: DataFrame, x: str, y: str, keys: list[str] | None = None) ->
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     if not keys:
         return average_ranks(average_ranks(both, x, "rank_x"), y, "rank_y")
-    rank = lambda c: (F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2).cast("double")
-    return both.withColumn("rank_x", rank(x)).withColumn("rank_y", rank(y))
+    return _ranked_within(_ranked_within(both, keys, x, "rank_x"), keys, y, "rank_y")
+
+
+def _ranked_within(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
+    """``df`` with the tie-averaged rank of ``x`` within ``keys``. Only counts of distinct values are run through in order, so ties don't pile up in a group's task."""
+    counts = df.groupBy(*keys, F.col(x).alias("__v")).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v"))
+    ranks = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__v", (upto - (F.col("__n") - 1) / 2).cast("double").alias(out))
+    same = F.col(x) == F.col("__v")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, same).drop("__v", *(f"__k{i}" for i in range(len(keys))))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 1) -> DataFrame:
@@ -112,14 +122,15 @@ def five_numbers(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: count, mean, std, min, exact quartiles, max."""
-    out = None
-    for c in columns:
-        x = F.col(c).cast("double")
-        one = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max"))
-        one = one.select(F.lit(c).alias("column"), "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row for each column: count, mean, std, min, exact quartiles, max. All columns are read in one pass."""
+
+    def of(name: str) -> Column:
+        x = F.col(name).cast("double")
+        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        parts = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "p25": F.get(quartiles, F.lit(0)), "p50": F.get(quartiles, F.lit(1)), "p75": F.get(quartiles, F.lit(2)), "max": F.max(x)}
+        return F.struct(F.lit(name).alias("column"), *(c.alias(k) for k, c in parts.items()))
+
+    return df.agg(F.array(*(of(name) for name in columns)).alias("rows")).select(F.inline("rows"))
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:

@@ -13,12 +13,14 @@ def read_scores(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = SCORE_KEYS) -> StreamingQuery:
-    """Append the first row of each key to a Parquet table and stop after what is there. The keys seen are the stream's state, so a restart repeats nothing."""
+    """Append the first row of each key to a Parquet table and stop after what is there. The keys seen are the stream's state, so a restart repeats nothing.
+
+    The state grows with the keys, which come without a time that a watermark could use; :func:`append_missing` reads the table instead."""
     return stream.dropDuplicates(list(keys)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = SCORE_KEYS) -> StreamingQuery:
-    """Per batch, append what the table lacks; for sinks that other jobs write too."""
+def append_missing(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = SCORE_KEYS) -> StreamingQuery:
+    """Per batch, append the rows whose keys the table lacks, the first of each; for sinks that other jobs write too. No state is kept between batches."""
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession

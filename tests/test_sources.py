@@ -134,7 +134,7 @@ def test_streams_take_each_key_once(spark, tmp_path):
     assert sorted(r["page_id"] for r in spark.read.parquet(sink).collect()) == ["0", "1", "2", "3", "4"]
     other = str(tmp_path / "other")
     for k in range(2):
-        incremental.upsert_latest(incremental.read_scores(spark, source), other, str(tmp_path / f"m{k}")).awaitTermination()
+        incremental.append_missing(incremental.read_scores(spark, source), other, str(tmp_path / f"m{k}")).awaitTermination()
     assert spark.read.parquet(other).count() == 5
 
 
