@@ -91,7 +91,8 @@ def placed(counts: DataFrame, keys: list[str], x: str, n: str, places: dict[str,
     """(keys, name ...) from rows that stand for ``n`` equal ones: the value at each place (from 0) of a group's values in order. Nulls aren't counted.
 
     Values are counted first and only run through in order, so no row holds a group."""
-    tallied = counts.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(n).alias("__n"))
+    # Nulls count 0; a filter would be pushed below whatever computes the value, and compute it again.
+    tallied = counts.groupBy(*keys, x).agg(F.sum(F.when(F.col(x).isNotNull(), F.col(n)).otherwise(F.lit(0))).alias("__n"))
     group = Window.partitionBy(*keys)
     upto, size = F.sum("__n").over(group.orderBy(x)), F.sum("__n").over(group)
     run = tallied.select(*keys, x, "__n", upto.alias("__upto"), size.alias("__size"))
