@@ -128,3 +128,49 @@ def test_top_k_small_and_large_values(spark):
     want = sorted(((-sum(int(a) * int(b) for a, b in zip(big[0][1], v))), i) for i, v in big[1:])
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     assert [(r[2], r[3]) for r in search(spark, [(*r, 0, 0, 0) for r in rows])] == sorted(((i, clip(-s)) for s, i in want), key=lambda x: (-x[1], x[0]))
+
+
+def clustered(rng, n=2000, clusters=8, dim=8):
+    centres = rng.normal(size=(clusters, dim)) * 8
+    return [(i, [float(np.float32(x)) for x in centres[i % clusters] + rng.normal(size=dim) / 20]) for i in range(n)]
+
+
+def test_top_k_of_clusters_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", 300)
+    rows = clustered(np.random.default_rng(8), 600)
+    rows += [(50, rows[7][1]), (50, rows[7][1]), *[(9, rows[0][1])] * 40]  # repeated ids and rows
+    distinct = [(i, list(v)) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows)]
+    queries = {}
+    for i, v in distinct:
+        if i % 50 == 0:
+            queries[i] = min(queries.get(i, v), v, key=lambda v: np.floor(256 * np.array(v)).tolist())
+    want = []
+    ints = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in distinct]
+    for q, v in queries.items():
+        a = np.floor(256 * np.array(v)).astype(np.int64)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in ints if i != q)[:5])]
+    assert search(spark, [(*r, 0, 0, 0) for r in rows]) == sorted(want)
+
+
+def test_clusters_leave_most_candidates_unread(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.floor(256 * np.array([v for _, v in clustered(rng)])).astype(np.int64)
+    ids, sample = np.arange(len(x)), np.arange(0, len(x), 5)
+    pivots = topk.choose_pivots(x[sample].astype(float), topk.PIVOTS)
+    table, norm = topk.distances(x.astype(float), pivots), (x.astype(float) ** 2).sum(axis=1)
+    region = table.argmin(axis=1)
+    bounds = {r: topk.Region(table[region == r].min(axis=0), table[region == r].max(axis=0), norm[region == r].max(), 1) for r in set(region.tolist())}
+    queries = np.arange(0, len(x), 50)
+    floor = topk.floors(x[queries], queries, ids[sample], x[sample], 5)
+    seen, product = [], topk.products
+    monkeypatch.setattr(topk, "products", lambda c, q: seen.append(len(c)) or product(c, q))
+    sent = 0
+    for q, least in zip(queries, floor):
+        open_ = [r for r, b in bounds.items() if topk.reach(table[[q]], norm[[q]], np.array([least]), b)[0]]
+        inside = np.flatnonzero(np.isin(region, open_))
+        sent += len(inside)
+        found, scores = topk.search(x[q], q, table[q], x[inside], ids[inside], table[inside], norm[inside], 5, int(least))
+        assert list(zip(-scores, found)) == sorted((-int(x[q] @ x[i]), i) for i in ids if i != q)[:5]
+    assert sent < 0.5 * len(x) * len(queries) and sum(seen) < 0.25 * len(x) * len(queries)
