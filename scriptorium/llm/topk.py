@@ -221,9 +221,10 @@ def top_k(df: DataFrame, is_query: Column, id_column: str = "vec_id", vector: st
     rare = F.size("to_pivots") == 0
     blocks = lambda n, size: math.ceil(n / size)
     grid = [(dim, region, blocks(asked_of.get((dim, region), 0), QUERY_BLOCK), blocks(x.rows, CANDIDATE_BLOCK)) for (dim, region), x in regions.items()]
+    # No more rows than the sample has, so it is broadcast: a shuffle by region would be skewed.
     grid = vectors.sparkSession.createDataFrame(grid, "dim int, region int, down int, across int")
     rest = (F.lit(max(1, blocks(reached.filter(rare).count(), QUERY_BLOCK))), F.lit(max(1, blocks(table.filter(rare).count(), CANDIDATE_BLOCK))))
-    sized = lambda df: df.join(grid, ["dim", "region"], "left").withColumns({"down": F.coalesce("down", rest[0]), "across": F.coalesce("across", rest[1])}).filter(F.col("down") > 0)
+    sized = lambda df: df.join(F.broadcast(grid), ["dim", "region"], "left").withColumns({"down": F.coalesce("down", rest[0]), "across": F.coalesce("across", rest[1])}).filter(F.col("down") > 0)
     block = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = sized(reached.withColumn("region", F.explode("regions")).drop("regions")).withColumn("row", block("down", F.col("vec_id"), F.lit(1)))
