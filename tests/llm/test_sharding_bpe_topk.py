@@ -33,13 +33,37 @@ def brute_shards(rows, limit):
 @pytest.mark.parametrize("limit", [0, 300, 2000, 10**9])
 def test_shards_match_a_plain_directory(make_docs, nasty, limit):
     texts = nasty + [f"text {i} " * (i % 7) for i in range(150)] + ["same"] * 3
-    ids = [*range(len(texts) - 3), 5000, 5000, None]
+    ids = [*range(len(texts) - 3), 5000, 5001, None]
     want = brute_shards(list(zip(ids, texts)), limit)
     got = sharding.shards(make_docs(texts, ids), limit=limit).collect()
     assert sorted((str(r["doc_id"]), r["shard"], r["shard_bytes"], r["shard_rows"]) for r in got) == sorted((str(i), *w) for i, w in zip(ids, want))
     assert all(r["overflow"] == (r["shard_bytes"] > limit) and r["depth"] == len(r["shard"]) for r in got)
 
 
+@pytest.mark.parametrize("sent", [0, 250_000])
+def test_repeated_rows_fit_their_shards(spark, make_docs, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(sharding, "MAX_SENT", sent)
+    texts = [f"text {i} " * 5 for i in range(60)] + ["again and again"] * 300 + [None] * 40 + ["long " * 100] * 2
+    ids = [*range(60), *[77] * 300, *[None] * 40, 78, 78]
+    got = sharding.shards(make_docs(texts, ids), limit=400).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == sorted((str(i), len(t or "")) for i, t in zip(ids, texts))
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r)
+    for name, rows in by_shard.items():
+        total = sum(r["n_bytes"] for r in rows)
+        assert total <= 400 or len(rows) == 1
+        assert {(r["shard_bytes"], r["shard_rows"], r["overflow"], r["depth"]) for r in rows} == {(total, len(rows), total > 400, len(name))}
+    names = sorted(by_shard)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    directory = sharding.write_shards(make_docs(texts, ids), str(tmp_path / "s"), limit=400)
+    back = spark.read.schema("doc_id long, text string, __shard string").parquet(str(tmp_path / "s"))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in back.collect()) == sorted((str(i), t or "") for i, t in zip(ids, texts))
+    sizes = {r["shard"]: (r["shard_bytes"], r["shard_rows"]) for r in directory.collect()}
+    held = back.groupBy("__shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()
+    assert sizes == {r["__shard"]: (r["b"], r["n"]) for r in held}
+
+
 def test_written_shards_hold_every_row(spark, make_docs, nasty, tmp_path):
     assert sharding.shards(make_docs([])).count() == 0
     directory = sharding.write_shards(make_docs(nasty), str(tmp_path / "s"), limit=5000)
