@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import langid, quality
+from scriptorium.llm import langid, quality, queries
 from scriptorium.llm.support import sized
 
 
@@ -21,6 +22,42 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert rows["score"].between(0, 1).all() and ((rows["score"] >= 0.3) == (rows["predicted"] == 1)).all()
 
 
+def plain_features(text):
+    """The features of a text, one after the other."""
+    text = text or ""
+    raw = text.encode()
+    size = max(len(raw), 1)
+    of = lambda chars: sum(raw.count(c) for c in chars.encode())
+    shares = [raw.count(b) / size for b in set(raw)]
+    words = [w.decode() for w in raw.split()]
+    lines = text.split("\n")
+    n = max(len(words), 1)
+    upper, lower = of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("abcdefghijklmnopqrstuvwxyz")
+    punctuation = [b for b in raw if 32 < b < 127 and not chr(b).isalnum()]
+    return [
+        math.log1p(len(raw)), upper / max(upper + lower, 1), of("0123456789") / size, len(punctuation) / size, of("|") / size, of("#$%&*@^~<>{}[]\\=+_") / size, of("!?") / size, of(".,;:") / size, of("\n") / size,
+        of(" \t\r\n\x0b\x0c") / size, sum(b >= 128 for b in raw) / size, max(shares, default=0), -sum(p * math.log2(p) for p in shares), sum(map(len, words)) / n, sum(len(w) <= 3 for w in words) / n,
+        len(set(words)) / n if words else 1.0, len(set(lines)) / len(lines), len(words) / len(lines),
+    ]
+
+
+def test_quality_query_matches_plain_python(spark, sf_dir, nasty):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    x = quality.features(pa.array([r["text"] for r in rows] + nasty))
+    assert np.allclose(x, [plain_features(t) for t in [r["text"] for r in rows] + nasty], rtol=1e-9, atol=1e-9)
+    got = {r["doc_id"]: r for r in queries.op3_quality(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r, values in zip(rows, x.tolist()):
+        place = lambda cuts, k: sum(c <= values[k] for c in cuts)  # noqa: B023, E731
+        total = model.intercept + sum(t[place(c, k)] for k, (c, t) in enumerate(zip(model.cuts, model.tables))) + sum(t[place(model.coarse[i], i)][place(model.coarse[j], j)] for i, j, t in model.pairs)
+        score = 1 / (1 + math.exp(-min(max(total, -30), 30)))
+        found = got[r["doc_id"]]
+        assert math.isclose(found["score"], score, rel_tol=1e-9) and found["predicted"] == int(found["score"] >= 0.3)
+        assert found["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_is_additive():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
