@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ BITMAPS = (512, 1 << 16)
 LEADERS = 3
 #: Components that hold a share of one in so many rows are at most so many.
 HEAVY = 1000
+#: Rows of a list in the last round; longer ones are dealt to blocks.
+LIST = 4096
 #: Names of helping columns; they begin like no column of a table should.
 ROW, KEPT = "__jaccard_row", "__jaccard_kept"
 
@@ -216,6 +220,25 @@ def relabelled(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return written(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps")
 
 
+def within_lists(left: DataFrame, percent: int) -> DataFrame:
+    """All (x, y) of a list of ``left`` that may link and differ in component.
+
+    A list of more than ``LIST`` rows is dealt to blocks, and each two blocks meet under a key of their own, so no task gets a whole list."""
+    sizes = left.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > LIST)
+    long = written(sizes.select("token", F.ceil(F.col("m") / LIST).cast("int").alias("blocks")), "long")
+    n_long = long.count()
+    keys, apart = ["token"], F.lit(True)
+    if n_long:
+        dealt = left.join(F.broadcast(long) if n_long <= MAX_IDS else long, "token", "left").fillna(1, ["blocks"])
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(29)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        # Two rows of one block meet under that block alone.
+        keys, apart = ["token", "low", "high"], (F.col("a.block") != F.col("b.block")) | (F.col("a.low") == F.col("a.high"))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    met = left.alias("a").join(left.alias("b"), reduce(and_, same) & (F.col("a.comp") < F.col("b.comp")) & apart & may_link(F.col("a.n"), F.col("b.n"), F.col("a.i"), F.col("b.i"), percent))
+    return met.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
+
+
 def names_rows(docs: DataFrame, doc_id: str) -> bool:
     """Whether every row has an integer id of its own."""
     if dict(docs.dtypes)[doc_id] not in ("tinyint", "smallint", "int", "bigint"):
@@ -289,9 +312,7 @@ def linked(source: DataFrame, size: int, percent: int) -> DataFrame:
 
     # Last round: all pairs whose components still differ.
     left = apart()
-    a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.i"), F.col("b.i"), percent))
-    pairs = met.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
+    pairs = within_lists(left, percent).distinct()
     comps = relabelled(comps, verified(pruned(written(pairs, "pairs"), nodes, percent), source, size, percent))
 
     labelled = copies.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))

@@ -56,12 +56,26 @@ def corpus(rng, groups=12):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_all_pairs(make_docs, nasty, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "LIST", 3 if seed == 2 else 4096)
     texts = corpus(random.Random(seed)) + (nasty if seed == 1 else [])
     ids = random.Random(seed).sample(range(10_000), len(texts))
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(make_docs(texts, ids)).collect())
     assert got == brute_components(ids, texts)
 
 
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_long_lists_meet_in_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "LIST", 7)
+    monkeypatch.setattr(jaccard, "MAX_IDS", sent)
+    rng = random.Random(3)
+    rows = [(token, 100 * token + k, rng.randrange(9), rng.randint(40, 60), rng.randrange(9)) for token, m in enumerate([1, 2, 7, 8, 60]) for k in range(m)]
+    may = lambda x, y: min(x[3], y[3]) * 100 >= max(x[3], y[3]) * 80 and all(180 * (r[3] - r[4]) >= 80 * (x[3] + y[3]) for r in (x, y))
+    want = sorted((x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and may(x, y))
+    left = spark.createDataFrame(rows, "token long, rep long, comp long, n int, i int")
+    got = sorted(tuple(r) for r in jaccard.within_lists(left, 80).collect())
+    assert got == want and len(got) > 300
+
+
 def test_large_near_copy_group(make_docs):
     rng = random.Random(8)
     base = [f"w{i}" for i in range(100)]
