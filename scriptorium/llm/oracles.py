@@ -96,3 +96,27 @@ o AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, strin
   FROM k JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN o USING (doc_id)"""
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS MATERIALIZED (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_ASCII}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS MATERIALIZED (SELECT lang, k::INT AS k, w[i:i + k - 1] AS v, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 4) r(k)) GROUP BY ALL),
+c AS MATERIALIZED (SELECT * FROM t WHERE f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM t WHERE k = 1 GROUP BY lang),
+u AS (SELECT x.lang, x.v, x.f AS a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * x.f * x.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c WHERE k > 1) x JOIN c l ON l.lang = x.lang AND l.v = x.v[1:cut] JOIN c r ON r.lang = x.lang AND r.v = x.v[cut + 1:]),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, v ORDER BY score, cut) = 1),
+i AS (SELECT lang, v, max(f) AS f FROM (SELECT lang, f, unnest([v[1:2], v[2:3]]) AS v FROM c WHERE k = 3) GROUP BY ALL),
+d AS (SELECT b.lang, array_to_string(b.v, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.v = b.v WHERE i.f IS NULL OR 100 * i.f < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang)
+QUALIFY rank <= 2000"""
+
+ORACLES["op13_lexical"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+s AS MATERIALIZED (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+m AS MATERIALIZED (SELECT doc_id, 10 + (90 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+t AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM b JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10"""

@@ -8,7 +8,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, jaccard, langid, quality, secrets, sharding, suffix_dedup, surrogates, topk
+from scriptorium.llm import bpe, collocations, decontaminate, fingerprints, jaccard, langid, lexical, quality, secrets, sharding, suffix_dedup, surrogates, topk
 from scriptorium.llm.support import deleted_at_exit, shared_folder
 
 
@@ -77,6 +77,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.edited(read(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
@@ -88,4 +100,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_surrogates": op9_surrogates,
     "op10_topk": op10_topk,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_collocations": op12_collocations,
+    "op13_lexical": op13_lexical,
 }
