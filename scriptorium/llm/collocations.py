@@ -40,7 +40,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: Percent of a phrase's occurrences that lie in a longer one for it to be dropped.
 EXPLAINED = 50
 #: Bytes of text whose pointers are counted together.
-BATCH = 16 << 20
+BATCH = 8 << 20
 #: Occurrences of a prefix that one task takes, unless more than ``MAX_DEALT`` prefixes (they are broadcast) would have more.
 SHARE, MAX_DEALT = 1 << 15, 1 << 20
 #: A batch reports pairs that make up one in so many of its words, and the frequentest so many of all are dealt.
@@ -64,17 +64,17 @@ def tokens(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray
     ends = ends - ends[0]
     kind = _CLASS[raw]
     word = kind == 0
-    begins = word.copy()
+    begins, closes = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
-    edge = ends[:-1][ends[:-1] < ends[1:]]  # where a text that isn't empty begins
-    begins[edge] = word[edge]
-    starts = np.flatnonzero(begins)
-    within = np.concatenate([np.cumsum(word) - word, [word.sum()]])
-    bounds = np.append(within[starts], within[-1])
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(_LOWER[raw[word]].tobytes())])
+    closes[:-1] &= ~word[1:]
+    some = ends[:-1] < ends[1:]  # words end with their text
+    begins[ends[:-1][some]] = word[ends[:-1][some]]
+    closes[ends[1:][some] - 1] = word[ends[1:][some] - 1]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    bounds = np.concatenate([[0], np.cumsum(stops - starts)])
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(_LOWER[raw[word]].tobytes())])
     text = np.searchsorted(ends, starts, side="right") - 1
-    piece = np.cumsum(kind == 2)[starts] + text if len(starts) else np.zeros(0, np.int64)
-    return whole.dictionary_encode(), text, piece
+    return whole.dictionary_encode(), text, np.searchsorted(np.flatnonzero(kind == 2), starts) + text
 
 
 def codes(words: pa.Array, draw: int) -> np.ndarray:
@@ -88,15 +88,15 @@ class Batch:
     def __init__(self, batch: pa.RecordBatch, draw: int):
         self.langs = batch.column(0).dictionary_encode()
         coded, text, piece = tokens(batch.column(1))
-        self.words, self.at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words, self.at = coded.dictionary, coded.indices.to_numpy()
         self.own = codes(self.words, draw)
-        self.lang = self.langs.indices.to_numpy().astype(np.int64)[text]
+        self.lang = self.langs.indices.to_numpy()[text]
         last = np.flatnonzero(np.append(np.diff(piece) != 0, True)) if len(piece) else np.zeros(0, np.int64)
         self.room = (np.repeat(last, np.diff(np.concatenate([[-1], last]))) - np.arange(len(piece)) + 1) if len(piece) else piece
 
     def nodes(self, depth: int) -> list[np.ndarray]:
         """For each position and each length up to ``depth``, a number of its language and the words there; where the piece ends sooner, of those that are left."""
-        out = [self.lang * max(len(self.words), 1) + self.at]
+        out = [self.lang * np.int64(max(len(self.words), 1)) + self.at]
         for k in range(1, depth):
             follows = np.zeros(len(self.at), np.int64)
             follows[: len(self.at) - k] = self.at[k:] + 1
@@ -167,6 +167,11 @@ def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.nda
     return np.where(known[at] == keys, ways[at], np.uint64(1))
 
 
+def pointer_type(longest: int) -> np.dtype:
+    """The codes that follow a prefix (0 where its piece has ended), and how often they do in a batch."""
+    return np.dtype([("follow", "<u8", (longest - 1,)), ("n", "<u4")])
+
+
 def projected(docs: DataFrame, draw: int, longest: int, dealt) -> DataFrame:
     """(lang, code, part, whole, pointers): of each batch the pointers of one prefix, packed: the codes that follow, then their number. ``whole`` is false where the parts' counts must be summed."""
 
@@ -187,8 +192,11 @@ def projected(docs: DataFrame, draw: int, longest: int, dealt) -> DataFrame:
             at, n, part, by_rest, follow = at[order], n[order], part[order], by_rest[order], [f[order] for f in follow]
             fresh = np.concatenate([[True], (np.diff(b.lang[at]) != 0) | (np.diff(b.at[at]) != 0) | (part[1:] != part[:-1])]) if len(at) else np.zeros(0, bool)
             starts = np.flatnonzero(fresh)
-            rows = np.stack([*follow[1:], n.astype(np.uint64)], axis=1) if len(at) else np.zeros((0, longest), np.uint64)
-            bounds = np.append(starts, len(at)) * 8 * longest
+            rows = np.zeros(len(at), pointer_type(longest))
+            for k in range(1, longest):
+                rows["follow"][:, k - 1] = follow[k]
+            rows["n"] = n
+            bounds = np.append(starts, len(at)) * rows.itemsize
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(rows.tobytes())])
             yield pa.RecordBatch.from_arrays([b.langs.dictionary.take(pa.array(b.lang[at[starts]])).cast(pa.string()), pa.array(follow[0][starts].view(np.int64)), pa.array(part[starts].view(np.int64)), pa.array(by_rest[starts] == 1), blob.cast(pa.binary())], names=["lang", "code", "part", "whole", "pointers"])
 
@@ -217,13 +225,14 @@ def grown(pointers: DataFrame, longest: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(key: tuple, blobs: list[bytes]) -> list:
-            rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, longest)
-            times = rows[:, -1].astype(np.int64)
+            rows = np.frombuffer(b"".join(blobs), pointer_type(longest))
+            times = rows["n"].astype(np.int64)
             if key[3] and times.sum() < least:
                 return []
-            order = np.lexsort(rows[:, -2::-1].T)
+            follow = rows["follow"]
+            order = np.lexsort(follow[:, ::-1].T)
             out: list = []
-            extended(rows[order, :-1], times[order], 0, [key[1]], least, key[3], out)
+            extended(follow[order], times[order], 0, [key[1]], least, key[3], out)
             return [(key[0], p, n) for p, n in out]
 
         def given(found: list) -> pa.RecordBatch:
