@@ -45,6 +45,8 @@ BATCH = 8 << 20
 SHARE, MAX_DEALT = 1 << 15, 1 << 20
 #: A batch reports pairs that make up one in so many of its words, and the frequentest so many of all are dealt.
 SEEN, MAX_PAIRS = 4096, 1 << 16
+#: Slices of a language whose first phrases are found apart.
+SLICES = 64
 #: Draws of codes until no two words of a language share one.
 DRAWS = 8
 
@@ -306,9 +308,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words."""
     words, counts = phrase_counts(docs, text, lang, longest, least)
     kept = unexplained(worst_cuts(counts), counts, percent)
-    # What could be among the first, ties included, gets its words; only those are sorted by them.
-    level = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    near = kept.withColumn("level", F.rank().over(level)).filter(F.col("level") <= top).drop("level")
+    # What could be among the first, ties included, gets its words; only those are sorted by them. Slices of a language go first, so that no task gets every task's best.
+    near = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    for group in (("lang", "slice"), ("lang",)):
+        level = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"))
+        near = near.withColumn("level", F.rank().over(level)).filter(F.col("level") <= top)
+    near = near.drop("level", "slice")
     each = near.select("*", F.posexplode("phrase").alias("place", "code")).join(words.select("lang", "code", "word"), ["lang", "code"])
     spelled = each.groupBy("lang", "phrase", "a", "l", "r", "score").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("spelled"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "spelled")
