@@ -11,30 +11,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import let, nfc
+from scriptorium.functions.distance import sequence_distance, text_distance
+from scriptorium.functions.text import nfc
 
 #: Categories in their order, and the length from which an edit is a burst.
 CATEGORIES = ("vowel_sign", "conjunct", "base_consonant_vowel", "whitespace", "latin_punctuation", "hallucination_burst", "omission_burst", "other")
 BURST = 8
-#: Distances up to these are found in a band, which costs the band's width times the length.
-BANDS = (16, 128, 1024)
 
 
-def banded_levenshtein(a: Column, b: Column) -> Column:
-    """Exact edit distance in code points. Close texts never pay for the whole table: a wider band is only tried when the one before was too narrow."""
-
-    def within(x: Column, y: Column, bands: tuple[int, ...]) -> Column:
-        if not bands:
-            return F.levenshtein(x, y)
-        return let(F.levenshtein(x, y, bands[0]), lambda near: F.when(near >= 0, near).otherwise(within(x, y, bands[1:])))
-
-    # The texts are bound first: they may come from a Python function, which a lambda can't hold.
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda pair: within(pair["a"], pair["b"], BANDS))
-
-
-def cer_of(ref: Column, hyp: Column, distance: Column | None = None) -> Column:
+def cer_of(ref: Column, hyp: Column) -> Column:
     """Edits over the reference's length; both are NFC. An empty reference fails the query, an empty hypothesis is 1.0, and nothing is clamped."""
-    edits = banded_levenshtein(ref, hyp) if distance is None else distance
+    edits = text_distance(ref, hyp)
     return F.when(ref == "", F.raise_error(F.lit("reference must not be empty")).cast("double")).when(hyp == "", 1.0).otherwise(edits / F.length(ref))
 
 
@@ -51,60 +38,14 @@ def words(text: Column, tokenizer: str = "whitespace") -> Column:
     raise ValueError(f"unknown tokenizer {tokenizer!r}")
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance between two arrays of words: every word of the pair gets a code point of its own, and the strings of those are compared.
-
-    The numbers come from a map, so the cost of naming is linear in the words."""
-    names = F.array_distinct(F.concat(ref, hyp))
-    # Beyond the surrogates and the first plane, so that any number of words up to a million is a valid text.
-    number = F.map_from_entries(F.transform(names, lambda w, i: F.struct(w.alias("key"), i.alias("value"))))
-    as_text = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(number[w] + 65536), 8, "0")), "")), "UTF-32")
-    return banded_levenshtein(as_text(ref), as_text(hyp))
-
-
 def wer_of(ref: Column, hyp: Column, tokenizer: str = "whitespace") -> Column:
     """Word edits over the reference's words; both are NFC. A reference without words fails the query."""
     r, h = words(ref, tokenizer), words(hyp, tokenizer)
-    return F.when(F.size(r) == 0, F.raise_error(F.lit("reference has no words")).cast("double")).when(F.size(h) == 0, 1.0).otherwise(word_distance(r, h) / F.size(r))
+    return F.when(F.size(r) == 0, F.raise_error(F.lit("reference has no words")).cast("double")).when(F.size(h) == 0, 1.0).otherwise(sequence_distance(r, h) / F.size(r))
 
 
 def wer(ref: Column, hyp: Column, tokenizer: str = "whitespace") -> Column:
-    return let(F.struct(nfc(ref).alias("r"), nfc(hyp).alias("h")), lambda pair: wer_of(pair["r"], pair["h"], tokenizer))
-
-
-def bit_parallel_distance(a: str, b: str) -> int:
-    """Edit distance with one step of whole-number operations for each character of ``b``, for texts too long for a table."""
-    if a == b:
-        return 0
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | (1 << i)
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for c in b:
-        match = places.get(c, 0)
-        across = (((match & up) + up) ^ up) | match | down
-        plus, minus = down | ~(across | up) & full, up & across
-        score += bool(plus & last) - bool(minus & last)
-        plus, minus = ((plus << 1) | 1) & full, (minus << 1) & full
-        up, down = minus | ~((match | down) | plus) & full, plus & (match | down)
-    return score
-
-
-@F.pandas_udf(T.IntegerType())
-def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance of texts of any length."""
-    return pd.Series([None if x is None or y is None else bit_parallel_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
-
-
-def long_cer(ref: Column, hyp: Column) -> Column:
-    """CER for whole pages of tens of thousands of characters."""
-    r, h = nfc(ref), nfc(hyp)
-    return cer_of(r, h, long_distance(r, h))
+    return wer_of(nfc(ref), nfc(hyp), tokenizer)
 
 
 def gestalt(a: str, b: str) -> float:

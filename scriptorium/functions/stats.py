@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def upper_median(x: Column) -> Column:
-    """sorted[n // 2]: the upper middle of an even number."""
-    values = F.array_sort(F.collect_list(x))
-    return F.when(F.size(values) > 0, F.get(values, F.floor(F.size(values) / 2).cast("int")))
-
-
-def index_quantile(x: Column, q: float = 0.9) -> Column:
-    """sorted[min(int(n q), n - 1)], not interpolated."""
-    values = F.array_sort(F.collect_list(x))
-    at = F.least(F.floor(F.size(values) * F.lit(q)).cast("int"), F.size(values) - 1)
-    return F.when(F.size(values) > 0, F.get(values, at))
-
-
-def indexed_by_rank(df: DataFrame, keys: list[str], x: str, q: float | None = None) -> DataFrame:
-    """``upper_median`` (or ``index_quantile``) without holding a group's values in one row, for groups of any size."""
-    w = Window.partitionBy(*keys)
-    # Nulls sort last and aren't counted; a filter would be pushed below whatever computes the value.
-    ranked = df.select(*keys, F.col(x).alias("value"), F.row_number().over(w.orderBy(F.asc_nulls_last(x))).alias("r"), F.count(x).over(w).alias("n"))
-    at = F.floor(F.col("n") / 2) if q is None else F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
-    return ranked.filter(F.col("r") == at + 1).select(*keys, "value")
+from scriptorium.functions import order
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -37,44 +15,22 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
-#: Ranges of values by which global ranks are found.
-RANGES = 200
-
-
-def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
-    """``df`` with the tie-averaged rank of ``x`` over all rows, in as many tasks as there are ranges of values.
-
-    Values are counted first, so ties don't pile up; approximate quantiles bound the ranges, whose totals are few."""
-    edges = [e for e in df.approxQuantile(x, [i / RANGES for i in range(1, RANGES)], 0.001)]
-    number = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(set(edges)))), lambda e: e < F.col("__v"))) if edges else F.lit(0)
-    counts = df.groupBy(F.col(x).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__range", number)
-    totals = counts.groupBy("__range").agg(F.sum("__n").alias("__t"))
-    before = totals.select("__range", (F.sum("__t").over(Window.orderBy("__range")) - F.col("__t")).alias("__before"))
-    within = Window.partitionBy("__range").orderBy("__v")
-    ranks = counts.join(F.broadcast(before), "__range").select("__v", (F.col("__before") + F.sum("__n").over(within) - (F.col("__n") - 1) / 2).cast("double").alias(out))
-    return df.join(ranks, df[x] == ranks["__v"]).drop("__v")
-
-
-def with_ranks(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """``df`` without rows that lack either value, and tie-averaged ranks rank_x and rank_y within ``keys``."""
+def average_ranks(df: DataFrame, x: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with the tie-averaged rank of ``x`` over all rows or within ``keys``; rows without a value go."""
     keys = keys or []
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if not keys:
-        return average_ranks(average_ranks(both, x, "rank_x"), y, "rank_y")
-    return _ranked_within(_ranked_within(both, keys, x, "rank_x"), keys, y, "rank_y")
-
-
-def _ranked_within(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-    """``df`` with the tie-averaged rank of ``x`` within ``keys``. Only counts of distinct values are run through in order, so ties don't pile up in a group's task."""
-    counts = df.groupBy(*keys, F.col(x).alias("__v")).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__v"))
-    ranks = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__v", (upto - (F.col("__n") - 1) / 2).cast("double").alias(out))
+    ranks = order.average_ranks(df, keys, x, out).select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(x).alias("__v"), out)
     same = F.col(x) == F.col("__v")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return df.join(ranks, same).drop("__v", *(f"__k{i}" for i in range(len(keys))))
 
 
+def with_ranks(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """``df`` without rows that lack either value, and tie-averaged ranks rank_x and rank_y within ``keys``."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return average_ranks(average_ranks(both, x, "rank_x", keys), y, "rank_y", keys)
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 1) -> DataFrame:
     """(keys, n, rho) of each group of ``least`` rows or more."""
     keys = keys or []
@@ -87,19 +43,6 @@ def weighted(x: Column, n: Column) -> Column:
     return F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))
 
 
-def placed(counts: DataFrame, keys: list[str], x: str, n: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(keys, name ...) from rows that stand for ``n`` equal ones: the value at each place (from 0) of a group's values in order. Nulls aren't counted.
-
-    Values are counted first and only run through in order, so no row holds a group."""
-    # Nulls count 0; a filter would be pushed below whatever computes the value, and compute it again.
-    tallied = counts.groupBy(*keys, x).agg(F.sum(F.when(F.col(x).isNotNull(), F.col(n)).otherwise(F.lit(0))).alias("__n"))
-    group = Window.partitionBy(*keys)
-    upto, size = F.sum("__n").over(group.orderBy(x)), F.sum("__n").over(group)
-    run = tallied.select(*keys, x, "__n", upto.alias("__upto"), size.alias("__size"))
-    here = lambda at: F.max(F.when((F.col("__upto") - F.col("__n") <= at(F.col("__size"))) & (at(F.col("__size")) < F.col("__upto")), F.col(x)))
-    return run.groupBy(*keys).agg(*(here(at).alias(name) for name, at in places.items()))
-
-
 def upper_middle(n: Column) -> Column:
     return F.floor(n / 2)
 
@@ -108,30 +51,18 @@ def nine_tenths(n: Column) -> Column:
     return F.least(F.floor(n * F.lit(0.9)), n - 1)
 
 
-def five_numbers(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """(keys, n, q1, median, q3, whisker_low, whisker_high, n_fliers): interpolated quartiles, whiskers at the last value within 1.5 IQR.
-
-    Values are counted once; the quartiles and the whiskers both read those counts."""
-    counts = df.groupBy(*keys, x).agg(F.count("*").alias("__c"))
-    quartiles = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.col("__c"))), F.lit(0)).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__c")).alias("q"))
-    quartiles = quartiles.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    inside = F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = counts.join(quartiles, keys)
-    fliers = F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0))
-    return rows.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col(x))).alias("whisker_low"), F.max(F.when(inside, F.col(x))).alias("whisker_high"), fliers.alias("n_fliers"))
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: count, mean, std, min, exact quartiles, max. All columns are read in one pass."""
+    """One row for each column: count, mean, std, min, exact quartiles, max. All columns are read in one pass, their quartiles in another."""
 
     def of(name: str) -> Column:
         x = F.col(name).cast("double")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        parts = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "p25": F.get(quartiles, F.lit(0)), "p50": F.get(quartiles, F.lit(1)), "p75": F.get(quartiles, F.lit(2)), "max": F.max(x)}
+        parts = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
         return F.struct(F.lit(name).alias("column"), *(c.alias(k) for k, c in parts.items()))
 
-    return df.agg(F.array(*(of(name) for name in columns)).alias("rows")).select(F.inline("rows"))
+    moments = df.agg(F.array(*(of(name) for name in columns)).alias("rows")).select(F.inline("rows"))
+    tall = df.select(F.explode(F.array(*(F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("x")) for name in columns))).alias("r")).select("r.*")
+    quartiles = order.quantiles(tall, ["column"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return moments.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:

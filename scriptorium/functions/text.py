@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,12 @@ MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png"}
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
     """NFC form. Texts that are ASCII are NFC already and stay as they are."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    if not len(text) or pc.all(pc.string_is_ascii(text), skip_nulls=True).as_py() is not False:
+        return text
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], text.type)
 
 
 def is_nfc(text: Column) -> Column:

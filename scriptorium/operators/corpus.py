@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import order
+
 
 def totals(inventory: DataFrame) -> DataFrame:
     return inventory.agg(F.countDistinct("book_id").alias("n_books"), F.count("*").alias("n_pages"), F.sum("image_bytes").alias("image_bytes"), F.sum("text_bytes").alias("text_bytes"))
@@ -45,7 +47,8 @@ def run_counters(manifest: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def latency(manifest: DataFrame, keys: tuple[str, ...] = ("model",), column: str = "latency_ms") -> DataFrame:
     """Mean (to one decimal) and median of the rows that have a latency."""
-    return manifest.groupBy(*keys).agg(F.round(F.avg(column), 1).alias("mean_latency"), F.median(column).alias("median_latency"), F.count(column).alias("n"))
+    means = manifest.groupBy(*keys).agg(F.round(F.avg(column), 1).alias("mean_latency"), F.count(column).alias("n"))
+    return means.join(order.quantiles(manifest, list(keys), column, {"median_latency": 0.5}), list(keys), "left").select(*keys, "mean_latency", "median_latency", "n")
 
 
 def slowest(df: DataFrame, column: str, n: int = 10, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import metrics, stats
+from scriptorium.functions import metrics, order, stats
 from scriptorium.functions.text import nfc
 from scriptorium.operators.pairing import with_cost, with_truth
 from scriptorium.schemas import CELL_KEYS, SCORE_KEYS
+from scriptorium.storage import saved
 
 #: Variants in the order of the ablation, and USD per page of the cells that have a price.
 VARIANT_ORDER = ("raw", "deskew_only", "grayscale_soft", "all_4_stages", "preprocessed")
@@ -42,29 +43,35 @@ def score(transcriptions: DataFrame, truth: DataFrame, ref: str = "ref", hyp: st
 
 def summarize(scores: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> DataFrame:
     """n, mean, upper median and indexed 90th percentile of CER, mean and upper median of WER."""
-    # The scores are computed for these counts; all that follows reads them again.
-    counts = scores.groupBy(*keys, "cer", "wer").agg(F.count("*").alias("times"))
+    counts = saved(scores.groupBy(*keys, "cer", "wer").agg(F.count("*").alias("times")), "scores")
     means = counts.groupBy(*keys).agg(F.sum("times").alias("n"), stats.weighted(F.col("cer"), F.col("times")).alias("mean_cer"), stats.weighted(F.col("wer"), F.col("times")).alias("mean_wer"))
-    cer = stats.placed(counts, list(keys), "cer", "times", {"median_cer": stats.upper_middle, "p90_cer": stats.nine_tenths})
-    wer = stats.placed(counts, list(keys), "wer", "times", {"median_wer": stats.upper_middle})
+    cer = order.placed(counts, list(keys), "cer", "times", {"median_cer": stats.upper_middle, "p90_cer": stats.nine_tenths})
+    wer = order.placed(counts, list(keys), "wer", "times", {"median_wer": stats.upper_middle})
     found = means.join(cer, list(keys), "left").join(wer, list(keys), "left")
     return found.select(*keys, "n", "mean_cer", "median_cer", "p90_cer", "mean_wer", "median_wer")
 
 
+def means_and_medians(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, mean_cer, median_cer, n, rows): mean and midpoint median of each cell; ``n`` counts values, ``rows`` all rows. Scores are computed once."""
+    counts = saved(scores.groupBy(*keys, "cer").agg(F.count("*").alias("times")), "scores")
+    means = counts.groupBy(*keys).agg(stats.weighted(F.col("cer"), F.col("times")).alias("mean_cer"), F.coalesce(F.sum(F.when(F.col("cer").isNotNull(), F.col("times"))), F.lit(0)).alias("n"), F.sum("times").alias("rows"))
+    return means.join(order.quantiles(counts, list(keys), "cer", {"median_cer": 0.5}, "times"), list(keys), "left").select(*keys, "mean_cer", "median_cer", "n", "rows")
+
+
 def mean_median(scores: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> DataFrame:
     """Mean, midpoint median and count, and the place of each cell by its mean."""
-    found = scores.groupBy(*keys).agg(F.avg("cer").alias("mean_cer"), F.median("cer").alias("median_cer"), F.count("cer").alias("n"))
+    found = means_and_medians(scores, keys).drop("rows")
     # Cells are few.
     return found.withColumn("place", F.row_number().over(Window.orderBy("mean_cer", *keys)))
 
 
-def ablation(scores: DataFrame, order: tuple[str, ...] = VARIANT_ORDER) -> DataFrame:
+def ablation(scores: DataFrame, variants: tuple[str, ...] = VARIANT_ORDER) -> DataFrame:
     """Every model with every variant in order; cells that don't exist are null. Means above 1 are clipped for the plot and flagged."""
     spark = scores.sparkSession
-    found = scores.filter(F.col("preprocessing").isin(*order)).groupBy("model", "preprocessing").agg(F.avg("cer").alias("mean_cer"), F.median("cer").alias("median_cer"), F.count("*").alias("n"))
-    wanted = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "variant_order int, preprocessing string")
+    found = means_and_medians(scores.filter(F.col("preprocessing").isin(*variants)), ("model", "preprocessing")).select("model", "preprocessing", "mean_cer", "median_cer", F.col("rows").alias("n"))
+    wanted = spark.createDataFrame([(i, v) for i, v in enumerate(variants)], "variant_order int, preprocessing string")
     models = found.select("model").distinct()
-    every = models.select("model", F.explode(F.array(*(F.lit(v) for v in order))).alias("preprocessing")).join(F.broadcast(wanted), "preprocessing")
+    every = models.select("model", F.explode(F.array(*(F.lit(v) for v in variants))).alias("preprocessing")).join(F.broadcast(wanted), "preprocessing")
     return every.join(found, ["model", "preprocessing"], "left").select("model", "preprocessing", "variant_order", "mean_cer", "median_cer", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("mean_cer").isNotNull(), F.least("mean_cer", F.lit(1.0))).alias("plotted"), (F.col("mean_cer") > 1).alias("clipped"))
 
 
@@ -121,7 +128,7 @@ def top_categories(counts: DataFrame, names: tuple[str, ...], k: int = 3) -> Dat
     return shares.withColumn("place", F.row_number().over(totals.orderBy(F.desc("share"), order))).filter(F.col("place") <= k).select(*CELL_KEYS, "place", "category", "share")
 
 
-def reordered(df: DataFrame, column: str, order: tuple[str, ...]) -> DataFrame:
+def reordered(df: DataFrame, column: str, wanted: tuple[str, ...]) -> DataFrame:
     """Rows in the given order of ``column`` (position), with null rows for values that lack."""
-    wanted = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(order)], f"position int, {column} string")
-    return F.broadcast(wanted).join(df, column, "left")
+    places = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(wanted)], f"position int, {column} string")
+    return places.join(df, column, "left")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import order
+
 #: Rows that the exact mode takes to the driver at most.
 MAX_EXACT = 1_000_000
 
@@ -60,8 +62,9 @@ def spot_check(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFr
 
 
 def quantile_strata(df: DataFrame, x: str, keys: list[str], per_stratum: int, strata: int = 5, seed: int = 42) -> DataFrame:
-    """A sample of each quantile range of ``x``; ranges are bounded by exact percentiles, so rows needn't be sorted."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / strata) for i in range(1, strata)))).alias("__edges"))
+    """A sample of each quantile range of ``x``; ranges are bounded by exact percentiles, which come from counts of values."""
+    names = [f"e{i}" for i in range(1, strata)]
+    edges = order.quantiles(df, [], x, {n: i / strata for i, n in enumerate(names, 1)}).select(F.array(*names).alias("__edges"))
     number = F.size(F.filter("__edges", lambda e: e < F.col(x))) + 1
     placed = df.join(F.broadcast(edges)).withColumn("stratum", number).drop("__edges")
     return stratified(placed, "stratum", keys, per_stratum, seed, strict=False)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import judge, metrics, stats, text
+from scriptorium.functions import judge, metrics, order, stats, text
 from scriptorium.operators import calibration, corpus, errors, logs, matrix, pairing, sampling
 from scriptorium.plans import inputs
 from scriptorium.plans.inputs import INVENTORY_SQL, MANIFEST_SQL, TRUTH_SQL, rounded, scores_sql
 from scriptorium.session import table
+from scriptorium.storage import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,7 +78,7 @@ def ranked_quantiles(spark, sf_dir):
     scores = cer_scores(spark, sf_dir)
     keys = ["model", "preprocessing"]
     counts = scores.groupBy(*keys, "cer").agg(F.count("*").alias("times"))
-    return stats.placed(counts, keys, "cer", "times", {"upper_median": stats.upper_middle, "p90": stats.nine_tenths})
+    return order.placed(counts, keys, "cer", "times", {"upper_median": stats.upper_middle, "p90": stats.nine_tenths})
 
 
 _VARIANTS = ", ".join(f"({i}, '{v}')" for i, v in enumerate(matrix.VARIANT_ORDER))
@@ -129,7 +130,7 @@ SELECT book_id, model, n, round(q1, 6) AS q1, round(median, 6) AS median, round(
   count(*) FILTER (NOT cer BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_fliers
 FROM s JOIN q USING (book_id, model) GROUP BY ALL""")
 def bucket_five_number(spark, sf_dir):
-    return stats.five_numbers(cer_scores(spark, sf_dir), ["book_id", "model"], "cer")
+    return order.five_numbers(cer_scores(spark, sf_dir), ["book_id", "model"], "cer")
 
 
 @query(f"""{scores_sql()}, m AS (SELECT model, book_id, avg(cer) AS x FROM s GROUP BY ALL), w AS (SELECT role AS book_id, count(*) AS w FROM conversations GROUP BY ALL)
@@ -150,7 +151,7 @@ def extrapolation(spark, sf_dir):
 def document_cer(spark, sf_dir):
     """CER of whole documents, whatever their length; tested against a table-based distance."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("ref"), F.replace(F.col("text"), F.lit("th"), F.lit("t")).alias("hyp")).filter(F.col("ref").rlike(r"\S"))
-    return docs.repartition(max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id").select("doc_id", metrics.long_cer(F.col("ref"), F.col("hyp")).alias("cer"))
+    return docs.repartition(max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id").select("doc_id", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer"))
 
 
 # ---- joins and sets
@@ -395,7 +396,7 @@ def page_agreement(spark, sf_dir):
 def agreement_calibration(spark, sf_dir):
     truth = inputs.benchmark_truth(spark, sf_dir)
     made = inputs.transcriptions(truth)
-    scores = matrix.score(made, truth)
+    scores = saved(matrix.score(made, truth), "scores")
     ratings = scores.select("book_id", "page_id", "model", "preprocessing", F.greatest(F.lit(1), 5 - F.floor(F.col("cer") * 10)).cast("int").alias("fluency_rating"))
     agreements = calibration.page_agreement(made.withColumn("cell", F.concat_ws("_", "model", "preprocessing")))
     return calibration.summary(scores, ratings, agreements)

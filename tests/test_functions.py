@@ -2,12 +2,13 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.functions import judge, metrics, stats, text
+from scriptorium.functions import distance, judge, metrics, order, stats, text
 
 
 def values(spark, rows, ddl, *columns):
@@ -26,9 +27,8 @@ def table_distance(a, b):
 CER = [("hello", "hello", 0.0), ("hello", "xyzqr", 1.0), ("hello", "hellp", 0.2), ("hello", "hell", 0.2), ("hello", "hellos", 0.2), ("hello", "", 1.0), (" ", " ", 0.0), ("é", "é", 0.0), ("ab", "abcdefgh", 3.0)]
 
 
-@pytest.mark.parametrize("function", [metrics.cer, metrics.long_cer])
-def test_cer(spark, function):
-    got = values(spark, [(a, b) for a, b, _ in CER], "a string, b string", function(F.col("a"), F.col("b")))
+def test_cer(spark):
+    got = values(spark, [(a, b) for a, b, _ in CER], "a string, b string", metrics.cer(F.col("a"), F.col("b")))
     assert [g[0] for g in got] == [c for *_, c in CER]
 
 
@@ -52,11 +52,11 @@ def test_word_distance_of_many_words(spark):
     rng = random.Random(1)
     pairs = [([f"w{rng.randrange(900)}" for _ in range(600)], [f"w{rng.randrange(900)}" for _ in range(500)]), (list("abc"), list("abd"))]
     rows = [(" ".join(a), " ".join(b)) for a, b in pairs]
-    got = values(spark, rows, "a string, b string", metrics.word_distance(F.split("a", " "), F.split("b", " ")))
+    got = values(spark, rows, "a string, b string", distance.sequence_distance(F.split("a", " "), F.split("b", " ")))
     assert [g[0] for g in got] == [table_distance(a, b) for a, b in pairs]
 
 
-def test_bands_find_the_exact_distance(spark):
+def test_distances_of_close_and_far_texts(spark):
     rng = random.Random(2)
     rows = []
     for n in (5, 40, 300, 1500):
@@ -66,14 +66,46 @@ def test_bands_find_the_exact_distance(spark):
             for _ in range(edits):
                 b[rng.randrange(len(b))] = rng.choice("abcdé🎉")
             rows.append((a, "".join(b)))
-    got = values(spark, rows, "a string, b string", metrics.banded_levenshtein(F.col("a"), F.col("b")), F.levenshtein("a", "b"))
+    got = values(spark, rows, "a string, b string", distance.text_distance(F.col("a"), F.col("b")), F.levenshtein("a", "b"))
     assert all(x == y for x, y in got)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcé🎉", max_size=90), st.text("abcé🎉", max_size=90))
-def test_bit_parallel_distance(a, b):
-    assert metrics.bit_parallel_distance(a, b) == table_distance(a, b)
+def as_numbers(texts):
+    return np.array([ord(c) for t in texts for c in t], np.int64), np.array([len(t) for t in texts], np.int64)
+
+
+TEXT = st.text("abcé🎉", max_size=90)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), max_size=30), st.sampled_from([0, 10**9]))
+def test_every_way_to_a_distance(pairs, worth):
+    """Together and one by one; along diagonals up to a limit, and column by column."""
+    want = [table_distance(a, b) for a, b in pairs]
+    distance.WORTH, before = worth, distance.WORTH
+    try:
+        assert distance.distances(*as_numbers([a for a, _ in pairs]), *as_numbers([b for _, b in pairs])).tolist() == want
+    finally:
+        distance.WORTH = before
+    for (a, b), d in zip(pairs, want):
+        x, y = (as_numbers([t])[0] for t in (a, b))
+        assert distance.by_column(a, b) == d == distance.one_distance(*distance.trimmed(x, y))
+        for limit in (0, 3, 100):
+            assert distance.along_diagonals(x, y, limit) == (d if d <= limit else None)
+
+
+def test_two_million_distinct_words(spark):
+    """Two arrays of a million words, all of them distinct but for what they share; edits lie at both ends and between."""
+    n = 1_000_000
+    made = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.concat(F.lit("w"), i)).alias("a"))
+    changed = F.transform("a", lambda w, i: F.when(i % 50_000 == 3, F.concat(w, F.lit("x"))).otherwise(w))
+    assert made.select(distance.sequence_distance("a", F.concat(F.array(F.lit("new")), changed)).alias("d")).first()["d"] == 41
+    assert made.select(distance.sequence_distance(F.slice("a", 1, n), F.slice("a", n + 1, 2000)).alias("d")).first()["d"] == n
+
+
+def test_words_may_be_null(spark):
+    got = values(spark, [(["a", None, "b"], ["a", "b"]), ([], ["x"]), (None, ["x"]), (["x"], [])], "a array<string>, b array<string>", distance.sequence_distance("a", "b"))
+    assert got == [(1,), (1,), (None,), (1,)]
 
 
 def test_agreement(spark):
@@ -164,14 +196,38 @@ def test_judge(spark):
     assert [tuple(g[0]) for g in got] == [w for _, w in JUDGED]
 
 
-@pytest.mark.parametrize("xs", [[1.0], [1.0, 2.0, 3.0, 4.0], [float(i) for i in range(30)], [5.0, 5.0, 1.0]])
-def test_indexed_quantiles(spark, xs):
-    df = spark.createDataFrame([("g", x) for x in xs] + [("g", None)], "g string, x double")
-    s, n = sorted(xs), len(xs)
-    upper, p90 = s[n // 2], s[min(int(n * 0.9), n - 1)]
-    assert tuple(df.agg(stats.upper_median(F.col("x")), stats.index_quantile(F.col("x"))).first()) == (upper, p90)
-    assert stats.indexed_by_rank(df, ["g"], "x").first()["value"] == upper
-    assert stats.indexed_by_rank(df, ["g"], "x", 0.9).first()["value"] == p90
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_order_statistics(spark, ranges):
+    """Groups that lie in one range and groups spread over many, with ties, nulls, a null key, and groups without a value."""
+    rng = random.Random(9)
+    groups = {"one": [1.0], "even": [1.0, 2.0, 3.0, 4.0], "ties": [5.0, 5.0, 1.0], None: [rng.random() for _ in range(700)], "big": [float(rng.randrange(90)) for _ in range(900)], "none": []}
+    rows = [(g, x) for g, xs in groups.items() for x in [*xs, None]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double")
+    places = {"middle": stats.upper_middle, "p90": stats.nine_tenths}
+    wanted = {"low": 0.1, "mid": 0.5, "top": 1.0}
+    for frame, n in ((df, None), (df.groupBy("g", "x").agg(F.count("*").alias("n")), "n")):
+        got = {r["g"]: (r["middle"], r["p90"]) for r in order.placed(frame, ["g"], "x", n, places, ranges).collect()}
+        assert got == {g: (sorted(xs)[len(xs) // 2], sorted(xs)[min(int(len(xs) * 0.9), len(xs) - 1)]) if xs else (None, None) for g, xs in groups.items()}
+        for r in order.quantiles(frame, ["g"], "x", wanted, n, ranges).collect():
+            xs = groups[r["g"]]
+            assert [r[k] for k in wanted] == (pytest.approx(list(np.quantile(xs, list(wanted.values())))) if xs else [None] * 3)
+    (all_in_one,) = order.quantiles(df, [], "x", {"q": 0.37}, None, ranges).collect()
+    assert all_in_one["q"] == pytest.approx(np.quantile([x for xs in groups.values() for x in xs], 0.37))
+    ranks = {(r["g"], r["x"]): r["r"] for r in order.average_ranks(df, ["g"], "x", "r", ranges).collect()}
+    assert ranks == {(g, x): sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for g, xs in groups.items() for x in xs}
+    assert order.quantiles(df.filter("false"), [], "x", wanted).count() == 0 and order.placed(df.filter("false"), ["g"], "x", None, places).count() == 0
+
+
+def test_a_huge_group_is_spread_over_tasks(spark):
+    """One cell of ten million distinct values: no range holds more than a few per cent of it, and neither does any file that a task reads."""
+    n, ranges = 10_000_000, 64
+    df = spark.range(n).select(F.lit("cell").alias("g"), (F.col("id") * 7919 % n).cast("double").alias("x"))
+    table = order.counted(df, ["g"], "x", None, ranges)
+    sizes = [r["rows"] for r in order.ranges_of(table).select(F.col(order.ROWS).alias("rows")).collect()]
+    assert len(sizes) > 50 and sum(sizes) == n and max(sizes) < 0.05 * n
+    row = order.interpolated(table, [0.25, 0.5]).first()
+    assert (row["q0"], row["q1"]) == ((n - 1) / 4, (n - 1) / 2)
 
 
 def test_correlations(spark):
@@ -195,7 +251,7 @@ def test_correlations(spark):
 def test_distribution_summaries(spark):
     xs = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 100.0]
     df = spark.createDataFrame([("g", x) for x in xs] + [("g", None)], "g string, x double")
-    assert tuple(stats.five_numbers(df, ["g"], "x").first()) == ("g", 9, 3.0, 5.0, 7.0, 1.0, 8.0, 1)
+    assert tuple(order.five_numbers(df, ["g"], "x").first()) == ("g", 9, 3.0, 5.0, 7.0, 1.0, 8.0, 1)
     bins = {r["bin"]: r["n"] for r in stats.histogram(df, "x", 4).collect()}
     assert bins == {0: 8, 1: 0, 2: 0, 3: 1}
     flat = stats.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 3)
