@@ -101,3 +101,13 @@ def five_numbers(rows: DataFrame, keys: list[str], x: str, ranges: int | None =
     ends = [F.min(F.when(inside, F.col(VALUE))).alias("whisker_low"), F.max(F.when(inside, F.col(VALUE))).alias("whisker_high"), F.coalesce(F.sum(F.when(~inside, F.col(TIMES))), F.lit(0)).alias("n_fliers")]
     found = table.join(everywhere, [GROUP, RANGE]).groupBy(GROUP, "n", "q1", "median", "q3").agg(*ends)
     return found.select(*_named(keys), "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers")
+
+
+def chosen(rows: DataFrame, group: str, at: str, places: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(group, at): of each group's distinct values in order, those at the places (from 0) in ``places`` (group, place). Only ranges that hold one are sorted."""
+    table = counted(rows, [group], at, None, ranges)
+    asked = places.select(F.struct(F.col(group).alias("k0")).alias(GROUP), "place")
+    hits = ranges_of(table).join(asked, GROUP).filter((F.col(BEFORE) <= F.col("place")) & (F.col("place") < F.col(BEFORE) + F.col(ROWS)))
+    here = hits.groupBy(GROUP, RANGE, BEFORE).agg(F.collect_set("place").alias("__places"))
+    run = table.join(here, [GROUP, RANGE]).withColumn("__upto", _upto())
+    return run.filter(F.array_contains("__places", F.col("__upto") - 1)).select(F.col(GROUP)["k0"].alias(group), F.col(VALUE).alias(at))

@@ -6,13 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.schemas import PAGE_KEYS, SCORE_KEYS
+from scriptorium.storage import saved
 
+#: Rows of a key on one side that one task joins; and keys that may have more, at most.
+HEAVY, MAX_HEAVY = 1_000_000, 10_000
 
-def pair(images: DataFrame, texts: DataFrame, keys: tuple[str, ...] = PAGE_KEYS) -> DataFrame:
+
+def heavy_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...], most: int = HEAVY) -> DataFrame | None:
+    """(keys, n_left, n_right) of keys with more than ``most`` rows on a side; None if there are none. With very many rows the limit rises, so that there are ``MAX_HEAVY`` of them on each side at most."""
+    counted = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    sides = saved(counted(left, "n_left").join(counted(right, "n_right"), list(keys), "full_outer").fillna(0, ["n_left", "n_right"]), "keys")
+    totals = sides.agg(F.sum("n_left"), F.sum("n_right"), F.max(F.greatest("n_left", "n_right"))).first()
+    limit = max(most, *(-(-(t or 0) // MAX_HEAVY) for t in totals[:2]))
+    if (totals[2] or 0) <= limit:
+        return None
+    return sides.filter(F.greatest("n_left", "n_right") > limit).withColumns({"__left": F.ceil(F.col("n_left") / limit).cast("int"), "__right": F.ceil(F.col("n_right") / limit).cast("int")})
+
+
+def _dealt(df: DataFrame, heavy: DataFrame, keys: tuple[str, ...], own: str, other: str) -> DataFrame:
+    """Rows of heavy keys: each gets one of its side's shares, and is there once for each share of the other side.
+
+    The share is a hash of the row, so that a task that runs again deals the same way."""
+    told_apart = [c for c, kind in df.dtypes if "map<" not in kind]  # maps have no hash
+    rows = df.join(F.broadcast(heavy.select(*keys, "__left", "__right")), list(keys))
+    share = F.pmod(F.xxhash64(*told_apart), F.col(own)).cast("int")
+    return rows.withColumn(f"{own}_share", share).withColumn(f"{other}_share", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("__left", "__right")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner", most: int = HEAVY) -> DataFrame:
+    """An inner or full outer join by ``keys`` that no heavy key holds up: its rows are dealt to shares of ``most`` rows on each side, and every two shares meet in a task of their own.
+
+    Heavy keys are counted first, and are so few that they are broadcast. Null keys meet nothing and aren't heavy. Columns other than the keys must differ in name."""
+    heavy = heavy_keys(left.dropna(subset=list(keys)), right.dropna(subset=list(keys)), keys, most)
+    if heavy is None:
+        return left.join(right, list(keys), how)
+    known = F.broadcast(heavy.select(*keys))
+    light = left.join(known, list(keys), "left_anti").join(right.join(known, list(keys), "left_anti"), list(keys), how)
+    both = heavy.filter((F.col("n_left") > 0) & (F.col("n_right") > 0))
+    shares = [*keys, "__left_share", "__right_share"]
+    met = _dealt(left, both, keys, "__left", "__right").join(_dealt(right, both, keys, "__right", "__left"), shares).drop("__left_share", "__right_share")
+    out = light.unionByName(met)
+    if how == "full_outer":
+        alone = lambda df, lacks: df.join(F.broadcast(heavy.filter(F.col(lacks) == 0).select(*keys)), list(keys), "left_semi")
+        out = out.unionByName(alone(left, "n_right"), allowMissingColumns=True).unionByName(alone(right, "n_left"), allowMissingColumns=True)
+    return out
+
+
+def pair(images: DataFrame, texts: DataFrame, keys: tuple[str, ...] = PAGE_KEYS, most: int = HEAVY) -> DataFrame:
     """Full outer join: every key with the columns of both sides and a reason (missing_text, missing_image) if one lacks."""
     left, right = images.withColumn("__image", F.lit(True)), texts.withColumn("__text", F.lit(True))
     reason = F.when(F.col("__text").isNull(), "missing_text").when(F.col("__image").isNull(), "missing_image")
-    return left.join(right, list(keys), "full_outer").withColumn("reason", reason).drop("__image", "__text")
+    return spread_join(left, right, keys, "full_outer", most).withColumn("reason", reason).drop("__image", "__text")
 
 
 def pairing_counts(images: DataFrame, texts: DataFrame, keys: tuple[str, ...] = PAGE_KEYS) -> DataFrame:
@@ -29,9 +73,12 @@ def set_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.withColumn("side", F.when(F.col("__side") == 3, "both").when(F.col("__side") == 1, "left").otherwise("right")).drop("__side")
 
 
-def with_truth(transcriptions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = PAGE_KEYS, ref: str = "ref") -> DataFrame:
-    """Transcriptions whose page has a truth that isn't blank. The filter runs before any metric."""
-    return transcriptions.join(truth.filter(F.col(ref).rlike(r"\S")), list(keys), "inner")
+def with_truth(transcriptions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = PAGE_KEYS, ref: str = "ref", most: int | None = None) -> DataFrame:
+    """Transcriptions whose page has a truth that isn't blank. The filter runs before any metric.
+
+    Spark itself splits large partitions of an inner join; with ``most``, keys with more rows are counted and dealt beforehand."""
+    real = truth.filter(F.col(ref).rlike(r"\S"))
+    return transcriptions.join(real, list(keys), "inner") if most is None else spread_join(transcriptions, real, keys, "inner", most)
 
 
 def without_truth(transcriptions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = PAGE_KEYS, ref: str = "ref") -> DataFrame:

@@ -6,11 +6,10 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import order
-
-#: Rows that the exact mode takes to the driver at most.
-MAX_EXACT = 1_000_000
+from scriptorium.storage import saved
 
 
 def keyed_order(seed: int, *keys: Column) -> Column:
@@ -40,20 +39,24 @@ def stratified(df: DataFrame, stratum: str, keys: list[str], per_stratum: int, s
 
 
 def stratified_exact(df: DataFrame, stratum: str, keys: list[str], per_stratum: int, seed: int = 42) -> DataFrame:
-    """The rows that one random.Random(seed) draws over sorted strata, candidates in the order of ``df``. For tables whose keys fit the driver; their number is checked."""
-    rows = df.select(stratum, *keys).limit(MAX_EXACT + 1).collect()
-    if len(rows) > MAX_EXACT:
-        raise ValueError(f"exact mode takes {MAX_EXACT} rows at most; use stratified()")
-    groups: dict = {}
-    for row in rows:
-        groups.setdefault(row[stratum], []).append(tuple(row[k] for k in keys))
-    short = [f"{s} has {len(v)}" for s, v in sorted(groups.items()) if len(v) < per_stratum]
-    if short:
+    """The rows that one random.Random(seed) draws over sorted strata, candidates in the order of ``df``, whose rows the keys tell apart.
+
+    What is drawn depends on the strata's sizes alone, so the driver sees a number for each stratum and draws places; rows are found at their places on the executors."""
+    spark = df.sparkSession
+    numbered = saved(df.select(stratum, *keys).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    sizes = {r[stratum]: r["count"] for r in numbered.groupBy(stratum).count().collect()}
+    order_of = sorted(sizes, key=lambda s: (s is not None, s))
+    if short := [f"{s} has {sizes[s]}" for s in order_of if sizes[s] < per_stratum]:
         raise ValueError(f"fewer than {per_stratum} rows: " + ", ".join(short))
     rng = random.Random(seed)
-    chosen = [k for s in sorted(groups) for k in rng.sample(groups[s], per_stratum)]
-    names = df.select(*keys).schema
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(chosen, names)), keys, "left_semi")
+    drawn = [(s, place) for s in order_of for place in rng.sample(range(sizes[s]), per_stratum)]
+    schema = T.StructType([T.StructField(stratum, df.schema[stratum].dataType), T.StructField("place", T.LongType())])
+    found = order.chosen(numbered, stratum, "__row", spark.createDataFrame(drawn, schema))
+    wanted = numbered.join(found.select("__row"), "__row", "left_semi").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(wanted, same, "left_semi")
 
 
 def spot_check(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

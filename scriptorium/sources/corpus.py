@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,42 +10,8 @@ from scriptorium import schemas
 from scriptorium.functions.text import is_nfc, preview, valid_utf8
 from scriptorium.operators.pairing import pair
 from scriptorium.operators.sampling import spot_check
-
-IMAGE_EXTENSIONS, TEXT_EXTENSION = (".jpg", ".jpeg", ".png"), ".txt"
-#: Bytes that are looked at first for an image's size.
-HEAD_BYTES = 1 << 16
-
-
-def image_size(head: bytes | None) -> tuple[int, int] | None:
-    """(width, height) from the first bytes of a PNG or JPEG; None if they aren't one. Sizes are in the header, so nothing is decoded."""
-    if head is None:
-        return None
-    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
-        return struct.unpack(">II", head[16:24])
-    if head[:2] != b"\xff\xd8":
-        return None
-    at = 2
-    while at + 9 <= len(head):
-        if head[at] != 0xFF:
-            return None
-        marker = head[at + 1]
-        if marker == 0xFF:  # fill byte
-            at += 1
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", head[at + 5 : at + 9])
-            return width, height
-        elif marker in (0x01, *range(0xD0, 0xD9)):  # markers without a length
-            at += 2
-        else:
-            at += 2 + struct.unpack(">H", head[at + 2 : at + 4])[0]
-    return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def dimensions(head: pd.Series) -> pd.DataFrame:
-    sizes = [image_size(h) or (None, None) for h in head]
-    return pd.DataFrame({"width": pd.Series([s[0] for s in sizes], dtype="Int32"), "height": pd.Series([s[1] for s in sizes], dtype="Int32")})
-
+from scriptorium.sources import headers
+from scriptorium.sources.headers import IMAGE_EXTENSIONS, TEXT_EXTENSION
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path, relative, book_id, page_id, extension, length): files below the books of ``root``. Hidden folders and files at the root don't count. Without ``content``, none is read. A root that doesn't exist fails."""
@@ -64,12 +27,9 @@ def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Pages with both files (``PAGE_INVENTORY``), and what doesn't pair or can't be read (``MISMATCH``). Of several images of a page the first by path counts."""
-    found = files(spark, root, content=True)
-    # Most headers are in the first bytes; a JPEG whose segments before the size go on beyond them is walked whole.
-    size = dimensions(F.substring("content", 1, HEAD_BYTES))
-    late = F.col("head.width").isNull() & (F.col("length") > HEAD_BYTES) & (F.substring("content", 1, 2) == F.lit(b"\xff\xd8"))
-    found_sizes = found.filter(F.col("extension").isin(*IMAGE_EXTENSIONS)).withColumn("head", size).withColumn("whole", dimensions(F.when(late, F.col("content"))))
-    images = found_sizes.select("book_id", "page_id", F.col("relative").alias("image_path"), F.col("length").alias("image_bytes"), F.when(late, F.col("whole")).otherwise(F.col("head")).alias("size"))
+    found = headers.scan(spark, root)
+    size = F.when(F.col("width").isNotNull(), F.struct("width", "height"))
+    images = found.filter(F.col("extension").isin(*IMAGE_EXTENSIONS)).select("book_id", "page_id", F.col("relative").alias("image_path"), F.col("length").alias("image_bytes"), size.alias("size"))
     first = images.groupBy("book_id", "page_id").agg(F.min(F.struct("image_path", "image_bytes", "size")).alias("i")).select("book_id", "page_id", "i.*")
     texts = found.filter(F.col("extension") == TEXT_EXTENSION).select("book_id", "page_id", F.col("relative").alias("text_path"), F.col("length").alias("text_bytes"))
     every = pair(first, texts).withColumn("reason", F.when(F.col("reason").isNull() & F.col("size.width").isNull(), "image_unreadable: no PNG or JPEG header").otherwise(F.col("reason")))

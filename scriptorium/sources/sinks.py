@@ -75,3 +75,14 @@ def copied_subset(files: DataFrame, chosen: DataFrame, path: str, keys: tuple[st
     if (missing := lacking.limit(5).collect()) != []:
         raise FileNotFoundError(f"no files for {[tuple(r) for r in missing]}")
     subset(files, chosen, keys).write.mode("overwrite").parquet(path)
+
+
+def bucketed(df: DataFrame, table: str, keys: tuple[str, ...] = SCORE_KEYS, buckets: int = 64) -> None:
+    """Append to a catalog table whose rows lie in buckets by ``keys``, so that resuming never shuffles what is done."""
+    df.repartition(buckets, *keys).write.mode("append").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
+def pending_of(work: DataFrame, table: str, keys: tuple[str, ...] = SCORE_KEYS) -> DataFrame:
+    """What a table made by :func:`bucketed` doesn't hold yet. Only ``work`` is shuffled, to the table's buckets."""
+    done = work.sparkSession.table(table).select(*keys)
+    return work.hint("shuffle_merge").join(done.hint("shuffle_merge"), list(keys), "left_anti")

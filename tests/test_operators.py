@@ -103,6 +103,34 @@ def test_stratified_exact(spark):
         sampling.stratified_exact(df, "s", ["id"], 21)
 
 
+def test_stratified_exact_beyond_a_million_rows(spark):
+    n = 1_200_000
+    df = spark.range(0, n, 1, 7).select("id", F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 3 == 1, "a").alias("s"))
+    strata = {None: range(2, n, 3), "a": range(1, n, 3), "b": range(0, n, 3)}
+    rng = random.Random(7)
+    want = [k for s in (None, "a", "b") for k in rng.sample(strata[s], 25)]
+    assert sorted(r["id"] for r in sampling.stratified_exact(df, "s", ["id"], 25, seed=7).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("how", ["inner", "full_outer"])
+def test_heavy_keys_are_dealt(spark, how):
+    """Half of the rows have one key; others are heavy on one side only, or light, or null."""
+    left = [("x", 1)] * 300 + [("l", 2)] * 200 + [("a", 3), ("a", 4), ("b", 5), (None, 6)]
+    right = [("x", 1)] * 70 + [("r", 2)] * 150 + [("a", 7), ("c", 8), (None, 9)]
+    frame = lambda data, name: spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(data)], f"k string, {name}_id int, {name} int").repartition(3)
+    a, b = frame(left, "l"), frame(right, "r")
+    order = ["k", "l_id", "l", "r_id", "r"]
+    want = rows(a.join(b, ["k"], how).select(*order))
+    joined = pairing.spread_join(a, b, ("k",), how, most=40)
+    assert rows(joined.select(*order)) == want
+    heavy = pairing.heavy_keys(a, b, ("k",), 40)
+    assert {r["k"]: (r["__left"], r["__right"]) for r in heavy.collect()} == {"x": (8, 2), "l": (5, 0), "r": (0, 4)}
+    dealt = pairing._dealt(a, heavy.filter("k = 'x'"), ("k",), "__left", "__right")
+    shares = [r["count"] for r in dealt.groupBy("__left_share", "__right_share").count().collect()]
+    assert len(shares) == 16 and max(shares) < 0.3 * 300
+    assert pairing.heavy_keys(a, b, ("k",), 1000) is None
+
+
 def test_other_samples(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(100)], "id long, x double")
     assert sampling.spot_check(df, ["id"], 7).count() == 7 and sampling.spot_check(df, ["id"], 1000).count() == 100

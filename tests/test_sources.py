@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zlib
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import schemas
-from scriptorium.sources import corpus, sinks
+from scriptorium.sources import commits, corpus, headers, sinks
 from scriptorium.streaming import incremental
 
 
@@ -31,8 +32,8 @@ def tree(tmp_path):
 
 
 def test_image_sizes():
-    assert corpus.image_size(png(7, 9)) == (7, 9) and corpus.image_size(jpeg(7, 9)) == (7, 9)
-    assert corpus.image_size(b"GIF89a") is None and corpus.image_size(None) is None and corpus.image_size(b"\xff\xd8\xff\xe0\x00\x04ab") is None
+    assert headers.image_size(png(7, 9)) == (7, 9) and headers.image_size(jpeg(7, 9)) == (7, 9)
+    assert headers.image_size(b"GIF89a") is None and headers.image_size(None) is None and headers.image_size(b"\xff\xd8\xff\xe0\x00\x04ab") is None
 
 
 def test_inventory(spark, tree):
@@ -57,6 +58,86 @@ def test_inventory_of_late_headers(spark, tmp_path):
     assert [r["page_id"] for r in bad.collect()] == ["p3"]
 
 
+def test_headers_are_read_in_ranges(spark, tmp_path):
+    """Large images cost a few kilobytes each, and a size behind long segments is still found."""
+    body = b"\x00" * 3_000_000
+    late = jpeg(7, 9)
+    late = late[:2] + (b"\xff\xe2\xff\xff" + b"x" * 65533) * 30 + late[2:]
+    for book in ("a", "b", ".c"):
+        (tmp_path / book / "deep").mkdir(parents=True)
+        (tmp_path / book / "p1.jpg").write_bytes(jpeg(11, 12) + body)
+        (tmp_path / book / "deep" / "p2.PNG").write_bytes(png(3, 4) + body)
+        (tmp_path / book / "p3.jpeg").write_bytes(late + body)
+        (tmp_path / book / "p4.txt").write_bytes(b"t" * 10)
+        (tmp_path / book / ".p5.jpg").write_bytes(late)
+    (tmp_path / "p6.jpg").write_bytes(late)
+    got = {r["relative"]: r for r in headers.scan(spark, str(tmp_path), tasks=2).collect()}
+    assert set(got) == {f"{b}/{n}" for b in "ab" for n in ("p1.jpg", "deep/p2.PNG", "p3.jpeg", "p4.txt")}
+    assert [(got[f"a/{n}"]["width"], got[f"a/{n}"]["height"], got[f"a/{n}"]["page_id"]) for n in ("p1.jpg", "deep/p2.PNG", "p3.jpeg", "p4.txt")] == [(11, 12, "p1"), (3, 4, "p2"), (7, 9, "p3"), (None, None, "p4")]
+    assert sum(r["bytes_read"] for r in got.values()) < 0.03 * sum(r["length"] for r in got.values())
+    assert got["b/p4.txt"]["length"] == 10 and got["b/p4.txt"]["bytes_read"] == 0
+    with pytest.raises(Exception):
+        headers.scan(spark, str(tmp_path / "no")).collect()
+
+
+class DiesOnce(commits.Writer):
+    """Kills its Python worker between write and commit, the first time."""
+
+    def write(self, iterator):
+        made = super().write(iterator)
+        mark = os.path.join(self.path, "died")
+        if made.files and not os.path.exists(mark):
+            open(mark, "w").close()
+            os._exit(1)
+        return made
+
+
+def test_a_broken_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    commits.append(scores(spark, 3), path)
+    monkeypatch.setattr(commits, "Writer", DiesOnce)
+    with pytest.raises(Exception):
+        commits.append_new(scores(spark, 9).repartition(3), path)
+    assert commits.committed(path)[0] == 1 and sorted(r["page_id"] for r in commits.read(spark, path, schemas.SCORE).collect()) == ["0", "1", "2"]
+    commits.append_new(scores(spark, 9).repartition(3), path)  # the same run again
+    commits.append_new(scores(spark, 9).union(scores(spark, 9)), path)  # and once more
+    assert sorted(r["page_id"] for r in commits.read(spark, path, schemas.SCORE).collect()) == [str(i) for i in range(9)]
+    assert commits.read(spark, str(tmp_path / "none"), schemas.SCORE).count() == 0
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    commits.append(scores(spark, 2), path)
+    number = commits.committed(path)[0]
+    commits.append(scores(spark, 4).filter("page_id > '1'"), path, number)
+    files = set(os.listdir(path))
+    with pytest.raises(Exception, match="taken by another writer"):
+        commits.append(scores(spark, 6), path, number)
+    assert set(os.listdir(path)) == files  # the loser's files are gone
+    real, calls = commits.committed, []
+
+    def late(p):
+        """The first look is from before another writer's commit."""
+        calls.append(p)
+        return (number, real(p)[1][:1]) if len(calls) < 3 else real(p)
+
+    monkeypatch.setattr(commits, "committed", late)
+    commits.append_new(scores(spark, 6), path)
+    assert sorted(r["page_id"] for r in commits.read(spark, path, schemas.SCORE).collect()) == list("012345")
+
+
+def test_resuming_does_not_shuffle_the_sink(spark):
+    spark.sql("DROP TABLE IF EXISTS done_scores")
+    sinks.bucketed(scores(spark, 30), "done_scores", buckets=8)
+    sinks.bucketed(scores(spark, 40).filter("cast(page_id as int) >= 30"), "done_scores", buckets=8)
+    left = sinks.pending_of(scores(spark, 50).drop("wer"), "done_scores")
+    assert sorted(int(r["page_id"]) for r in left.collect()) == list(range(40, 50))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "SortMergeJoin" in final and final.count("Exchange hashpartitioning") == 1
+    spark.sql("DROP TABLE done_scores")
+
+
 def test_books_and_encoding(spark, tree):
     books = {r["book_id"]: r["paths"] for r in corpus.discover_books(spark, tree).collect()}
     assert books["."] == ["root.jpg"] and books["book_beta"] == ["book_beta/deep/p9.JPG", "book_beta/p1.jpg", "book_beta/p2.jpg", "book_beta/p4.jpg"]
@@ -138,6 +219,22 @@ def test_streams_take_each_key_once(spark, tmp_path):
     assert spark.read.parquet(other).count() == 5
 
 
+def test_stream_state_has_an_end(spark, tmp_path):
+    """Keys of the last hour are known; older ones are forgotten, and rows that are too late are dropped."""
+    source, sink, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "k string, at timestamp, n int"
+    seen = []
+    for n, batch in enumerate([[(f"a{i}", "10:00") for i in range(50)], [("a1", "10:20"), ("b1", "10:30")], [("c1", "13:00")], [("a2", "13:10"), ("c1", "13:20"), ("late", "09:00")], [("d1", "18:00")], [("d2", "18:01")]]):
+        spark.createDataFrame([(k, f"2024-01-01 {t}:00", n) for k, t in batch], "k string, t string, n int").selectExpr("k", "cast(t as timestamp) at", "n").coalesce(1).write.mode("append").parquet(source)
+        query = incremental.append_recent(spark.readStream.schema(schema).parquet(source), sink, mark, "at", "1 hour", ("k",))
+        query.awaitTermination()
+        seen.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r["k"], r["n"]) for r in spark.read.schema(schema).parquet(sink).collect())
+    assert [g for g in got if g[0] in ("a1", "b1", "c1", "late", "d1", "d2")] == [("a1", 0), ("b1", 1), ("c1", 2), ("d1", 4), ("d2", 5)]
+    assert [n for k, n in got if k == "a2"] == [0, 3]  # known at 10:00, forgotten by 13:10
+    assert max(seen) <= 52 and seen[-1] <= 3
+
+
 def test_folders(spark):
     df = spark.createDataFrame([("a/x",), ("a/y",), ("b/z",), ("root",)], "path string")
     assert sorted(r[0] for r in corpus.top_folders(df).collect()) == ["a", "b"]
