@@ -24,6 +24,16 @@ CELLS = (
     ("gemini", "deskew_only", lambda t: _swap(t, "o", "0"), "replace(ref, 'o', '0')"),
 )
 
+#: What each cell's corruption does to a text, as edits of a category that can be counted in it: model, preprocessing, category, the characters that each stand for an edit (none: one edit for each page).
+KNOWN_EDITS = (
+    ("claude", "raw", "latin_punctuation", ("th",)),
+    ("claude", "preprocessed", "latin_punctuation", ("e",)),
+    ("tesseract", "raw", "latin_punctuation", ("th", "a")),
+    ("tesseract", "preprocessed", "hallucination_burst", ()),
+    ("gemini", "raw", "whitespace", (" ",)),
+    ("gemini", "deskew_only", "latin_punctuation", ("o",)),
+)
+
 _CELL_SQL = " UNION ALL ".join(f"SELECT book_id, page_id, ref, '{m}' AS model, '{p}' AS preprocessing, {sql} AS text FROM t" for m, p, _, sql in CELLS)
 
 
@@ -35,6 +45,16 @@ def benchmark_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("book"), F.col("item_id") % 5).alias("book_id"), F.col("item_id").cast("string").alias("page_id"), ascii_fold(F.col("text")).alias("ref"))
 
 
+def known_units(truth: DataFrame) -> DataFrame:
+    """(model, preprocessing, units): of every page and cell, the edits that its corruption makes, by category."""
+    times = lambda what: F.floor((F.length("ref") - F.length(F.replace("ref", F.lit(what), F.lit("")))) / len(what)).cast("int")
+    made = {(m, p): (category, sum((times(w) for w in what), F.lit(0)) if what else F.lit(1)) for m, p, category, what in KNOWN_EDITS}
+    none = F.create_map().cast("map<string,int>")
+    units = lambda m, p: F.when(made[m, p][1] > 0, F.create_map(F.lit(made[m, p][0]), made[m, p][1])).otherwise(none) if (m, p) in made else none
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(p).alias("preprocessing"), units(m, p).alias("units")) for m, p, *_ in CELLS)))
+    return truth.select(cells.alias("c")).select("c.*")
+
+
 TRUTH_SQL = {
     "conversations": "SELECT role AS book_id, conv_id || '-' || turn AS page_id, regexp_replace(text, '[^ -~]', '?', 'g') AS ref FROM conversations WHERE regexp_matches(text, '\\S')",
     "benchmark": "SELECT 'book' || (item_id % 5) AS book_id, item_id::VARCHAR AS page_id, regexp_replace(text, '[^ -~]', '?', 'g') AS ref FROM benchmark WHERE regexp_matches(text, '\\S')",
@@ -52,6 +72,16 @@ def scores_sql(source: str = "conversations") -> str:
     return f"WITH t AS MATERIALIZED ({TRUTH_SQL[source]}), h AS MATERIALIZED ({_CELL_SQL}), s AS MATERIALIZED (SELECT book_id, page_id, model, preprocessing, CASE WHEN text = '' THEN 1.0 ELSE levenshtein(ref, text)::DOUBLE / length(ref) END AS cer FROM h)"
 
 
+def known_sql(categories: tuple[str, ...]) -> str:
+    """Counts of edits of every cell and category, and the cell's pages."""
+    times = lambda what: f"((length(ref) - length(replace(ref, '{what}', ''))) // {len(what)})"
+    made = {(m, p): (category, " + ".join(times(w) for w in what) or "1") for m, p, category, what in KNOWN_EDITS}
+    of = lambda m, p: f"SELECT '{m}' AS model, '{p}' AS preprocessing, '{made.get((m, p), ('none',))[0]}' AS made, sum({made[m, p][1] if (m, p) in made else 0}) AS edits, count(*) AS n_pages FROM t"
+    each = " UNION ALL ".join(of(m, p) for m, p, *_ in CELLS)
+    names = ", ".join(f"'{c}'" for c in categories)
+    return f"SELECT model, preprocessing, category, (CASE WHEN category = made THEN edits ELSE 0 END)::BIGINT AS count, n_pages FROM (WITH t AS ({TRUTH_SQL['conversations']}) {each}), (SELECT unnest([{names}]) AS category)"
+
+
 def document_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as pages: sources as books, sizes from the texts."""
     return table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("page_id"), F.col("lang").alias("quality_bucket"), F.col("n_chars").alias("image_bytes"), F.octet_length("text").cast("long").alias("text_bytes"), F.lit(1700).alias("image_width"), (F.col("n_chars") % 400 + 2000).cast("int").alias("image_height"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import judge, metrics, order, stats, text
 from scriptorium.operators import calibration, corpus, errors, logs, matrix, pairing, sampling
 from scriptorium.plans import inputs
-from scriptorium.plans.inputs import INVENTORY_SQL, MANIFEST_SQL, TRUTH_SQL, rounded, scores_sql
+from scriptorium.plans.inputs import INVENTORY_SQL, MANIFEST_SQL, rounded, scores_sql
 from scriptorium.session import table
 from scriptorium.storage import saved
 
@@ -337,13 +337,12 @@ def signed_ranks(spark, sf_dir):
 
 # ---- error categories
 
-_COUNTS = "SELECT n_regionkey::VARCHAR AS model, n_name AS preprocessing, category, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE n_nationkey * i % 11 END::BIGINT AS count FROM nation, (VALUES {0}) v(i, category)".format(", ".join(f"({i}, '{c}')" for i, c in enumerate(metrics.CATEGORIES)))
+_COUNTS = inputs.known_sql(metrics.CATEGORIES)
 
 
 def _counts(spark, sf_dir):
-    every = F.posexplode(F.array(*(F.lit(c) for c in metrics.CATEGORIES)))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("model"), F.col("n_name").alias("preprocessing"), "n_nationkey", every.alias("i", "category"))
-    return nations.select("model", "preprocessing", "category", F.when(F.col("n_nationkey") % 5 == 0, 0).otherwise(F.col("n_nationkey") * F.col("i") % 11).cast("long").alias("count"))
+    """Edits of the corruptions of ``conversations``, which are known by their making."""
+    return errors.by_cell(inputs.known_units(inputs.conversation_truth(spark, sf_dir).filter(F.col("ref").rlike(r"\S"))))
 
 
 @query(f"WITH c AS ({_COUNTS}) SELECT model, preprocessing, sum(count)::BIGINT AS total, " + ", ".join(f"round(CASE WHEN sum(count) = 0 THEN 0 ELSE sum(count) FILTER (category = '{c}') / sum(count) END, 6)::DOUBLE AS {c}" for c in metrics.CATEGORIES) + " FROM c GROUP BY ALL")
@@ -357,12 +356,9 @@ def top3_categories(spark, sf_dir):
     return matrix.top_categories(_counts(spark, sf_dir), metrics.CATEGORIES)
 
 
-@query(f"""WITH c AS (SELECT * FROM ({_COUNTS}) WHERE count > 0), p AS (SELECT model, preprocessing, count(*) AS n_pages FROM ({_COUNTS}) GROUP BY ALL), k AS (SELECT unnest([{', '.join(repr(c) for c in metrics.CATEGORIES)}]) AS category)
-SELECT model, preprocessing, category, coalesce(count, 0)::BIGINT AS count, n_pages FROM p CROSS JOIN k LEFT JOIN c USING (model, preprocessing, category)""")
+@query(_COUNTS)
 def category_dense(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
-    units = counts.select("model", "preprocessing", F.when(F.col("count") > 0, F.create_map("category", F.col("count").cast("int"))).otherwise(F.create_map().cast("map<string,int>")).alias("units"))
-    return errors.by_cell(units)
+    return _counts(spark, sf_dir)
 
 
 @query(f"WITH c AS ({_COUNTS}) SELECT model, preprocessing, sum(count)::BIGINT AS edits FROM c GROUP BY ALL")

@@ -1,11 +1,15 @@
+import math
 import random
+import unicodedata
+from difflib import SequenceMatcher
+from itertools import combinations
 
 import duckdb
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from scriptorium.functions import metrics
+from scriptorium.plans.inputs import scores_sql
 from scriptorium.plans.queries import ORACLES, QUERIES
 from tests.test_functions import table_distance
 
@@ -46,37 +50,66 @@ def test_entry_and_registry(spark):
 
 
 def test_document_cer(spark, sf_dir):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    """The corruption only deletes, so the distance is what it deletes, for documents of any length."""
+    docs = {r["doc_id"]: unicodedata.normalize("NFC", r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r["doc_id"]: r["cer"] for r in QUERIES["document_cer"](spark, sf_dir).collect()}
     assert set(got) == {d for d, t in docs.items() if t.strip()}
-    for d in random.Random(1).sample([d for d in got if len(docs[d]) < 1200], 12):
+    for d, cer in got.items():
+        assert cer == pytest.approx(docs[d].count("th") / len(docs[d]), abs=1e-6)
+    for d in random.Random(1).sample([d for d in got if len(docs[d]) < 1200], 6):
         assert got[d] == pytest.approx(table_distance(docs[d], docs[d].replace("th", "t")) / len(docs[d]), abs=1e-6)
 
 
-def test_error_categories(spark, sf_dir):
+@pytest.fixture(scope="module")
+def cells(spark, sf_dir):
+    """(page, cell) -> (reference, text) of the benchmark's matrix."""
     from scriptorium.plans import inputs
 
-    made = inputs.transcriptions(inputs.benchmark_truth(spark, sf_dir))
-    truth = {(r["book_id"], r["page_id"]): r["ref"] for r in inputs.benchmark_truth(spark, sf_dir).collect()}
+    truth = inputs.benchmark_truth(spark, sf_dir)
+    refs = {(r["book_id"], r["page_id"]): r["ref"] for r in truth.collect()}
+    return {(r["book_id"], r["page_id"], r["model"], r["preprocessing"]): (refs[r["book_id"], r["page_id"]], r["text"]) for r in inputs.transcriptions(truth).collect()}
+
+
+def test_error_categories(spark, sf_dir, cells):
+    """A plain walk over opcodes; all texts are ASCII, so white space and the rest are all there is beside bursts."""
     want: dict = {}
-    for r in made.collect():
-        for c, n in metrics.edit_units(truth[r["book_id"], r["page_id"]], r["text"]).items():
-            key = (r["model"], r["preprocessing"], c)
-            want[key] = want.get(key, 0) + n
+    for (_, _, model, preprocessing), (ref, text) in cells.items():
+        for kind, i, j, k, m in SequenceMatcher(None, ref, text, autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            gone, came = ref[i:j], text[k:m]
+            units = [("omission_burst", 1)] * (len(gone) >= 8) + [("hallucination_burst", 1)] * (len(came) >= 8) or [("whitespace" if (gone + came).isspace() else "latin_punctuation", max(len(gone), len(came)))]
+            for name, n in units:
+                want[model, preprocessing, name] = want.get((model, preprocessing, name), 0) + n
     got = {(r["model"], r["preprocessing"], r["category"]): r["count"] for r in QUERIES["error_categories"](spark, sf_dir).collect()}
     assert {k: v for k, v in got.items() if v} == want
 
 
-def test_page_agreement(spark, sf_dir):
-    from itertools import combinations
+@pytest.fixture(scope="module")
+def agreements(cells):
+    """(book, page) -> mean similarity of its cells' texts in the order of their names."""
+    pages: dict = {}
+    for (book, page, model, preprocessing), (_, text) in cells.items():
+        pages.setdefault((book, page), []).append((f"{model}_{preprocessing}", text))
+    ratios = lambda own: [SequenceMatcher(None, a, b).ratio() for (_, a), (_, b) in combinations(sorted(own), 2)]
+    return {key: sum(found) / len(found) for key, own in pages.items() if (found := ratios(own))}
 
-    from scriptorium.plans import inputs
 
-    pages: dict = {}
-    for r in inputs.transcriptions(inputs.benchmark_truth(spark, sf_dir)).collect():
-        pages.setdefault((r["book_id"], r["page_id"]), []).append((f"{r['model']}_{r['preprocessing']}", r["text"]))
+def test_page_agreement(spark, sf_dir, agreements):
     got = {(r["book_id"], r["page_id"]): r["agreement"] for r in QUERIES["page_agreement"](spark, sf_dir).collect()}
-    for key, cells in list(pages.items())[:10]:
-        texts = [t for _, t in sorted(cells)]
-        scores = [metrics.gestalt(a, b) for a, b in combinations(texts, 2)]
-        assert got[key] == pytest.approx(sum(scores) / len(scores), abs=1e-6)
+    assert got == {key: pytest.approx(x, abs=1e-6) for key, x in agreements.items()}
+
+
+def test_agreement_calibration(spark, sf_dir, con, agreements):
+    """Scores by DuckDB, similarities by difflib, ranks by pandas."""
+    scores = con.sql(scores_sql("benchmark") + " SELECT book_id, page_id, model, preprocessing, cer FROM s").df()
+    scores["rating"] = (5 - (scores["cer"] * 10).apply(math.floor)).clip(lower=1).astype(float)
+    pages = scores.groupby(["book_id", "page_id"])["cer"].mean()
+    together = pd.DataFrame({"a": [agreements[k] for k in pages.index], "c": pages.to_numpy()})
+    spearman = lambda x, y: x.rank().corr(y.rank())
+    want = {"spearman_fluency_vs_cer": spearman(scores["rating"], scores["cer"]), "pearson_fluency_vs_cer": scores["rating"].corr(scores["cer"]), "spearman_agreement_vs_mean_cer": spearman(together["a"], together["c"]), "pearson_agreement_vs_mean_cer": together["a"].corr(together["c"])}
+    want |= {f"spearman_{m}_{p}": spearman(g["rating"], g["cer"]) for (m, p), g in scores.groupby(["model", "preprocessing"])}
+    got = {r["metric"]: r["value"] for r in QUERIES["agreement_calibration"](spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    for metric, value in want.items():
+        assert (got[metric] is None) if value != value else got[metric] == pytest.approx(value, abs=1e-5), metric
