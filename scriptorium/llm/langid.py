@@ -28,11 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.support import arrow_map, crc_mod, hash_share, sized, texts, written
+from scriptorium.llm.support import arrow_map, crc_mod, sized, texts, written
 
-#: Training texts at most, rounds of expectation-maximisation, added to each expected count.
-SAMPLE, ROUNDS, SMOOTHING = 30_000, 2, 0.05
+#: Training texts at most (of all languages, about), rounds of expectation-maximisation, share of each table that all languages have alike.
+SAMPLE, ROUNDS, SMOOTHING = 30_000, 2, 0.01
 MAX_LANGUAGES = 1000
+#: Values of the hash that cuts the sample.
+SCALE = 1 << 30
 #: Words up to this length are gathered by length; longer ones are padded to the longest of a group.
 SHORT = 40
 #: Cells (characters, or characters times a quarter of the languages) that are worked on at a time.
@@ -282,21 +284,28 @@ class Model:
 
 
 def _table(counts: np.ndarray) -> np.ndarray:
-    table = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0, keepdims=True)
-    return np.concatenate([table, np.zeros((1, table.shape[1]))])
+    """Probabilities from expected counts. Every language gives the same share to what all languages have on average and to any piece, so that one with few texts isn't likelier for unusual ones."""
+    totals = counts.sum(axis=0)
+    own = np.divide(counts, totals, out=np.full(counts.shape, 1 / len(counts)), where=totals > 0)
+    common = (own[:, totals > 0].mean(axis=1) if (totals > 0).any() else own.mean(axis=1)) / 2 + 0.5 / len(counts)
+    return np.concatenate([(1 - SMOOTHING) * own + SMOOTHING * common[:, None], np.zeros((1, counts.shape[1]))])
 
 
 def fit(train: DataFrame, names: list[str], text: str = "text", lang: str = "lang", rows: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Learn from (text, lang) of ``train``; rows without either don't count. rows: the bound on the sample."""
-    usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    """Learn from (text, lang) of ``train``; rows without either don't count. rows: the bound on the sample.
+
+    The sample is cut within each language, so that languages of few rows are learnt from all of them. A language that no letter of its texts teaches is left out."""
+    usable = train.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).withColumn("hash", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(SCALE)))
+    found = usable.groupBy("lang").agg(F.count("*").alias("count"), F.min("hash").alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return Model(names, [], np.zeros((len(names) + 2, 0)))
-    # The hash of the text chooses, so copies are in or out together; they are one row each, with their number.
-    chosen = usable.filter(hash_share(F.col("text"), rows, sum(r["count"] for r in found)))
+    # The hash of the text chooses, so copies are in or out together; they are one row each, with their number. The text with the least hash is always in.
+    most = quota([r["count"] for r in found], rows)
+    cut = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(max(r["least"] + 1, SCALE if r["count"] <= most else int(SCALE * most / r["count"]))))))
+    chosen = usable.filter(F.col("hash") < cut[F.col("lang")])
     sample = written(chosen.groupBy(F.xxhash64("text").alias("of"), "lang").agg(F.first("text").alias("text"), F.count("*").alias("n")).drop("of"), "sample")
     spark = train.sparkSession
     table = _table(np.ones((len(names) + 1, len(languages))))
@@ -321,7 +330,18 @@ def fit(train: DataFrame, names: list[str], text: str = "text", lang: str = "lan
         counts = np.zeros((len(names) + 1, len(languages)))
         counts[sums["piece"], sums["lang"]] = sums["n"]
         table = _table(counts)
-    return Model(names, languages, table)
+    taught = np.flatnonzero(counts.sum(axis=0) > 0)
+    return Model(names, [languages[i] for i in taught], table[:, taught])
+
+
+def quota(counts: list[int], rows: int) -> float:
+    """The most rows of one language, so that all languages together have about ``rows``."""
+    left, ordered = rows, sorted(counts)
+    for i, n in enumerate(ordered):
+        if n * (len(ordered) - i) > left:
+            return max(1.0, left / (len(ordered) - i))
+        left -= n
+    return float(ordered[-1])
 
 
 def posteriors(model: Model, pieces: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

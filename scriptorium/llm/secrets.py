@@ -133,6 +133,19 @@ def joined(known: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     return known.join(each, "blob", "left").select("path", "blob", findings.alias("findings"))
 
 
+#: A helping column; it begins like no column of a table should.
+HIT = "__blob_with_secret"
+
+
+def without_findings(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has no finding in ``found`` (what ``scan`` gave). Null and empty texts, which may be very many, meet nothing and stay where they are."""
+    if HIT in df.columns:
+        raise ValueError(f"a column is called {HIT}")
+    hit = found.filter(F.size("findings") > 0).select(F.col("blob").alias(HIT)).distinct()
+    some = F.coalesce(F.col(text), F.lit("")) != ""
+    return df.filter(some).join(hit, blob_of(F.col(text)) == F.col(HIT), "left_anti").unionByName(df.filter(~some))
+
+
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The findings of each path as counts, a string of spans and its SHA-256."""
     as_text = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

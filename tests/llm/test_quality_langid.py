@@ -222,3 +222,19 @@ def test_order_of_rows_does_not_matter(make_docs, nasty, names):
     a = langid.identify(make_docs(nasty), names).orderBy("doc_id").collect()
     b = langid.identify(make_docs([t for _, t in shuffled], [i for i, _ in shuffled]), names).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in a] == [r["lang_pred"] for r in b]
+
+
+def test_rare_languages_are_learnt_and_untaught_ones_never_win(spark, names):
+    """The cut is within each language: six German rows of three thousand all teach, and a language of digits is no language."""
+    rng = random.Random(11)
+    words = "the cat sat on a mat and then it went over river hills with some bread".split()
+    rows = [(3 * i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(3000)]
+    rows += [(9000 + 3 * i, " ".join(rng.choice("der hund läuft über straße und schläft nicht gern".split()) for _ in range(30)), "de") for i in range(6)]
+    rows += [(9100 + i, "12 34", "xx") for i in range(5)] + [(9200, "same words again", "fr")] * 800
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, names, rows=200)
+    assert model.languages == ["de", "en", "fr"]
+    texts = ["\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u0436\u0443\u043a\u0438 the cat", "der hund über nicht", "same words again", "the cat and the river"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "de", "fr", "en"]
+    assert langid.quota([5, 10, 1000], 45) == 30 and langid.quota([5, 6], 100) == 6 and langid.quota([7] * 10, 5) == 1

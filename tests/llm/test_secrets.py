@@ -64,3 +64,15 @@ def test_known_texts_are_not_shuffled(spark, make_docs, tmp_path):
     plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     text_side = plan[plan.index("first(text") :]
     assert text_side.index("Exchange hashpartitioning(blob") < text_side.index("BroadcastHashJoin")
+
+
+def test_rows_without_findings(spark, make_docs, tmp_path):
+    """Findings of other versions of a rule don't count, and null and empty texts stay."""
+    ledger = str(tmp_path / "ledger")
+    clean, bad = "nothing to see here", "password = hunter2hunter2"
+    blob = lambda t: hashlib.sha256(t.encode()).digest()
+    spark.createDataFrame([(bytearray(blob(clean)), "assign", 0, [(0, 4)]), (bytearray(blob(clean)), "gone", 1, [(0, 4)])], secrets.LEDGER).write.parquet(ledger)
+    docs = make_docs([clean, bad, None, "", bad, None, clean], [1, 2, 3, None, 2, None, 5])
+    found = secrets.scan(docs, ledger, path="doc_id")
+    kept = secrets.without_findings(docs, found)
+    assert kept.columns == docs.columns and sorted(str(r["text"]) for r in kept.collect()) == sorted([clean, clean, "None", "None", ""])
