@@ -34,16 +34,10 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean(docs, queries.read(spark, sf_dir, "benchmark"))
 
 
-#: A helping column; it begins like no column of a table should.
-HIT = "__blob_with_secret"
-
-
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts meet their findings by content, so ids may repeat or be null."""
-    ledger, blob = queries.ledger(spark), secrets.blob_of(F.col("text"))
-    secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
-    hit = secrets.read_ledger(spark, ledger).filter(F.size("spans") > 0).select(F.col("blob").alias(HIT)).distinct()
-    return docs.join(hit, blob == F.col(HIT), "left_anti")
+    """Null and empty texts hold no secret and stay. What counts is what the present rules find, whatever else the ledger knows; texts meet their findings by content, so ids may repeat or be null."""
+    found = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"), queries.ledger(spark))
+    return secrets.without_findings(docs, found)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
