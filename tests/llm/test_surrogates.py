@@ -56,25 +56,41 @@ def test_ten_thousand_one_word_names(make_docs):
     assert len(set(made)) == len(names) and not set(made) & set(names)
 
 
-TITLES = {"f": surrogates.FEMALE_TITLES, "m": surrogates.MALE_TITLES, "n": surrogates.NEUTRAL_TITLES}
+HEAD = regex.compile(surrogates._HEAD)
+
+
+def words_of(name):
+    """(word, whether it's in the last one) of a name; particles and initials are no words."""
+    parts = name.split(" ")
+    real = lambda w: w not in surrogates.PARTICLES and not regex.fullmatch(r"\p{Lu}\.", w)
+    return [(w, i == len(parts) - 1, real(w) and real(part)) for i, part in enumerate(parts) for w in part.split("-")]
 
 
 def mentions(text):
-    """(start, end, what each part is) of all mentions of a text, in plain Python."""
-    titles = "|".join(t for group in TITLES.values() for t in group)
-    titled = regex.compile(rf"(?<![\p{{L}}\p{{N}}])({titles})\.? (\p{{Lu}}\p{{Ll}}+)(?: (\p{{Lu}}\p{{Ll}}+))?")
-    people = [m.groups() for m in titled.finditer(text)]
-    names = [f"{a} {b}" for _, a, b in people if b] + [w for _, a, b in people for w in (a, b) if w]
-    further = rf"|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(names)})(?![\p{{L}}\p{{N}}])" if names else ""
-    numbers = f"{surrogates.MAIL}|(?=[0-9+(])(?:{surrogates.IP}|{surrogates.CARD}|{surrogates.PHONE})"
+    """(start, end, [(kind, word)]) of all mentions of a text, in plain Python; names have their words, others one."""
+    split = lambda surface: (HEAD.match(surface)[1], words_of(surface[HEAD.match(surface).end() :]))
+    roles = {}
+    for m in regex.finditer(surrogates.PERSON, text):
+        _, found = split(m[0])
+        full = any(ok and not last for _, last, ok in found)
+        for w, last, ok in found:
+            if ok:
+                roles[w.lower()] = min(roles.get(w.lower(), 9), 2 if not full else 0 if last else 1)
     out = []
-    for m in regex.finditer(f"{numbers}|{titled.pattern}{further}", text):
+    for m in regex.finditer(surrogates.RUNS if roles else surrogates.PATTERN, text):
         surface = m[0]
         if "@" in surface or regex.search(r"\d", surface):
-            out.append((m.start(), m.end(), [surface.lower() if "@" in surface or surface.count(".") == 3 else regex.sub(r"\D", "", surface)]))
+            out.append((m.start(), m.end(), [("number", surface.lower() if "@" in surface or ":" in surface or surface.count(".") == 3 else regex.sub(r"[^A-Z0-9]", "", surface))]))
+            continue
+        title, found = split(surface)
+        if (title or regex.fullmatch(surrogates.UNTITLED, surface)) and any(ok and not last for _, last, ok in found):
+            kinds = ["word" if not ok else "surname" if last else "given" for _, last, ok in found]
         else:
-            start = m.end() - len(regex.sub(rf"^(?:{titles})\.? (?=\p{{Lu}})", "", surface))
-            out.append((start, m.end(), text[start : m.end()].split(" ")))
+            known = [roles.get(w.lower()) if ok else None for w, _, ok in found]
+            beside = title or any(k is not None and w.lower() not in surrogates.COMMON_WORDS for k, (w, _, _) in zip(known, found))
+            kinds = ["word" if k is None or not beside and w.lower() in surrogates.COMMON_WORDS else "given" if k == 1 else "surname" for k, (w, _, _) in zip(known, found)]
+        if set(kinds) != {"word"}:
+            out.append((m.start(), m.end(), [(k, w) for k, (w, _, _) in zip(kinds, found)]))
     return out
 
 
@@ -84,30 +100,91 @@ def test_query_against_plain_python(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in queries.read(spark, sf_dir, "documents").collect()}
     rows = queries.QUERIES["op9_surrogates"](spark, sf_dir).collect()
     assert {r["doc_id"] for r in rows} == set(docs)
-    last_words, numbers, found = {}, {}, 0
+    tables, found = {"surname": {}, "given": {}, "number": {}}, 0
     for r in rows:
         text = docs[r["doc_id"]]
         places = mentions(text or "")
         assert sum(r[f"n_{k}"] for k in surrogates.KINDS) == len(places)
         pattern, at = "", 0
         for start, end, parts in places:
-            pattern += re.escape(text[at:start]) + "(" + (" ".join([r"\w+"] * len(parts)) if parts[0].isalpha() else r".{%d,}?" % (end - start)) + ")"
+            pattern += re.escape(text[at:start])
+            if parts[0][0] == "number":
+                pattern += r"(.{%d,}?)" % (end - start)
+            else:
+                surface, k = text[start:end], HEAD.match(text[start:end]).end()
+                pattern += re.escape(surface[:k])
+                for _, w in parts:
+                    k2 = surface.index(w, k)
+                    pattern += re.escape(surface[k:k2]) + r"([\w'’.]+?)"
+                    k = k2 + len(w)
             at = end
         m = re.fullmatch(pattern + re.escape((text or "")[at:]), r["text"] or "", re.DOTALL)
         assert m, (text, r["text"])
-        for (start, end, parts), made in zip(places, m.groups()):
+        for (kind, word), made in zip([p for _, _, parts in places for p in parts], m.groups()):
             found += 1
-            assert made != text[start:end]
-            if len(parts) == 2:
-                assert last_words.setdefault(parts[1], made.split(" ")[1]) == made.split(" ")[1]
-            elif not parts[0].isalpha():
-                same = made.lower() if "@" in made or made.count(".") == 3 else re.sub(r"\D", "", made)
-                assert numbers.setdefault(parts[0], same) == same
+            if kind == "word":
+                assert made == word
+                continue
+            assert made != word
+            old, new = word.lower(), made.lower()
+            if kind == "number" and not ("@" in made or ":" in made or made.count(".") == 3):
+                new = re.sub("[^a-z0-9]", "", new)
+            assert tables[kind].setdefault(old, new) == new
     assert found > 50
-    for table in (last_words, numbers):
+    for table in tables.values():
         assert len(set(table.values())) == len(table) and not set(table.values()) & set(table)
 
 
+def test_forms_of_names_and_numbers(make_docs):
+    """Every part of a name is replaced, words that are names only by chance stay, and further kinds of numbers are found."""
+    forms = {
+        "Mr Jean-Luc Picard": r"Mr [A-Z]\w+-[A-Z]\w+ [A-Z]\w{5}",
+        "Mr McDonald": r"Mr [A-Z][a-z][A-Z][a-z]{5}",
+        "Ms Smith-Jones": r"Ms [A-Z][a-z]{4}-[A-Z][a-z]{4}",
+        "Mr John Paul Smith came": r"Mr [A-Z]\w+ [A-Z]\w+ [A-Z][a-z]{4} came",
+        "Mrs O'Brien's hat": r"Mrs [A-Z]'[A-Z][a-z]{4}'s hat",
+        "Herr von Braun": r"Herr von [A-Z][a-z]{4}",
+        "MR SMITH": r"MR [A-Z]{5}",
+        "and John Smith": r"and [A-Z]\w+ [A-Z][a-z]{4}",
+        "Mrs May left in May.": r"Mrs (?!May)[A-Z][a-z]{2} left in May\.",
+        "Mr Will came. Will you go?": r"Mr (?!Will)[A-Z][a-z]{3} came\. Will you go\?",
+        "SSN 078-05-1120.": r"SSN \d{3}-\d\d-\d{4}\.",
+        "2001:db8::ff00:42:8329": r"\d{4}:[a-f]{2}\d::[a-f]{2}\d\d:\d\d:\d{4}",
+        "030 1234567": r"\d{3} \d{7}",
+        "GB82 WEST 1234 5698 7654 32": r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d",
+        "Dr Weber and WEBER, Weber": r"Dr ([A-Z])([a-z]{4}) and \1[A-Z]{4}, \1\2",
+        "on 01-02-2024 at 10:20:30 in std::vector": "on 01-02-2024 at 10:20:30 in std::vector",
+    }
+    for (old, form), new in zip(forms.items(), one(make_docs, *forms)):
+        assert re.fullmatch(form, new) and (new != old or "std" in old), (old, new)
+        for word in ("Jean", "Luc", "Picard", "Donald", "Smith", "Jones", "Paul Smith", "Brien", "Braun", "SMITH", "Weber"):
+            assert not re.search(rf"\b{word}\b", new)
+        if old.startswith("GB"):
+            number = "".join(str(int(c, 36)) for c in (new[4:] + new[:4]).replace(" ", ""))
+            assert int(number) % 97 == 1
+
+
+def test_one_surrogate_a_given_name(make_docs):
+    """The gender is that of most titles in the corpus, and no part of the key."""
+    made = one(make_docs, "Mrs Kim Sorvag", "Dr Kim Sorvag", "Frau Kim Tolm", "Mr Kim Sorvag")
+    assert len({t.split()[1] for t in made}) == 1 and made[0].split()[1] in surrogates.NAMES["latin", "f"]
+
+
+def test_thousands_of_names_in_one_text(make_docs):
+    names = [f"{chr(65 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}qu" for i in range(5000)]
+    (made,) = one(make_docs, " ".join(f"Mr {n}." for n in names))
+    new = re.findall(r"Mr (\w+)\.", made)
+    assert len(set(new)) == 5000 and not set(new) & set(names)
+
+
+def test_key_is_not_in_the_plan(make_docs):
+    from hashlib import sha256
+
+    df = replace(make_docs(["Mr Smith"]), "a secret key")
+    plan = df._jdf.queryExecution().toString() + df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "a secret key" not in plan and sha256(b"a secret key").hexdigest() not in plan
+
+
 def test_coreference_across_spellings_and_texts(make_docs):
     a, b, c = one(make_docs, "call +1 (017) 555-7713 x", "+10175557713 or A.B@Mail.Example.com", "a.b@mail.example.com and A.B@MAIL.EXAMPLE.COM!!")
     digits = lambda s: re.sub(r"\D", "", s)
