@@ -1,13 +1,19 @@
 """Benchmark decontamination with training suffix arrays (operator 2).
 
-Documents form shards (an Arrow batch each). Every shard gets a word-level suffix array: the
-positions of its words, sorted by the ``WINDOW`` words that follow. Only positions at which some
-test suffix can match are indexed; a position whose first words don't occur in any item can't be in
-a match, so leaving it out changes nothing. Each test suffix of the benchmark is binary-searched in
-each shard; hits on the same diagonal are joined into verbatim matches, and the longest is kept at
-each location, that is, in each stretch of the document that an item's windows cover. The order of
-the array beyond ``WINDOW`` words is not needed: what follows a match is found along its diagonal.
-Documents never leave their task: only matches and counts do.
+Documents form shards (an Arrow batch each). Every shard gets a word-level suffix array of the
+positions at which some test suffix can match: a position whose first words don't occur in any item
+can't be in a match, so leaving it out changes nothing. The array is sorted by the ``WINDOW`` words that
+follow, and the windows of the benchmark are binary-searched in it. Positions at which one occurs are
+then ordered by all that follows, to the end of the stretch of such positions, by doubling over the
+windows' numbers, and every test suffix that has a window in the shard is binary-searched in that order;
+its neighbours give the longest verbatim matches. Documents never leave their task: only matches and
+counts do.
+
+``matches`` holds each item's longest match in each stretch of the document that the item's windows
+cover; there are as many as items times occurrences, if items share windows. Without ``each_item`` it
+holds the longest match at each place of the document, those that don't lie within another, each with
+one item that holds it: what a task holds then goes with the words of its shard and of the benchmark's
+block only.
 
 Words: A-Z is lower-cased, then runs of digits, letters a-z and non-ASCII characters. A window is
 ``WINDOW`` consecutive words of an item, or a whole item of fewer (but some) words.
@@ -31,15 +37,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.support import arrow_map, list_array, sized, texts
+from scriptorium.llm.support import arrow_map, sized, texts
 
 WINDOW = 10
 #: Words by which positions are chosen for the suffix array.
 ANCHOR = 4
 BLOCK_BYTES = 8 << 20
+#: Items' ids in a batch that leaves a task, and holders of windows looked at together.
+OUT_ITEMS = 1 << 19
 
 _TABLE = np.full(256, 32, dtype=np.uint8)
 _TABLE[48:58] = np.arange(48, 58)
@@ -67,13 +75,32 @@ def word_lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(real)), (starts[at[1:]] - starts[at[:-1]]).astype(np.int64)
 
 
+@dataclass
+class Windows:
+    """The windows of one length: distinct keys in order, and each test suffix (by item, then start) as the number of its first window."""
+
+    distinct: np.ndarray
+    anchors: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    code: np.ndarray
+    #: Test suffixes by window, and where each window's begin.
+    order: np.ndarray
+    first: np.ndarray
+    #: Distinct names of the items with each window, by window, and where each window's begin.
+    holders: np.ndarray
+    held_from: np.ndarray
+
+
 @dataclass
 class Index:
-    """A block of the benchmark: its vocabulary, and its distinct windows with where they occur."""
+    """A block of the benchmark: names of its items, its vocabulary, its windows by length."""
 
     names: list
+    #: The distinct names, and each item's place among them.
+    distinct_names: pa.Array
+    named: np.ndarray
     vocabulary: pa.Array
-    #: For each length: the windows' keys in order, then item and start of each occurrence, by window.
     windows: dict
 
 
@@ -83,22 +110,34 @@ def keys_at(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.ascontiguousarray(block).view(f"S{4 * length}").ravel()
 
 
+def spread(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all members of the chosen groups, and the size of each group, where ``first`` says where groups begin."""
+    sizes = first[which + 1] - first[which]
+    return np.repeat(first[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+
+
 def make_index(items: list[tuple], window: int = WINDOW) -> Index:
     words, counts = word_lists(pa.array([t for _, t in items], type=pa.large_string()))
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy().astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else np.zeros(0, int)
+    begins = np.cumsum(counts) - counts
+    codes: dict = {}
+    named = np.array([codes.setdefault(n, len(codes)) for n, _ in items], dtype=np.int64)
     windows = {}
-    for length in sorted({min(int(n), window) for n in counts if n}):
-        own = [(i, j) for i, n in enumerate(counts) if min(n, window) == length for j in range(int(n) - length + 1)]
-        where = np.array(own, dtype=np.int64).reshape(-1, 2)
-        keys = keys_at(ids, begins[where[:, 0]] + where[:, 1], length)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        first = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
+    sizes = np.minimum(counts, window)
+    for length in np.unique(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == length)
+        n = counts[mine] - length + 1
+        item = np.repeat(mine, n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        distinct, code = np.unique(keys_at(ids, begins[item] + start, length), return_inverse=True)
+        edges = np.arange(len(distinct) + 1)
+        order = np.argsort(code, kind="stable")
+        held = np.unique(code * len(codes) + named[item])
         depth = min(length, ANCHOR)
-        windows[length] = (distinct, where[order], first, np.unique(distinct.astype(f"S{4 * length}").view("S4").reshape(-1, length)[:, :depth].copy().view(f"S{4 * depth}").ravel()))
-    return Index([n for n, _ in items], coded.dictionary, windows)
+        anchors = np.unique(distinct.astype(f"S{4 * length}").view("S4").reshape(-1, length)[:, :depth].copy().view(f"S{4 * depth}").ravel())
+        windows[length] = Windows(distinct, anchors, item, start, code, order, np.searchsorted(code[order], edges), held % len(codes), np.searchsorted(held // len(codes), edges))
+    return Index([n for n, _ in items], pa.array([None if n is None else str(n) for n in codes], pa.string()), named, coded.dictionary, windows)
 
 
 def suffix_array(ids: np.ndarray, room: np.ndarray, length: int, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,39 +194,143 @@ def longest(items: np.ndarray, starts: np.ndarray, places: np.ndarray, length: i
     return [(int(item[k]), int(begin[k]), int(starts[first[k]]), int(words[k])) for k in top]
 
 
-def match_shard(column: pa.Array, index: Index) -> tuple[np.ndarray, list, list, list]:
-    """Of each text of the shard: the number of words, hit ranges, items with windows in it, longest matches."""
+def runs_of(follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin, if ``follows`` says which elements continue the one before, and how many elements of its run each has from itself on."""
+    starts = np.flatnonzero(~follows)
+    sizes = np.diff(np.append(starts, len(follows)))
+    return starts, np.repeat(starts + sizes, sizes) - np.arange(len(follows))
+
+
+def distinct_runs(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The numbers of the first run of each set of equal ones. Runs are grouped by a hash, then compared with their group's first; one that differs stays."""
+    sizes = np.diff(np.append(starts, len(codes)))
+    offset = np.arange(len(codes)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        value = np.add.reduceat((mixed ^ (mixed >> np.uint64(32))) * powers[offset], starts)
+    order = np.lexsort((value, sizes))
+    head = np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])])
+    chief = np.empty(len(starts), dtype=np.int64)
+    chief[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    same = np.logical_and.reduceat(codes == codes[np.repeat(starts[chief], sizes) + offset], starts)
+    return np.flatnonzero((chief == np.arange(len(starts))) | ~same)
+
+
+def ranked(codes: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4 ... symbols, each suffix ending with its run (``room`` symbols); the last are those by all symbols."""
+    levels = [np.unique(codes, return_inverse=True)[1].astype(np.int32)]
+    reach, at = 1, np.arange(len(codes))
+    while reach < room.max():
+        rank = levels[-1].astype(np.int64)
+        after = np.where(room > reach, rank[np.minimum(at + reach, len(codes) - 1)] + 1, 0)
+        levels.append(np.unique(rank * (rank.max() + 2) + after, return_inverse=True)[1].astype(np.int32))
+        reach *= 2
+    return levels
+
+
+def common(levels: list[np.ndarray], room: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of symbols that suffixes ``a`` and ``b`` begin with alike."""
+    n = np.zeros(len(a), dtype=np.int64)
+    left = np.minimum(room[a], room[b])
+    last = len(room) - 1
+    for level in range(len(levels) - 1, -1, -1):
+        rank, step = levels[level], 1 << level
+        n += step * ((left - n >= step) & (rank[np.minimum(a + n, last)] == rank[np.minimum(b + n, last)]))
+    return n
+
+
+def longest_at(window: np.ndarray, room: np.ndarray, known: Windows, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position with a window: the number of windows of its longest match with a test suffix, and that test suffix.
+
+    The positions' suffixes are put in order, and the test suffixes with a window found here (equal stretches of them once) are binary-searched in it."""
+    tests = np.sort(known.order[spread(known.first, found)[0]])
+    follows = np.concatenate([[False], (tests[1:] == tests[:-1] + 1) & (known.item[tests[1:]] == known.item[tests[:-1]])])
+    starts, _ = runs_of(follows)
+    kept = distinct_runs(known.code[tests], starts)
+    tests = tests[spread(np.append(starts, len(tests)), kept)[0]]
+    follows = np.concatenate([[False], (tests[1:] == tests[:-1] + 1) & (known.item[tests[1:]] == known.item[tests[:-1]])])
+    n = len(window)
+    room = np.concatenate([room, runs_of(follows)[1]])
+    levels = ranked(np.concatenate([window, known.code[tests]]), room)
+    rank = levels[-1]
+    array = np.argsort(rank[:n], kind="stable")
+    ranks, suffix = np.unique(rank[n:], return_index=True)
+    below = np.cumsum(np.bincount(np.searchsorted(rank[array], ranks), minlength=n + 1))[:n] - 1
+    best, which = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for near in (below, below + 1):
+        there = np.flatnonzero((near >= 0) & (near < len(suffix)))
+        test = suffix[near[there]]
+        size = common(levels, room, array[there], n + test)
+        better = size > best[array[there]]
+        best[array[there[better]]], which[array[there[better]]] = size[better], tests[test[better]]
+    return best, which
+
+
+def outermost(found: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Of matches (place, words, item, start in it), those that end after all that begin before them, and the longest of each place."""
+    place, words, item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((item, -words, place))
+    ends = (place + words)[order]
+    order = order[np.concatenate([[True], ends[1:] > np.maximum.accumulate(ends)[:-1]])]
+    return place[order], words[order], item[order], start[order]
+
+
+def names_of(known: Windows, windows: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """``names`` and those that hold one of the windows, some windows at a time."""
+    sizes = known.held_from[windows + 1] - known.held_from[windows]
+    for part in np.split(windows, np.flatnonzero(np.diff(np.cumsum(sizes) // OUT_ITEMS)) + 1):
+        names = np.union1d(names, known.holders[spread(known.held_from, part)[0]])
+    return names
+
+
+def match_shard(column: pa.Array, index: Index, matches: str = "item") -> tuple[np.ndarray, list, list, list]:
+    """Of each text of the shard: the number of words, hit ranges, names of items with windows in it (as places among the distinct names), longest matches.
+
+    ``matches`` says whether those are by "item" or by "place", or whether only hits are wanted ("none")."""
     words, counts = word_lists(column)
     ids = pc.fill_null(pc.index_in(words, value_set=index.vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(counts)
     room = np.repeat(ends, counts) - np.arange(len(ids))
     begins = ends - counts
     hits: list[list] = [[] for _ in counts]
-    matches: list[list] = [[] for _ in counts]
-    for length, (distinct, where, first, anchors) in index.windows.items():
-        at, keys = suffix_array(ids, room, length, anchors)
+    names = [np.zeros(0, dtype=np.int64) for _ in counts]
+    result: list[list] = [[] for _ in counts]
+    longest_found = []
+    for length, known in index.windows.items():
+        at, keys = suffix_array(ids, room, length, known.anchors)
         if not len(at):
             continue
-        low, high = np.searchsorted(keys, distinct, "left"), np.searchsorted(keys, distinct, "right")
+        low, high = np.searchsorted(keys, known.distinct, "left"), np.searchsorted(keys, known.distinct, "right")
         found = np.flatnonzero(high > low)
         if not len(found):
             continue
         n = high[found] - low[found]
         window = np.repeat(found, n)
-        place = at[np.repeat(low[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        place = at[np.repeat(low[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(place)
+        window, place = window[order], place[order]
         doc = np.searchsorted(ends, place, side="right")
-        order = np.argsort(doc, kind="stable")
-        window, place, doc = window[order], place[order], doc[order]
+        if matches == "place":
+            follows = np.concatenate([[False], (place[1:] == place[:-1] + 1) & (doc[1:] == doc[:-1])])
+            size, test = longest_at(window, runs_of(follows)[1], known, found)
+            longest_found.append((place, size + length - 1, known.item[test], known.start[test]))
         for lo, hi in zip(*_groups(doc), strict=True):
             d = int(doc[lo])
             mine, local = window[lo:hi], place[lo:hi] - begins[d]
             hits[d].append((local, local + length))
-            times = first[mine + 1] - first[mine]
-            spot = np.repeat(first[mine], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            matches[d] += longest(where[spot, 0], where[spot, 1], np.repeat(local, times), length)
+            if matches != "none":
+                names[d] = names_of(known, np.unique(mine), names[d])
+            if matches == "item":
+                spot, times = spread(known.first, mine)
+                result[d] += longest(known.item[known.order[spot]], known.start[known.order[spot]], np.repeat(local, times), length)
     runs = [merge_runs(np.concatenate([s for s, _ in h]), np.concatenate([e for _, e in h])) if h else [] for h in hits]
-    names = [list(dict.fromkeys(index.names[i] for i, *_ in sorted(m))) for m in matches]
-    return counts, runs, names, [[{"item": index.names[i], "doc_start": s, "item_start": o, "n_words": w} for i, s, o, w in sorted(m)] for m in matches]
+    if longest_found:
+        found = outermost(longest_found)
+        doc = np.searchsorted(ends, found[0], side="right")
+        for d, p, w, i, o in zip(doc.tolist(), (found[0] - begins[doc]).tolist(), *(x.tolist() for x in found[1:]), strict=True):
+            result[d].append((i, p, o, w))
+    return counts, runs, names, [[{"item": index.names[i], "doc_start": s, "item_start": o, "n_words": w} for i, s, o, w in (m if matches == "place" else sorted(m))] for m in result]
 
 
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +349,11 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> I
     for g in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == g)
         if rows := [(r["item"], r["text"]) for r in part.collect()]:
-            yield rows
+            yield sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document: its id, the columns in ``keep``, n_words, hits (word ranges), items, matches (the longest of each item at each of its locations).
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, each_item: bool = True) -> DataFrame:
+    """A row for each document: its id, the columns in ``keep``, n_words, hits (word ranges), items, matches (the longest of each item at each of its locations, or without ``each_item`` the longest at each place).
 
     With more than one block, the rows of a document are matched up by those columns and a hash of its text."""
     spark, frames = docs.sparkSession, []
@@ -226,17 +369,31 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         def run(batches, sent=sent):
             index = make_index(sent.value)
             for batch in sized(batches, text):
-                counts, runs, items, found = match_shard(batch.column(batch.schema.get_field_index(text)), index)
-                own = [None if t is None else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                made = [pa.array(own, pa.int64()), pa.array(counts), pa.array(runs, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, type=pa.list_(pa.string())), pa.array(found, type=pa.list_(_OUT))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "__text", "n_words", "hits", "items", "matches"])
+                counts, runs, items, found = match_shard(batch.column(batch.schema.get_field_index(text)), index, "item" if each_item else "place")
+                sizes = np.array([len(i) for i in items], dtype=np.int64)
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // OUT_ITEMS)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+                    part = batch.slice(lo, hi - lo)
+                    own = [None if t is None else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[lo:hi])]), pa.int32())
+                    held = pa.ListArray.from_arrays(offsets, index.distinct_names.take(pa.array(np.concatenate(items[lo:hi]))))
+                    made = [pa.array(own, pa.int64()), pa.array(counts[lo:hi]), pa.array(runs[lo:hi], type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), held, pa.array(found[lo:hi], type=pa.list_(_OUT))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *made], names=[*names, "__text", "n_words", "hits", "items", "matches"])
 
         frames.append(arrow_map(source, run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + SCHEMA))
     if not frames:
-        return find(docs, spark.createDataFrame([("", "")], f"`{item_id}` string, `{item_text}` string"), doc_id, text, item_id, item_text, keep)
+        return find(docs, spark.createDataFrame([("", "")], f"`{item_id}` string, `{item_text}` string"), doc_id, text, item_id, item_text, keep, each_item=each_item)
     if len(frames) == 1:
         return frames[0].drop("__text")
-    return _merged(frames, [*names, "__text"]).drop("__text")
+    merged = _merged(frames, [*names, "__text"]).drop("__text")
+    return merged if each_item else merged.withColumn("matches", _outermost(F.col("matches")))
+
+
+def _outermost(matches: Column) -> Column:
+    """What :func:`outermost` keeps, of matches of several blocks."""
+    by_place = F.array_sort(matches, lambda x, y: F.coalesce(F.nullif(x["doc_start"] - y["doc_start"], F.lit(0)), F.nullif(y["n_words"] - x["n_words"], F.lit(0)), F.when(x["item"] < y["item"], -1).when(x["item"] > y["item"], 1).otherwise(0)))
+    end = lambda x: x["doc_start"] + x["n_words"]
+    return F.aggregate(by_place, F.array().cast(MATCHES), lambda out, x: F.when((F.size(out) == 0) | (end(F.element_at(out, -1)) < end(x)), F.concat(out, F.array(x))).otherwise(out))
 
 
 def _merged(frames: list[DataFrame], names: list[str]) -> DataFrame:
@@ -260,7 +417,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
         def run(batches, sent=sent):
             index = make_index(sent.value)
             for batch in sized(batches, text):
-                runs = match_shard(batch.column(batch.schema.get_field_index(text)), index)[1]
+                runs = match_shard(batch.column(batch.schema.get_field_index(text)), index, "none")[1]
                 yield batch.filter(pa.array([not r for r in runs], pa.bool_()))
 
         docs = arrow_map(docs, run, schema)

@@ -1,6 +1,9 @@
 import random
 import re
+import subprocess
+import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +108,82 @@ def test_slices_of_a_batch():
     whole = decontaminate.match_shard(pa.array(docs), index)[1]
     parts = [x for b in sized([pa.RecordBatch.from_arrays([pa.array(docs)], names=["text"])], "text", 300) for x in decontaminate.match_shard(b.column(0), index)[1]]
     assert whole == parts
+
+
+def outermost(text, items):
+    """(start, words) of the longest match at each place, without those within another."""
+    w, out, reach = words(text), [], 0
+    for i in range(len(w)):
+        best = 0
+        for _, item in items:
+            v = words(item)
+            for j in range(len(v)):
+                k = 0
+                while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                    k += 1
+                if k >= 10 or 0 < k == len(v):
+                    best = max(best, k)
+        if i + best > reach and best:
+            out.append((i, best))
+            reach = i + best
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 200])
+def test_longest_at_each_place(spark, make_docs, block_bytes):
+    docs, items = cases()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    by_name = {}
+    for name, item in items:
+        by_name.setdefault(str(name), []).append(words(item))
+    each = {r["doc_id"]: r for r in decontaminate.find(make_docs(docs), bench).collect()}
+    for r in decontaminate.find(make_docs(docs), bench, block_bytes=block_bytes, each_item=False).collect():
+        text = docs[r["doc_id"]]
+        assert [(m["doc_start"], m["n_words"]) for m in r["matches"]] == outermost(text, items), text
+        for m in r["matches"]:
+            part = words(text)[m["doc_start"] : m["doc_start"] + m["n_words"]]
+            assert any(v[m["item_start"] : m["item_start"] + len(part)] == part for v in by_name[m["item"]])
+        assert (r["hits"], sorted(r["items"])) == (each[r["doc_id"]]["hits"], sorted(each[r["doc_id"]]["items"]))
+
+
+def test_order_of_suffixes():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        codes = rng.integers(0, 3, 200)
+        follows = rng.random(200) < 0.9
+        follows[0] = False
+        starts, room = decontaminate.runs_of(follows)
+        suffixes = [tuple(codes[i : i + room[i]]) for i in range(200)]
+        levels = decontaminate.ranked(codes, room)
+        order = {t: k for k, t in enumerate(sorted(set(suffixes)))}
+        assert levels[-1].tolist() == [order[t] for t in suffixes]
+        a, b = rng.integers(0, 200, 500), rng.integers(0, 200, 500)
+        alike = [next((k for k, (x, y) in enumerate(zip(suffixes[i], suffixes[j])) if x != y), min(room[i], room[j])) for i, j in zip(a, b)]
+        assert decontaminate.common(levels, room, a, b).tolist() == alike
+        runs = [tuple(codes[s : s + room[s]]) for s in starts]
+        assert [runs[k] for k in decontaminate.distinct_runs(codes, starts)] == list(dict.fromkeys(runs))
+
+
+SHARED_PROMPT = """
+import random, resource
+import pyarrow as pa
+from scriptorium.llm import decontaminate
+rng = random.Random(1)
+word = lambda: f"w{rng.randrange(5000)}"
+prompt = " ".join(f"p{i}" for i in range(30))
+items = [(str(i), prompt + " " + " ".join(word() for _ in range(20))) for i in range(20_000)]
+index = decontaminate.make_index(items)
+texts = [" x ".join([prompt] * 2000), items[7][1], "clean " * 50]
+counts, runs, names, matches = decontaminate.match_shard(pa.array(texts), index, "place")
+assert [len(n) for n in names] == [20_000, 20_000, 0], [len(n) for n in names]
+assert [len(m) for m in matches] == [2000, 1, 0]
+assert {m["n_words"] for m in matches[0]} == {30} and matches[1] == [{"item": "7", "doc_start": 0, "item_start": 0, "n_words": 50}]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_items_that_share_a_prompt_stay_small():
+    """20,000 items with one prompt that a document repeats 2000 times: 40 million pairs, none of which is made."""
+    done = subprocess.run([sys.executable, "-c", SHARED_PROMPT], capture_output=True, text=True, check=False, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
