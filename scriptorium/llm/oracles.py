@@ -11,7 +11,7 @@ RULES = (
     ("hex", "[0-9a-f]+", 0, 32),
 )
 #: Bits of the key that are used, and bytes of a shard.
-BITS, SHARD_BYTES = 60, 16777216
+BITS, QUERY_BYTES = 60, 262144
 
 
 def _quoted(text: str) -> str:
@@ -59,8 +59,8 @@ WITH k AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_b
   ('0x' || md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, ''))[1:15])::BIGINT AS key FROM documents),
 p AS MATERIALIZED (SELECT d::INT AS depth, key >> ({BITS} - d) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows, min(key) = max(key) AS same
   FROM k, range(0, {BITS + 1}) r(d) GROUP BY ALL),
-f AS (SELECT doc_id, key, n_bytes, min(depth) AS depth FROM k JOIN p ON p.prefix = key >> ({BITS} - depth) WHERE shard_bytes <= {SHARD_BYTES} OR same GROUP BY ALL)
-SELECT doc_id, n_bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(prefix), f.depth, '0') END AS shard, f.depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS overflow
+f AS (SELECT doc_id, key, n_bytes, min(depth) AS depth FROM k JOIN p ON p.prefix = key >> ({BITS} - depth) WHERE shard_bytes <= {QUERY_BYTES} OR same GROUP BY ALL)
+SELECT doc_id, n_bytes, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(prefix), f.depth, '0') END AS shard, f.depth, shard_bytes, shard_rows, shard_bytes > {QUERY_BYTES} AS overflow
 FROM f JOIN p ON p.depth = f.depth AND p.prefix = key >> ({BITS} - f.depth)"""
 
 ORACLES["op10_topk"] = """

@@ -41,7 +41,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(read(spark, sf_dir, "documents"))
+    return sharding.shards(read(spark, sf_dir, "documents"), limit=sharding.QUERY_BYTES)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from scriptorium.llm.support import written
 
 BITS, STEP = 60, 8
-#: Bytes of text in a shard of the registered query.
 SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard of the registered query: its directory has some levels on small tables too.
+QUERY_BYTES = 256 << 10
 #: Buckets beyond which a semi-join with them isn't broadcast.
 MAX_SENT = 250_000
 
