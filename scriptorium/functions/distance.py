@@ -1,7 +1,8 @@
 """Edit distances of whole Arrow batches, over characters or words.
 
 Sequences become whole numbers first, so nothing bounds how many distinct words there are. Of every
-pair the common beginning and end are dropped. What is left is solved by a bit-parallel recurrence
+pair the common beginning and end are dropped. If the shorter side then lies within the longer one, in
+order, their lengths tell the distance. What is left is solved by a bit-parallel recurrence
 (Myers, 1999; Hyyro, 2003): a 64-bit word holds 64 rows of the table, and one NumPy call advances all
 words of all pairs of a group of similar length. Pairs that are few of their length go alone: diagonals are
 followed first (Ukkonen, 1985), whose cost goes with length plus distance squared, and if they are too
@@ -39,6 +40,12 @@ def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - stop], b[: len(b) - stop]
 
 
+def within(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all of ``a`` is found in ``b`` in order. No distance is below the difference of the lengths, and then it is that."""
+    rest = iter(b.tolist())
+    return all(c in rest for c in a.tolist())
+
+
 def along_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The distance if it is ``limit`` at most. Each round lets every diagonal reach as far as one more edit allows."""
     goal, gap = len(b) - len(a), abs(len(b) - len(a))
@@ -188,10 +195,10 @@ def distances(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.nda
     for i in range(len(out)):
         x, y = trimmed(a[a_ends[i] - a_sizes[i] : a_ends[i]], b[b_ends[i] - b_sizes[i] : b_ends[i]])
         x, y = (x, y) if len(x) <= len(y) else (y, x)
-        if len(x):
-            groups.setdefault(bisect_left(WIDTHS, (len(x) + 63) // 64), []).append((i, x, y))
+        if not len(x) or len(x) < len(y) and within(x, y):
+            out[i] = len(y) - len(x)
         else:
-            out[i] = len(y)
+            groups.setdefault(bisect_left(WIDTHS, (len(x) + 63) // 64), []).append((i, x, y))
     for width, members in groups.items():
         if width == len(WIDTHS) or len(members) < WORTH:
             for i, x, y in members:

@@ -94,6 +94,20 @@ def test_every_way_to_a_distance(pairs, worth):
             assert distance.along_diagonals(x, y, limit) == (d if d <= limit else None)
 
 
+def test_texts_that_only_lack_characters(monkeypatch):
+    """What lies within the longer side in order needs no table, however long; what does not gets its table."""
+    rng = random.Random(4)
+    long = ["".join(rng.choice("etaoinsh é漢") for _ in range(n)) for n in (1, 70, 900, 200_000)]
+    short = [t.replace("th", "t").replace("é", "") for t in long]
+    gaps = [len(a) - len(b) for a, b in zip(long, short)]
+    for name in ("group_distances", "one_distance"):
+        monkeypatch.setattr(distance, name, lambda *_: pytest.fail("a table was made"))
+    assert distance.distances(*as_numbers(long), *as_numbers(short)).tolist() == gaps == distance.distances(*as_numbers(short), *as_numbers(long)).tolist()
+    monkeypatch.undo()
+    odd = [t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :] for t in short[1:3]]
+    assert distance.distances(*as_numbers(long[1:3]), *as_numbers(odd)).tolist() == [table_distance(a, b) for a, b in zip(long[1:3], odd)]
+
+
 def test_two_million_distinct_words(spark):
     """Two arrays of a million words, all of them distinct but for what they share; edits lie at both ends and between."""
     n = 1_000_000
