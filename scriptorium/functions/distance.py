@@ -6,7 +6,8 @@ order, their lengths tell the distance. What is left is solved by a bit-parallel
 (Myers, 1999; Hyyro, 2003): a 64-bit word holds 64 rows of the table, and one NumPy call advances all
 words of all pairs of a group of similar length. Pairs that are few of their length go alone: diagonals are
 followed first (Ukkonen, 1985), whose cost goes with length plus distance squared, and if they are too
-far apart, one big integer holds a whole column.
+far apart, one big integer holds a whole column. A batch is taken in parts of so many characters or
+words, and groups hold so many bytes, so memory goes with neither the batch nor the table.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.functions.text import ITEMS, parts
+
 #: 64-bit words of the shorter side up to which pairs are solved together, in groups that share an upper bound; and pairs that make that worth while.
 WIDTHS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 25, 32, 40, 50, 64, 80, 100, 128)
 WORTH = 10
-#: Bytes of the tables of one group.
-GROUP_BYTES = 64 << 20
+#: Bytes of all that one group takes.
+GROUP_BYTES = 32 << 20
 #: Seconds that a step along one diagonal and a step of a big integer take, about; they only decide which way is tried.
 DIAGONAL, STEP, STEP_WORD = 4e-6, 6e-7, 8e-9
 
@@ -139,7 +143,9 @@ def group_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     found = np.where(keys[at] == wanted, at + 1, 0)  # row 0 of the masks matches nowhere
     masks = np.zeros((len(keys) + 1) * words, np.uint64)
-    place = np.arange(len(short)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Rows that match nothing and differ by nothing stand before the first one, so that every pair's last row is the last bit of the last word.
+    before = 64 * words - sizes
+    place = np.arange(len(short)) - np.repeat(np.cumsum(sizes) - sizes - before, sizes)
     np.bitwise_or.at(masks, (code + 1) * words + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
     masks = masks.reshape(-1, words)
     # At each time, word w is at item (time - w), so that what it carries over meets the next word one time later.
@@ -147,9 +153,9 @@ def group_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     text = np.zeros((longest + 2 * words, n), np.int64)
     text[words + np.arange(len(long)) - np.repeat(np.cumsum(steps) - steps, steps), np.repeat(np.arange(n), steps)] = found * words
     flat, column = masks.ravel(), np.arange(words)[:, None]
-    last_word, last_bit = (sizes - 1) // 64, ((sizes - 1) % 64).astype(np.uint64)
     one, top = np.uint64(1), np.uint64(63)
-    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    up, down = np.where(column < before // 64, np.uint64(0), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    up[before // 64, np.arange(n)] <<= (before % 64).astype(np.uint64)
     carry_up, carry_down = np.zeros((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)
     carry_up[0] = one
     score = sizes.astype(np.int64)
@@ -168,11 +174,10 @@ def group_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         across |= pv
         plus = np.invert(across, out=across)
         plus |= mv
-        at = t - last_word[:m]
-        here = np.flatnonzero((at >= 0) & (at < steps[:m]))
-        rows, bits = last_word[here], last_bit[here]
-        score[here] += ((plus[rows, here] >> bits) & one).astype(np.int64) - ((minus[rows, here] >> bits) & one).astype(np.int64)
         out_up, out_down = plus >> top, minus >> top
+        if k == words:
+            score[:m] += out_up[-1].view(np.int64)
+            score[:m] -= out_down[-1].view(np.int64)
         plus <<= one
         plus |= in_up
         minus <<= one
@@ -205,29 +210,27 @@ def distances(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.nda
                 out[i] = one_distance(x, y)
             continue
         members.sort(key=lambda m: len(m[2]))
-        start = 0
-        while start < len(members):
-            stop, size = start, 0
-            while stop < len(members) and (size := size + 8 * (len(members[stop][1]) * WIDTHS[width] + 2 * len(members[stop][2]))) <= GROUP_BYTES or stop == start:
-                stop += 1
+        # Masks of distinct items, columns of the table, and what numbers the items of both sides.
+        sizes = np.array([8 * ((len(np.unique(x)) + 12) * WIDTHS[width] + 5 * len(x) + 6 * len(y)) for _, x, y in members])
+        for start, stop in parts(sizes, GROUP_BYTES):
             part = members[start:stop]
             out[[i for i, _, _ in part]] = group_distances([(x, y) for _, x, y in part])
-            start = stop
     return out
 
 
 def _code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = column.to_pylist()
-    joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    return joined, np.array([len(t) for t in texts], dtype=np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4"), np.array([len(t) for t in texts], dtype=np.int64)
 
 
-def _solved(a: pa.Array, b: pa.Array, coded) -> pa.Array:
+def _solved(a: pa.Array, b: pa.Array, coded, sizes_of) -> pa.Array:
     """Distances of the rows that have both sides."""
     both = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
     out = np.zeros(len(a), np.int64)
-    if len(both):
-        out[both] = distances(*coded(a.take(pa.array(both)), b.take(pa.array(both))))
+    sizes = sum(sizes_of(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b))
+    for start, stop in parts(sizes[both], ITEMS):
+        rows = both[start:stop]
+        out[rows] = distances(*coded(a.take(pa.array(rows)), b.take(pa.array(rows))))
     lacks = np.ones(len(a), bool)
     lacks[both] = False
     return pa.array(out.astype(np.int32), mask=lacks)
@@ -236,7 +239,7 @@ def _solved(a: pa.Array, b: pa.Array, coded) -> pa.Array:
 @F.arrow_udf(T.IntegerType())
 def text_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance in code points, exact for texts of any length and distance; null if either is."""
-    return _solved(a, b, lambda x, y: (*_code_points(x), *_code_points(y)))
+    return _solved(a, b, lambda x, y: (*_code_points(x), *_code_points(y)), pc.binary_length)
 
 
 def _word_codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,4 +252,4 @@ def _word_codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
 @F.arrow_udf(T.IntegerType())
 def sequence_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance of two arrays of words, however many distinct ones there are; null if either is."""
-    return _solved(a, b, _word_codes)
+    return _solved(a, b, _word_codes, pc.list_value_length)

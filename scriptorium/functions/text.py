@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -19,12 +21,27 @@ MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png"}
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+#: Characters or words of an Arrow batch that are worked on at a time, whatever the batch's size.
+ITEMS = 1 << 22
+
+
+def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows whose sizes are ``most`` at most together, or of single rows."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), side="right")))
+        yield start, stop
+        start = stop
+
+
 @F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """NFC form. Texts that are ASCII are NFC already and stay as they are."""
     if not len(text) or pc.all(pc.string_is_ascii(text), skip_nulls=True).as_py() is not False:
         return text
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], text.type)
+    normal = lambda some: pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in some.to_pylist()], text.type)
+    sizes = pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.concat_arrays([normal(text.slice(start, stop - start)) for start, stop in parts(sizes, ITEMS)])
 
 
 def is_nfc(text: Column) -> Column:

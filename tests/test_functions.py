@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +110,34 @@ def test_texts_that_only_lack_characters(monkeypatch):
     assert distance.distances(*as_numbers(long[1:3]), *as_numbers(odd)).tolist() == [table_distance(a, b) for a, b in zip(long[1:3], odd)]
 
 
+def test_memory_goes_with_no_batch():
+    """Batches of 40 million characters, and of fewer; nulls and an overlong text among them. What Python and NumPy hold stays below 200 MB."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdef ") for _ in range(2000))
+    far = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(200)]
+    a = pa.array([*far[:100], None, *([text] * 10_000), text * 3000, ""])
+    b = pa.array([*far[100:], text, *([text[:900] + "#" + text[901:]] * 10_000), text * 2999 + "#" + text[1:], None])
+    want = [table_distance(x, y) for x, y in zip(far[:5], far[100:105])]
+    peaks = []
+    for stop in (3000, len(a)):
+        tracemalloc.start()
+        got = distance.text_distance.func(a.slice(0, stop), b.slice(0, stop)).to_pylist()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert got[:5] == want and got[100] is None and set(got[101:3000]) == {1}
+    assert got[-3:] == [1, 1, None] and peaks[1] < 200 << 20, peaks
+
+
+def test_nfc_of_parts(monkeypatch):
+    texts = ["e\u0301" * n for n in range(1, 40)] + [None, "", "plain", "\u0c46\u0c56"]
+    want = [t and unicodedata.normalize("NFC", t) for t in texts]
+    for items in (1, 50, text.ITEMS):
+        monkeypatch.setattr(text, "ITEMS", items)
+        for some in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
+            assert text.nfc.func(some).to_pylist() == want
+    assert list(text.parts(np.array([3, 3, 9, 0, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)] and not list(text.parts(np.array([], int), 6))
+
+
 def test_two_million_distinct_words(spark):
     """Two arrays of a million words, all of them distinct but for what they share; edits lie at both ends and between."""
     n = 1_000_000
