@@ -93,10 +93,14 @@ def capped(scores: DataFrame, keys: tuple[str, ...] = CELL_KEYS) -> DataFrame:
 
 
 def cost_per_point(cells: DataFrame, baseline: tuple[str, str]) -> DataFrame:
-    """Cost over the CER that a cell gains on the baseline cell; null where it gains nothing."""
-    base = cells.filter((F.col("model") == baseline[0]) & (F.col("preprocessing") == baseline[1])).agg(F.max("mean_cer").alias("baseline_cer"))
+    """Cost over the CER that a cell gains on the baseline cell; null where it gains nothing.
+
+    ``cells`` is evaluated once: means summed again, in another order of rows, differ in their last digits, and the baseline would gain on itself."""
+    is_base = (F.col("model") == baseline[0]) & (F.col("preprocessing") == baseline[1])
+    # Cells are few.
+    base = F.max(F.when(is_base, F.col("mean_cer"))).over(Window.partitionBy())
     gain = F.col("baseline_cer") - F.col("mean_cer")
-    return cells.join(F.broadcast(base)).withColumn("cost_per_point", F.when(gain > 0, F.col("cost_per_page") / gain)).drop("baseline_cer")
+    return cells.withColumn("baseline_cer", base).withColumn("cost_per_point", F.when(gain > 0, F.col("cost_per_page") / gain)).drop("baseline_cer")
 
 
 def extrapolate(cells: DataFrame, pages: int, workers: int, latency: str = "latency_s", cost: str = "cost_per_page") -> DataFrame:

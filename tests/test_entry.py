@@ -49,6 +49,19 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
+def test_cost_per_point_of_cells_that_tie(spark, tmp_path):
+    """Without an ``a`` two cells make the same edits, so neither gains on the other, however their rows are dealt."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "then", "with", "of", "moth", "her"]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    pages = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = {(r["model"], r["preprocessing"]): r["cost_per_point"] for r in QUERIES["cost_per_point"](spark, str(tmp_path)).collect()}
+    assert got["claude", "raw"] is None and got["tesseract", "raw"] is None
+    assert got == {(m, p): c for m, p, c in con.sql(ORACLES["cost_per_point"]).fetchall()}
+
+
 def test_document_cer(spark, sf_dir):
     """The corruption only deletes, so the distance is what it deletes, for documents of any length."""
     docs = {r["doc_id"]: unicodedata.normalize("NFC", r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

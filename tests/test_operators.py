@@ -64,6 +64,17 @@ def test_costs(spark):
     assert not got["gemini", "deskew_only"]["cost_known"] and got["tesseract", "raw"]["cost_known"]
 
 
+def test_cost_per_point_evaluates_its_cells_once(spark):
+    """Means that differ between evaluations stand for sums in another order of rows."""
+    again = F.udf(lambda: random.random(), "double").asNondeterministic()
+    cells = spark.createDataFrame([("tesseract", "raw"), ("gemini", "raw"), ("claude", "raw")], "model string, preprocessing string").select("*", (again() + F.when(F.col("model") == "tesseract", 2).otherwise(0)).alias("mean_cer"), F.lit(1.0).alias("cost_per_page"))
+    for _ in range(3):
+        got = {r["model"]: r for r in matrix.cost_per_point(cells, ("tesseract", "raw")).collect()}
+        assert len(got) == 3 and got["tesseract"]["cost_per_point"] is None
+        for m in ("gemini", "claude"):
+            assert got[m]["cost_per_point"] == pytest.approx(1 / (got["tesseract"]["mean_cer"] - got[m]["mean_cer"]))
+
+
 def test_pending_pairs_and_collisions(spark):
     work = spark.createDataFrame([("b", str(i), "m", "p") for i in range(4)], CELL)
     assert sorted(r["page_id"] for r in pairing.pending(work, work.filter("page_id < '2'")).collect()) == ["2", "3"]
